@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,16 +22,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the folder that the cluster names in spark.checkpoint.dir.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only a session without one (a test) gets its own."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glosswright-"))
+    return sc.getCheckpointDir()
+
 
-    Only a session that names none (a test) gets a temporary folder."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glosswright-"))
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared checkpoint folder; for frames without texts."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a frame with texts through a Parquet table in the shared checkpoint folder."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_of(column: str) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -45,10 +57,6 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def bucket_of(*columns: str | Column) -> Column:
-    return F.xxhash64(*columns)
-
-
 def join_hot(rows: DataFrame, dim: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """rows inner-join dim on key, where `count` in dim says how many rows have that key.
 
