@@ -25,3 +25,14 @@ def session(master: str = "local[8]", partitions: int = 8, **extra: str) -> Spar
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables; Spark's reader resolves the path, whatever the store."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder; only a session without one gets a temporary folder."""
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glosswright-"))
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
