@@ -1,0 +1,385 @@
+"""Each operator against a plain version of itself, on rows with nulls, blanks, ties, repeats and long texts."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from glosswright.llm import bpe, components, exact_dedup, language_id, license_scan, mixing, pii, quality_model, quality_rules, simhash, substring_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, n_words string, fp string, size string, kept string, bucket string, label string"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows(texts, lang="en", source="s"):
+    return [(i, t, lang, source, None, "x", "x", "x", "x", "x", "x", "x") for i, t in enumerate(texts)]
+
+
+def corpus():
+    rng = random.Random(4)
+    vocab = ["The", "of", "and", "is", "été", "straße", "語", "a|b", "x#", "No.", "zig", "zag", "and,", "plum"]
+    make = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    passage = make(40)
+    texts = [make(rng.randint(1, 80)) for _ in range(60)]
+    texts += [f"{make(9)} {passage} {make(7)}", f"{passage}", f"{make(3)}\n{passage} tail", make(15) + "\n" + make(15)]
+    texts += [texts[0], texts[0].replace(" ", "\t\n"), f" {texts[3]} ", texts[3].upper(), "", " \n\t", "x", "the the " * 30, "same line\nsame line\n\nsame line\nother"]
+    texts += ["long " + make(30000), "y" * 100000, "line\n" * 3000]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    data = rows(corpus())
+    data += [data[5], data[5], (900, None, None, None, None, *["x"] * 7), (901, None, "de", None, None, *["x"] * 7), (None, "no id at all", "en", "t", None, *["x"] * 7)]
+    return spark.createDataFrame(data, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def table(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.collect()]
+
+
+def test_quality_rules(docs, empty):
+    want = Counter()
+    for i, t in table(docs):
+        w = WORDS.findall(t)
+        grams = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+        cover = {k for j in range(len(w) - 4) if grams[tuple(w[j : j + 5])] > 1 for k in range(j, j + 5)}
+        lines = [x for x in t.split("\n") if WORDS.search(x)]
+        want[i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover)] += 1
+    got = quality_rules.quality_rules(docs)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()) == want
+    assert not any(r["kept"] for r in got.filter("n_words < 10").collect())
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def test_exact_dedup(docs, empty):
+    want, groups = Counter(), {}
+    for i, t in table(docs):
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), []).append(i)
+    for ids in groups.values():
+        keep = min((i for i in ids if i is not None), default=None)
+        for i in ids:
+            want[i, keep, len(ids), i == keep] += 1
+    for digest in (exact_dedup.sha256, lambda t: exact_dedup.F.length(t) % 3):  # the second lets different texts share digests
+        got = exact_dedup.exact_dedup(docs, digest=digest)
+        assert Counter(tuple(r) for r in got.select("doc_id", "keep_id", "group_size", "kept").collect()) == want
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+    assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.keep_first(empty).count() == 0
+
+
+def plain_fingerprint(t):
+    import xxhash
+
+    w = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    ones = Counter(b for x in s for h in [xxhash.xxh64_intdigest(x.encode(), 42)] for b in range(64) if h >> b & 1)
+    return sum(1 << b for b, n in ones.items() if 2 * n > len(s))
+
+
+def test_fingerprints(docs):
+    got = Counter((r["doc_id"], r["fp"]) for r in simhash.fingerprints(docs.filter("length(text) < 5000 or text is null")).collect())
+    assert got == Counter((i, simhash.signed(plain_fingerprint(t))) for i, t in table(docs) if len(t) < 5000)
+
+
+def test_covering():
+    masks = [simhash.covering_masks(3, f) for f in range(3)]
+    rng = random.Random(1)
+    for _ in range(3000):
+        bits = rng.sample(range(64), 3)
+        assert all(any(not any(m >> b & 1 for b in bits) for m in family) for family in masks)
+    free = max(bin(((1 << 64) - 1) & ~(a | b | c)).count("1") for a in masks[0] for b in masks[1] for c in masks[2])
+    assert free <= 14
+
+
+def groups_of(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_links_and_components(spark):
+    rng = random.Random(2)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    for i in range(400):  # chains and a dense cluster
+        fps.append((fps[-1] if i < 200 else fps[0]) ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(1, 3))) & ((1 << 64) - 1))
+    fps = sorted({simhash.signed(f) for f in fps})
+    near = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 3]
+    want = groups_of(fps, near)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for dense in (2048, 4):  # the second sends every bucket of more than four on to the next family
+        linked = components.components(simhash.links_within(df, 3, dense))
+        got = {r["node"]: r["component"] for r in linked.collect()}
+        assert {f: got.get(f, f) for f in fps} == want
+
+
+def test_near_dedup(spark, docs, empty):
+    got = simhash.near_dedup(docs).collect()
+    plain = [(i, plain_fingerprint(t)) for i, t in table(docs)]
+    fps = sorted({f for _, f in plain})
+    comp = groups_of(fps, [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 3])
+    low = {}
+    for i, f in plain:
+        if i is not None:
+            low[comp[f]] = min(low.get(comp[f], i), i)
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((i, low.get(comp[f])) for i, f in plain)
+    assert simhash.near_dedup(empty).count() == 0
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {*low.values(), *[None for i, f in plain if comp[f] not in low]}
+
+
+def test_bpe(docs, empty):
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = bpe.default_vocabulary()
+    c = bpe.codec(path, pattern)
+    plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks={b: i for i, b in enumerate(c.token) if b}, special_tokens={})
+    got = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode_documents(docs).collect()}
+    want = set()
+    for i, t in table(docs):
+        ids = plain.encode_ordinary(t)
+        want.add((i, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert got == want
+    assert bpe.encode_documents(empty).count() == 0
+
+
+def test_bpe_stitches():
+    tiktoken = pytest.importorskip("tiktoken")
+    path, pattern = bpe.default_vocabulary()
+    c = bpe.codec(path, pattern)
+    plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks={b: i for i, b in enumerate(c.token) if b}, special_tokens={})
+    rng = random.Random(3)
+    parts = ["a", "b", " ", "  ", "\n", "'s", "'", "re", "1", "é", "語", "!", "\t", "x" * 30, "🙂", "\r\n", " " * 9]
+    for _ in range(600):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 120)))
+        for chunk, overlap in ((8, 8), (16, 8), (33, 12)):
+            ids = c.encode(t, chunk, overlap)
+            assert ids.tolist() == plain.encode_ordinary(t) and c.decode(ids) == t.encode()
+
+
+def test_pii(spark, docs, empty):
+    planted = ["mail me: jo.e+x@a-b.example.com, or @nobody or a@b", "x@y.z_d@e.f 1.2.3.4.5.6.7.8 999.1.1.1 01.002.3.4", "card 4111 1111 1111 1111 and 4111111111111112 +1 (555) 123-4567.", "+12 3 +1 2345678 é +49-30-123456 " + "7" * 5000, "password = \"abcdef0123456789xyz\" token:abc"]
+    df = spark.createDataFrame(rows([*planted, None, "", "@" * 3000, "1." * 3000]), SCHEMA).unionByName(docs)
+    luhn = lambda x: sum((int(d) * 2 - 9 if int(d) > 4 else int(d) * 2) if k % 2 else int(d) for k, d in enumerate(x[::-1])) % 10 == 0
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    base = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    want = Counter((i, tuple((k, m.start(), m.end()) for k, rx, ok in base for m in re.finditer(rx, t) if ok(m.group()))) for i, t in table(df))
+    found = pii.find_pii(df)
+    got = Counter((r["doc_id"], tuple((s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"])) for r in found.collect())
+    assert got == want
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_pii_model_trusts_agreeing_labelers():
+    counts = {("email", "1110" + "1", "300"): 90, ("email", "--0" + "--", "200"): 10}
+    m = pii.fit(counts)["email"]
+    assert m["reliability"]["pattern"][1]["1"] > 0.8 > m["reliability"]["pattern"][0]["1"]
+
+
+@pytest.mark.parametrize("texts", [["GNU General Public License, v3 -- MIT\nLicense mit-license", "CC BY-NC 4.0 cc_by cc0", "apache  LICENSE!", "", None, "gnu general public", "mit license " * 400]])
+def test_license_scan(spark, docs, empty, texts):
+    df = spark.createDataFrame(rows(texts), SCHEMA).unionByName(docs)
+    want = Counter()
+    for i, t in table(df):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        at = sorted((k, label) for p, label in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        want[i, len(w), tuple(at)] += 1
+    got = license_scan.license_scan(df)
+    assert Counter((r["doc_id"], r["n_words"], tuple(sorted((s["start"], s["label"]) for s in r["base"]))) for r in got.collect()) == want
+    assert license_scan.license_scan(empty).count() == 0
+
+
+def test_license_containment(spark):
+    df = spark.createDataFrame(rows(["x Licensed under the Apache License, Version 2.0. y"]), SCHEMA)
+    r = license_scan.license_scan(df).first()
+    assert [(s["label"], s["start"], s["end"]) for s in r["detections"]] == [("apache-2.0", 1, 9)]
+    assert len(license_scan.rules()) > 300
+
+
+def test_every_license_rule_holds_its_keyword_and_gate():
+    gate = re.compile(license_scan.GATE.replace(r"\x{10FFFF}", "\U0010ffff").replace("(?<![0-9A-Za-z\\x80-\U0010ffff])", "(?<![0-9A-Za-z])"))
+    for label in ("MPL", "Apache", "CC BY"):
+        assert gate.search(f"released under {label} 2.0")
+    assert not gate.search("plain words")
+
+
+def test_mixing(spark, docs, empty):
+    def check(df):
+        got = mixing.mix_sources(df, block_words=4, shard_rows=7).collect()
+        size = Counter()
+        for i, t, s in ((r["doc_id"], r["text"], r["source"]) for r in df.collect()):
+            size[s] += len(WORDS.findall(t or ""))
+        names = sorted(size, key=lambda s: (s is None, s))
+        weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+        goal, open_ = {}, set(names)
+        left = 1.5 * sum(size.values())
+        while open_:
+            unit = left / sum(weight[s] for s in open_)
+            over = {s for s in open_ if unit * weight[s] > 2 * size[s]}
+            for s in over or open_:
+                goal[s] = 2 * size[s] if over else unit * weight[s]
+                left -= goal[s] if over else 0
+            open_ = open_ - over if over else set()
+        assert len(got) == df.count() and all(r["taken"] <= 2 * r["size"] for r in got)
+        by = {(r["source_size"], round(r["target"], 6)) for r in got}
+        assert by == {(size[s], round(goal[s], 6)) for s in names}
+        assert abs(sum(r["taken"] for r in got) - 1.5 * sum(size.values())) <= 4 * len(names) * 8
+        assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_sources(df.repartition(5), block_words=4, shard_rows=7).collect()))
+
+    check(docs)
+    mixed = [(i, " ".join(["w"] * (i % 17)), "en", f"src{i % 7}" if i % 3 else "src0", None, *["x"] * 7) for i in range(300)]
+    check(spark.createDataFrame(mixed, SCHEMA))
+    assert mixing.mix_sources(empty).count() == 0
+
+
+def test_sainte_lague(spark):
+    votes = [("a", 53), ("b", 24), ("c", 23), ("d", 0), ("e", 7), ("f", 1)]
+    for n in (0, 1, 7, 12, 100):
+        seats = Counter()
+        for _ in range(n):
+            best = max(votes, key=lambda v: (v[1] / (2 * seats[v[0]] + 1), [-ord(c) for c in v[0]]))
+            seats[best[0]] += 1
+        df = spark.createDataFrame([(1, k, v, n) for k, v in votes], "g int, k string, v long, n long")
+        got = {r["k"]: r["s"] for r in mixing.sainte_lague(df, ["g"], ["k"], "v", "n", "s").collect()}
+        assert got == {k: seats[k] for k, _ in votes}
+
+
+def test_mixed_documents(spark, docs):
+    mix = {}
+    for r in mixing.mix_sources(docs).collect():
+        mix[r["doc_id"]] = mix.get(r["doc_id"], 0) + r["taken"]
+    out = mixing.mixed_documents(docs)
+    got = Counter()
+    for r in out.collect():
+        got[r["doc_id"]] += len(WORDS.findall(r["text"]))
+    assert out.columns == docs.columns and got == Counter({i: n for i, n in mix.items() if n})
+
+
+def plain_removed(data):
+    seen, out = {}, []
+    places = sorted(((-1 << 63) if i is None else i, k, n) for n, (i, t) in enumerate(data) for k in range(max(0, len(WORDS.findall(t)) - 19)))
+    words = [WORDS.findall(t) for _, t in data]
+    gone = [set() for _ in data]
+    for i, k, n in places:
+        key = tuple(words[n][k : k + 20])
+        if seen.setdefault(key, (i, k)) != (i, k):
+            gone[n] |= set(range(k, k + 20))
+    for n, (i, _) in enumerate(data):
+        kept = " ".join(w for k, w in enumerate(words[n]) if k not in gone[n])
+        out.append((i, len(words[n]), len(gone[n]), hashlib.sha256(kept.encode()).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("size", [8 << 20, 3000])
+def test_substring_dedup(docs, empty, size):
+    got = substring_dedup.substring_dedup(docs, bucket_bytes=size)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == plain_removed(table(docs))
+    assert substring_dedup.substring_dedup(empty).count() == 0
+
+
+def test_substring_dedup_of_near_copies(spark):
+    rng = random.Random(8)
+    text = [f"w{rng.randrange(60)}" for _ in range(120)]
+    copies = []
+    for _ in range(25):
+        t = list(text)
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(120)] = f"v{rng.randrange(9)}"
+        copies.append(" ".join(t[rng.randrange(30) : 90 + rng.randrange(30)]))
+    df = spark.createDataFrame(rows(copies), SCHEMA)
+    got = substring_dedup.substring_dedup(df, bucket_bytes=1500)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == plain_removed(list(enumerate(copies)))
+
+
+LANGS = {"en": "the of and to in is that it was for with as his on be at by", "de": "der die und in den von zu das mit sich des auf für ist im dem", "es": "de la que el en y a los del se las por un para con no"}
+
+
+def lang_rows(n):
+    rng = random.Random(9)
+    return [(i, " ".join(rng.choice(LANGS[x].split()) for _ in range(60)), x, "s", None, *["x"] * 7) for i in range(n) for x in [rng.choice(sorted(LANGS))]]
+
+
+def test_language_id(spark, empty):
+    odd = [(5000, None, "en"), (5001, "", "en"), (5002, "12 34 !", "de"), (5003, "qxqx zzzz jjkk " * 60, None), (None, "the of and to", "en"), (5004, "der und " * 40000, "de")]
+    data = lang_rows(300) + [(i, t, x, "s", None, *["x"] * 7) for i, t, x in odd]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = {r["doc_id"]: r for r in language_id.identify(df).collect()}
+    assert len(got) == len(data)
+    sure = [got[i]["lang_pred"] == x for i, _, x, *_ in data[:300] if got[i]["held_out"]]
+    assert len(sure) > 30 and sum(sure) / len(sure) > 0.98
+    assert [got[i]["lang_pred"] for i in (5000, 5001, 5002)] == ["und"] * 3 and all(got[i]["rejected"] for i in (5000, 5001, 5002, 5003))
+    assert got[5004]["lang_pred"] == "de" and all(0 <= r["score"] <= 1 for r in got.values())
+    kept = language_id.keep_identified(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["rejected"]}
+    assert language_id.identify(empty).count() == 0
+    untaught = language_id.identify(df.withColumn("lang", language_id.F.lit(None).cast("string")))
+    assert {r["lang_pred"] for r in untaught.collect()} == {"und"}
+
+
+def test_held_out_rows_teach_nothing(spark):
+    from glosswright.llm.common import held_out
+
+    df = spark.createDataFrame(lang_rows(200), SCHEMA).withColumn("h", held_out("doc_id", 5, 0))
+    wrong = df.withColumn("lang", language_id.F.when(language_id.F.col("h"), language_id.F.lit("zz")).otherwise(language_id.F.col("lang"))).drop("h")
+    assert "zz" not in {r["lang_pred"] for r in language_id.identify(wrong).collect()}
+
+
+def test_quality_model(spark, empty):
+    rng = random.Random(5)
+    good = lambda: " ".join(rng.choice(LANGS["en"].split()) + rng.choice(["", "", ".", ","]) for _ in range(50))
+    bad = lambda: " | ".join(rng.choice("qwertz") * 5 for _ in range(30))
+    data = [(i, good() if i % 3 else bad()) for i in range(300)]
+    df = spark.createDataFrame(rows([t for _, t in data] + ["", None, "word " * 50000]) + [(None, "x", *[None] * 10)], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), "x") for i in range(300)] + [(7777, 1, "x"), (None, 0, "x"), (3, None, "x"), (4, 1, "x")], "doc_id long, quality int, text string")
+    got = {r["doc_id"]: r for r in quality_model.quality_scores(df, labels).collect()}
+    assert len(got) == 304 and all(0 <= r["score"] <= 1 for r in got.values())
+    held = [r["predicted"] == int(i % 3 > 0) for i, r in got.items() if i is not None and i < 300 and r["held_out"]]
+    assert len(held) > 40 and sum(held) / len(held) > 0.97
+    assert quality_model.quality_scores(empty, labels).count() == 0
+    assert {r["score"] for r in quality_model.quality_scores(df, labels.filter("doc_id > 9000")).collect()} == {0.5}
+
+
+def test_factorisation_identity():
+    import numpy as np
+
+    rng = np.random.RandomState(0)
+    m = quality_model.Machine(0.1, rng.normal(size=quality_model.DIMS), rng.normal(size=(quality_model.DIMS, quality_model.RANK)))
+    at, x = np.array([3, 9, 20]), np.array([1.0, 0.5, 2.0])
+    z, _ = m.raw(at, x, np.array([0]))
+    pairs = sum(m.v[at[i]] @ m.v[at[j]] * x[i] * x[j] for i in range(3) for j in range(i))
+    assert abs(z[0] - (0.1 + m.w[at] @ x + pairs)) < 1e-9
+
+
+def test_pipeline(spark, docs, empty):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from glosswright.llm.common import stored
+
+    for start in (docs, empty):
+        kept = start
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            before, kept = kept, stored(stage(spark, kept, ""))
+            assert k == len(pipeline.STAGES) - 1 or kept.columns == start.columns
+            if k < 3:
+                assert {r["doc_id"] for r in kept.collect()} <= {r["doc_id"] for r in before.collect()}
+        assert "ids" in kept.columns
