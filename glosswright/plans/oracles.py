@@ -32,7 +32,11 @@ GLOSSARY = f"""gl AS (
 
 
 def _phrase(text: str, term: str) -> str:
-    return rf"regexp_matches({text}, '(?i)(^|{N})' || regexp_escape({term}) || '($|{N})')"
+    """Whole-phrase test for the glossary's terms, each with a pattern of its own."""
+    import re
+
+    cases = " ".join(rf"WHEN '{t}' THEN regexp_matches({text}, '(?i)(^|{N}){re.escape(t)}($|{N})')" for t in sorted({e.replace("_", " ").strip().lower() for _, e, _ in B.GLOSSARY}) if t)
+    return f"CASE {term} {cases} END"
 
 
 def _grams(name: str, tokens: str, source: str = "pairs") -> str:
@@ -210,7 +214,7 @@ ORACLES = {
     "gate1": f"""WITH {PAIRS}, {GLOSSARY}, h AS (SELECT NOT contains({TIGHT.format('ko_text')}, {TIGHT.format('ko')}) AS bad FROM pairs JOIN gl ON {_phrase('en_text', 'en')})
       SELECT count(*) AS n_checks, count(*) FILTER (bad) AS n_violations, round(coalesce((count(*) - count(*) FILTER (bad)) / nullif(count(*), 0), 1.0), 9) AS compliance,
              coalesce((count(*) - count(*) FILTER (bad)) / nullif(count(*), 0), 1.0) >= 0.95 AS passed FROM h""",
-    "conflict_hits": f"WITH {CARDS}, {KW_CONFLICTS} SELECT id, en_term, array_to_string(v, '|') AS ko_variants FROM cards JOIN kc ON {_phrase('en_text', 'en_term')} WHERE len(v) >= 2",
+    "conflict_hits": f"WITH {CARDS}, {KW_CONFLICTS} SELECT id, en_term, array_to_string(v, '|') AS ko_variants FROM cards JOIN kc ON list_contains({_tokens('en_text')}, en_term) WHERE len(v) >= 2",
     "symbol_multiset": f"WITH {SYMBOLS} SELECT id, s AS symbol, n FROM se",
     "gate2_cards": f"WITH {SYMBOLS} SELECT * FROM g2",
     "gate2": f"WITH {SYMBOLS} SELECT count(*) AS n_cards, count(*) FILTER (passed) AS n_passed, round(coalesce(avg(passed::INT), 1.0), 9) AS preservation, coalesce(avg(passed::INT), 1.0) >= 1.0 AS passed FROM g2",
@@ -222,7 +226,7 @@ ORACLES = {
     "new_terms_classified": f"WITH {TEXTS}, {GLOSSARY}, {_new_terms('texts')} SELECT id, en_term, blocking FROM nt",
     "hitl_triggers": f"""WITH {CARDS}, rc AS (SELECT *, 'rule' AS route FROM cards), {GLOSSARY}, {_new_terms('rc')}, {KW_CONFLICTS}, {FIDELITY},
       gv AS (SELECT DISTINCT id FROM cards JOIN gl ON {_phrase('en_text', 'en')} WHERE NOT contains({TIGHT.format('ko_text')}, {TIGHT.format('ko')})),
-      ch AS (SELECT DISTINCT id FROM cards JOIN kc ON {_phrase('en_text', 'en_term')} WHERE len(v) >= 2),
+      ch AS (SELECT DISTINCT id FROM cards JOIN kc ON list_contains({_tokens('en_text')}, en_term) WHERE len(v) >= 2),
       rr AS (SELECT id, array_to_string(list_filter([CASE WHEN id IN (SELECT id FROM nt WHERE blocking) THEN 'new_term' END, CASE WHEN id IN (SELECT id FROM ch) THEN 'term_conflict' END,
           CASE WHEN id IN (SELECT id FROM gv) OR id IN (SELECT id FROM fid) THEN 'rule_violation' END, CASE WHEN id % 200 > 0 AND 1.0::DOUBLE / (id % 200) < 0.01::DOUBLE THEN 'low_tm_confidence' END], lambda x: x IS NOT NULL), '|') AS reasons FROM cards)
       SELECT rr.id, reasons, reasons <> '' AS should_interrupt, coalesce(t, '') AS recording_terms FROM rr LEFT JOIN (SELECT id, string_agg(en_term, '|' ORDER BY pos) AS t FROM nt WHERE NOT blocking GROUP BY id) n ON n.id = rr.id""",

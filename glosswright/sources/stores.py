@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 HIT = "struct<id:string,en_text:string,ko_text:string,score:double>"
 TERM = "struct<en:string,ko:string,source:string,llm_judged:boolean>"
@@ -25,14 +26,18 @@ SCHEMAS = {
 
 def read(spark: SparkSession, name: str, path: str, whole_file: bool = False) -> DataFrame:
     """A store by name; blank and broken lines are dropped, a missing path is an empty store."""
-    schema = f"{SCHEMAS[name]}, _broken string"
     try:
-        d = spark.read.schema(schema).option("multiLine", whole_file).option("columnNameOfCorruptRecord", "_broken").json(path)
+        d = spark.read.text(path, wholetext=whole_file)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], SCHEMAS[name])
-    return d.filter(F.col("_broken").isNull()).drop("_broken")
+    row = StructType.fromDDL(f"{SCHEMAS[name]}, _broken string")
+    if whole_file:
+        d = d.select(F.explode(F.from_json("value", ArrayType(row))).alias("r"))
+    else:
+        d = d.select(F.from_json("value", row, {"columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    return d.filter("r is not null and r._broken is null").select("r.*").drop("_broken")
 
 
 def draft_records(spark: SparkSession, path: str) -> DataFrame:
