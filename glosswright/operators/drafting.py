@@ -22,6 +22,7 @@ PROMPT = (
     "Output only the Korean translation itself as plain text — no <card-text> tags, no code fences, no surrounding markup. The reference blocks below are wrapped in tags because they are data; your answer is not.",
     "Translate whatever text is given, however short. Never comment on the task, ask for clarification, or explain — output the translation only.",
 )
+NO_HIT = "[번역 초벌 — TM 일치 없음]"
 # ---- end of fixed values --------------------------------------------------------------------------------------------
 
 
@@ -66,7 +67,7 @@ def prompt(en_text: Column, terms: Column, hits: Column, llm_judged: bool) -> Co
 
 def stub_draft(hits: Column) -> Column:
     """The first hit's target text: a stand-in for a model."""
-    return F.coalesce(F.get(hits, F.lit(0))["ko_text"], F.lit("(stub translation)"))
+    return F.coalesce(F.get(hits, F.lit(0))["ko_text"], F.lit(NO_HIT))
 
 
 def with_fallback(models: list[tuple[str, Callable[[str], str]]], tries: int = 3, wait: float = 1.0, retryable: Callable[[Exception], bool] = lambda e: True, sleep=time.sleep):

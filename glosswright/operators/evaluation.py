@@ -11,6 +11,7 @@ from glosswright.operators import guards
 PASS, FAIL, UNREACHABLE = "PASS", "FAIL", "UNREACHABLE"
 CAUSES = ("tm_search_failure", "guard_rejected_in_review_queue", "approval_incomplete", "model_invocation_failure")
 G1_LEAST, G2_LEAST, G3_FACTOR = 0.95, 1.0, 0.70
+ECHO_FLOOR, RULE_TARGET, FLAVOR_TARGET = 0.05, 2.5, 2.0
 
 
 def _share(a: Column, b: Column, empty: float) -> Column:
@@ -107,11 +108,17 @@ def final_verdict(runs: DataFrame) -> DataFrame:
     return runs.withColumn("final", F.when(F.col("run_mode") == "real", ok))
 
 
-def echo_gate(records: DataFrame, coincidence: Column, least: float = 0.05) -> DataFrame:
-    """One row: n_with_hits, n_echo, rate, threshold, passed. An echo is a draft that equals its own first hit."""
-    live = records.filter(F.col("top_hit").isNotNull() & (T.squeeze(F.coalesce("draft_ko", F.lit(""))) != ""))
-    g = live.agg(F.count("*").alias("n_with_hits"), _n(T.squeeze(F.col("draft_ko")) == T.squeeze(F.col("top_hit"))).alias("n_echo"))
-    g = g.withColumn("rate", _share(F.col("n_echo"), F.col("n_with_hits"), 0.0)).withColumn("threshold", F.greatest(F.lit(least), coincidence))
+def echo_gate(records: DataFrame, floor: float = ECHO_FLOOR) -> DataFrame:
+    """One row over records (draft_ko, top_hit, ref_ko): n_with_hits, n_echo, n_coincidence, rate, threshold, passed.
+
+    An echo is a draft that equals its own first hit. How often the first hit is the reference itself says how many
+    echoes are right by coincidence; the threshold is that rate, or the floor if that is higher."""
+    flat = lambda c: T.squeeze(F.coalesce(F.col(c), F.lit("")))
+    live = records.filter(F.col("top_hit").isNotNull() & (flat("draft_ko") != ""))
+    right = (flat("ref_ko") != "") & (flat("top_hit") == flat("ref_ko"))
+    g = live.agg(F.count("*").alias("n_with_hits"), _n(flat("draft_ko") == flat("top_hit")).alias("n_echo"), _n(right).alias("n_coincidence"))
+    g = g.withColumn("rate", _share(F.col("n_echo"), F.col("n_with_hits"), 0.0))
+    g = g.withColumn("threshold", F.greatest(F.lit(floor), _share(F.col("n_coincidence"), F.col("n_with_hits"), 0.0)))
     return g.withColumn("passed", F.col("rate") <= F.col("threshold"))
 
 
@@ -167,14 +174,19 @@ def per_model(records: DataFrame, cards: DataFrame) -> DataFrame:
     return pairs.groupBy("model_id").agg(F.count("*").alias("n_cards"), _n(F.col("passed")).alias("n_passed"), F.avg(F.col("passed").cast("double")).alias("preservation"))
 
 
-def observations(scores: DataFrame, target: float = 2.5) -> DataFrame:
-    """One row: mean and median of rule and flavor scores; null flavors do not count; targets only if measured."""
-    g = scores.agg(*[f for c in ("rule", "flavor") for f in (F.count(f"{c}_score").alias(f"{c}_n"), F.avg(f"{c}_score").alias(f"{c}_mean"), F.median(f"{c}_score").alias(f"{c}_median"))])
-    return g.withColumn("rule_meets", F.col("rule_mean") >= target).withColumn("flavor_meets", F.col("flavor_mean") >= target)
+def observations(scores: DataFrame, targets: tuple[float, float] = (RULE_TARGET, FLAVOR_TARGET)) -> DataFrame:
+    """One row: count, mean and median of rule and flavor scores (0 for none); null flavors do not count, and a target
+    is only met by a score that was measured."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    g = scores.agg(*[f for c in ("rule", "flavor") for f in (F.count(f"{c}_score").alias(f"{c}_n"), zero(F.avg(f"{c}_score")).alias(f"{c}_mean"), zero(F.median(f"{c}_score")).alias(f"{c}_median"))])
+    for c, target in zip(("rule", "flavor"), targets, strict=True):
+        g = g.withColumn(f"{c}_meets", (F.col(f"{c}_n") > 0) & (F.col(f"{c}_mean") >= target))
+    return g
 
 
 def gold_summary(scorecard: DataFrame) -> DataFrame:
-    """By source: reachable terms, found ones, recall, and the share of found terms with an agreeing target."""
-    unreachable = F.col("reach").isin("official_excluded", "over_max_n")
-    g = scorecard.groupBy("source").agg(_n(~unreachable).alias("reachable"), _n(F.col("reach") == "found").alias("found"), _n((F.col("reach") == "found") & F.col("ko_match")).alias("agreed"))
-    return g.withColumn("recall", _share(F.col("found"), F.col("reachable"), 0.0)).withColumn("ko_accuracy", _share(F.col("agreed"), F.col("found"), 0.0))
+    """By source: scored terms (found or missed; the others could not be found), found ones, recall, and the share of
+    found terms with an agreeing target."""
+    scored = F.col("reach").isin("found", "missed")
+    g = scorecard.groupBy("source").agg(_n(scored).alias("scored"), _n(F.col("reach") == "found").alias("found"), _n(F.coalesce("ko_match", F.lit(False))).alias("ko_correct"))
+    return g.withColumn("recall", _share(F.col("found"), F.col("scored"), 0.0)).withColumn("ko_accuracy", _share(F.col("ko_correct"), F.col("found"), 0.0))

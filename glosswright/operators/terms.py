@@ -93,6 +93,13 @@ def extraction_scores(found: DataFrame, gold: DataFrame, column: str = "term") -
     return n.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+# ---- fixed values: words that carry no term at an n-gram's edge -----------------------------------------------------
+FUNCTION_WORDS = """
+the a an this that these those it its of to in on for from at by with as into and or if when whenever then than but not
+is are was be been do does did has have had you your he she they their his her may can must will would any all each other
+another up out off only also more most one there here who which what how so no nor
+""".split()
+# ---- end of fixed values --------------------------------------------------------------------------------------------
 REACH = ("found", "missed", "official_excluded", "over_max_n", "below_min_cooccur", "below_rank_cut")
 
 
@@ -105,11 +112,11 @@ def rank_cut(df_terms: DataFrame, most_terms: int = 1500, least: int = 5) -> Dat
 
 
 def gold_scorecard(gold: DataFrame, found: DataFrame, df_terms: DataFrame, official: DataFrame, least: int = 5, n_max: int = 3, most_terms: int = 1500) -> DataFrame:
-    """Each gold term (en, ko list, source) with its reach and, if found, whether a target agrees."""
+    """Each gold term (en, ko list, source) with its reach and, if found, whether a target agrees (else null)."""
     f = found.select(T.eval_term(F.col("en_term")).alias("key"), F.col("ko_term"))
     g = gold.withColumn("key", T.eval_term(F.col("en")))
     hit = g.join(f, "key", "left").groupBy("en", "source", "key").agg(
-        F.max(F.col("ko_term").isNotNull()).alias("is_found"), F.max(F.coalesce(F.array_contains("ko", F.col("ko_term")), F.lit(False))).alias("ko_match")
+        F.max(F.col("ko_term").isNotNull()).alias("is_found"), F.max(F.array_contains("ko", F.col("ko_term"))).alias("ko_match")
     )
     off = official.select(T.eval_term(F.col("id")).alias("key")).distinct().withColumn("is_official", F.lit(True))
     hit = hit.join(off, "key", "left").join(df_terms.select(F.col("term").alias("key"), "df"), "key", "left")
@@ -121,13 +128,13 @@ def gold_scorecard(gold: DataFrame, found: DataFrame, df_terms: DataFrame, offic
     return hit.select("en", "source", reach.alias("reach"), "ko_match")
 
 
-def frequency_sheet(pairs: DataFrame, text_col: str, stop: list[str], id_col: str = "id", least: int = 5, most: int = 500, in_cap: int = 1500) -> DataFrame:
-    """The most frequent n-grams whose edge words carry meaning, with rank, in_cap and the first row as example."""
+def frequency_sheet(pairs: DataFrame, text_col: str, id_col: str = "id", least: int = 5, most: int = 500, in_cap: int = 1500) -> DataFrame:
+    """The `most` most frequent n-grams whose edge words carry meaning, with the first row as example and whether they
+    are among the `in_cap` most frequent of all."""
     t = frequencies(pairs, T.source_ngrams(F.col(text_col)), id_col)
     d = t.groupBy("term").agg(F.count("*").alias("df"), F.min("id").alias("example")).filter(F.col("df") >= least)
     words = F.split("term", " ")
-    edge = lambda w: w.isin(stop) | w.rlike("^[0-9]+$")
-    d = d.filter(~edge(F.element_at(words, 1)) & ~edge(F.element_at(words, -1)))
-    top = d.orderBy(F.desc("df"), "term").limit(max(most, in_cap))
-    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("df"), "term")))
-    return ranked.filter(F.col("rank") <= most).withColumn("in_cap", F.col("rank") <= in_cap)
+    edge = lambda w: w.isin(FUNCTION_WORDS) | w.rlike("^[0-9]+$")
+    inside = d.orderBy(F.desc("df"), "term").limit(in_cap).select("term", F.lit(True).alias("_in"))
+    top = d.filter(~edge(F.element_at(words, 1)) & ~edge(F.element_at(words, -1))).orderBy(F.desc("df"), "term").limit(most)
+    return top.join(inside, "term", "left").select("term", "df", "example", F.coalesce("_in", F.lit(False)).alias("in_cap"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from glosswright.operators.guards import STOP_WORDS
+from glosswright.operators.terms import FUNCTION_WORDS
 from glosswright.functions.text import CONDITIONS, INJECTIONS, KO_CONDITIONS
 from glosswright.plans import bindings as B
 
@@ -183,7 +184,7 @@ GOLD = """gold AS (SELECT * FROM (VALUES ('the', ['of'], 'aided'), ('of_the', ['
   cutoff AS (SELECT CASE WHEN count(*) > 1500 THEN (SELECT min(df) FROM (SELECT df FROM endf WHERE df >= 5 ORDER BY df DESC LIMIT 1500)) END AS boundary FROM endf WHERE df >= 5),
   sc AS (SELECT g.en, g.source, CASE WHEN bool_or(c.ko_term IS NOT NULL) THEN 'found' WHEN replace(g.en, '_', ' ') IN (SELECT replace(lower(n_name), '_', ' ') FROM nation) THEN 'official_excluded'
       WHEN len(string_split(replace(g.en, '_', ' '), ' ')) > 3 THEN 'over_max_n' WHEN coalesce(max(e.df), 0) < 5 THEN 'below_min_cooccur' WHEN max(e.df) < max(boundary) THEN 'below_rank_cut' ELSE 'missed' END AS reach,
-      coalesce(bool_or(list_contains(g.ko, c.ko_term)), false) AS ko_match
+      bool_or(list_contains(g.ko, c.ko_term)) AS ko_match
     FROM gold g LEFT JOIN capped c ON c.en_term = replace(g.en, '_', ' ') LEFT JOIN endf e ON e.term = replace(g.en, '_', ' '), cutoff GROUP BY g.en, g.source)"""
 
 ORACLES = {
@@ -199,8 +200,9 @@ ORACLES = {
     "frequency_sheet": f"""WITH {PAIRS}, {_grams('en', EN_TOKENS)},
       d AS (SELECT term, count(*) AS df, min(id) AS example FROM en GROUP BY term HAVING count(*) >= 5),
       f AS (SELECT *, string_split(term, ' ') AS w FROM d)
-      SELECT term, df, example, rank, rank <= 1500 AS in_cap FROM (SELECT *, row_number() OVER (ORDER BY df DESC, term) AS rank FROM f
-        WHERE w[1] NOT IN ({_list(STOP_WORDS)}) AND w[-1] NOT IN ({_list(STOP_WORDS)}) AND NOT regexp_matches(w[1], '^[0-9]+$') AND NOT regexp_matches(w[-1], '^[0-9]+$')) WHERE rank <= 500""",
+      SELECT term, df, example, rank <= 1500 AS in_cap FROM (SELECT *, row_number() OVER (ORDER BY df DESC, term) AS rank FROM f)
+      WHERE w[1] NOT IN ({_list(FUNCTION_WORDS)}) AND w[-1] NOT IN ({_list(FUNCTION_WORDS)}) AND NOT regexp_matches(w[1], '^[0-9]+$') AND NOT regexp_matches(w[-1], '^[0-9]+$')
+      ORDER BY df DESC, term LIMIT 500""",
     "subtype_pairs": f"WITH {KEYWORDS} SELECT en_term, ko_term, array_to_string(card_ids, '|') AS card_ids FROM kw",
     "subtype_conflicts": f"WITH {KW_CONFLICTS} SELECT en_term, array_to_string(v, '|') AS ko_variants, len(v) AS n_variants, len(v) > 1 AS is_conflict FROM kc",
     "sentence_patterns": f"""WITH {CARDS}, cards2 AS (SELECT id, en_text, ko_text || '. ok' AS ko_text FROM cards), split AS (SELECT doc_id AS id, coalesce(text, '') AS en_text, coalesce(text, '') AS ko_text FROM documents)
@@ -247,8 +249,9 @@ ORACLES = {
     "delivered_throughput": f"WITH {OUTCOMES} SELECT count(*) AS total, count(*) FILTER (card_prediction <> '') AS delivered, round(count(*) FILTER (card_prediction <> '') / count(*), 9) AS throughput FROM syn",
     "pending_ratio": f"""WITH {OUTCOMES} SELECT count(DISTINCT card_id) AS n_cards, count(DISTINCT card_id) FILTER (interrupted AND card_id % 3 <> 0) AS n_pending,
       round(count(DISTINCT card_id) FILTER (interrupted AND card_id % 3 <> 0) / count(DISTINCT card_id), 9) AS ratio FROM rec""",
-    "echo_gate": """WITH e AS (SELECT p_partkey % 9 = 0 OR p_name = p_type AS echo FROM part WHERE p_partkey % 9 = 0 OR p_partkey % 10 <> 0)
-      SELECT count(*) AS n_with_hits, count(*) FILTER (echo) AS n_echo, round(count(*) FILTER (echo) / count(*), 9) AS rate, 0.05::DOUBLE AS threshold, count(*) FILTER (echo) / count(*) <= 0.05 AS passed FROM e""",
+    "echo_gate": """WITH e AS (SELECT p_partkey % 9 = 0 OR p_name = p_type AS echo, p_partkey % 8 = 0 AND (p_partkey % 9 <> 0 OR p_name = p_type) AS same FROM part WHERE p_partkey % 9 = 0 OR p_partkey % 10 <> 0),
+      g AS (SELECT count(*) AS n_with_hits, count(*) FILTER (echo) AS n_echo, count(*) FILTER (same) AS n_coincidence FROM e)
+      SELECT *, round(n_echo / n_with_hits, 9) AS rate, round(greatest(0.05, n_coincidence / n_with_hits), 9) AS threshold, n_echo / n_with_hits <= greatest(0.05, n_coincidence / n_with_hits) AS passed FROM g""",
     "per_model": f"""WITH {SYMBOLS}, m AS (SELECT 'm' || (p_size % 4) AS model_id, p_partkey AS id FROM part UNION SELECT 'm0', p_partkey FROM part WHERE p_partkey % 5 = 0)
       SELECT model_id, count(*) AS n_cards, count(*) FILTER (passed) AS n_passed, round(avg(passed::INT), 9) AS preservation FROM m JOIN g2 USING (id) GROUP BY model_id""",
     "ceiling_verdict": """WITH g AS (SELECT n_name AS gate, 0.5::DOUBLE AS threshold, n_nationkey / 20.0::DOUBLE AS ceiling, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE n_regionkey / 4.0::DOUBLE END AS agent, n_nationkey % 2 = 0 AS higher_is_better FROM nation),
@@ -258,14 +261,13 @@ ORACLES = {
     "gate_combine": "SELECT bool_and(n_nationkey % 7 <> 0) AS passed, coalesce(string_agg(n_name, '|' ORDER BY n_name) FILTER (n_nationkey % 7 = 0), '') AS failed FROM nation",
     "final_verdict": "SELECT n_nationkey AS id, CASE WHEN n_regionkey = 0 THEN NULL ELSE n_nationkey % 5 <> 0 AND n_nationkey % 3 <> 0 AND n_nationkey <> 7 END AS final FROM nation",
     "observation_stats": """WITH s AS (SELECT 1 + p_size % 3 AS r, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 1 + p_partkey % 3 END AS f FROM part)
-      SELECT count(r) AS rule_n, round(avg(r), 9) AS rule_mean, median(r) AS rule_median, count(f) AS flavor_n, round(avg(f), 9) AS flavor_mean, median(f) AS flavor_median, avg(r) >= 2.5 AS rule_meets, avg(f) >= 2.5 AS flavor_meets FROM s""",
+      SELECT count(r) AS rule_n, round(avg(r), 9) AS rule_mean, median(r) AS rule_median, count(f) AS flavor_n, round(avg(f), 9) AS flavor_mean, median(f) AS flavor_median, avg(r) >= 2.5 AS rule_meets, avg(f) >= 2.0 AS flavor_meets FROM s""",
     "extraction_prf": f"""WITH {PAIRS}, f AS (SELECT DISTINCT replace(unnest({_tokens('text')}), '_', ' ') AS t FROM benchmark), g AS (SELECT DISTINCT replace(unnest({_tokens('en_text')}), '_', ' ') AS t FROM pairs),
       n AS (SELECT count(*) FILTER (f.t IS NOT NULL AND g.t IS NOT NULL) AS tp, count(*) FILTER (g.t IS NULL) AS fp, count(*) FILTER (f.t IS NULL) AS fn FROM f FULL JOIN g ON f.t = g.t)
       SELECT tp, fp, fn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM n""",
     "rule_gold_scorecard": f"WITH {CANDIDATES}, {GOLD} SELECT * FROM sc",
-    "gold_recall": f"""WITH {CANDIDATES}, {GOLD} SELECT source, count(*) FILTER (reach NOT IN ('official_excluded', 'over_max_n')) AS reachable, count(*) FILTER (reach = 'found') AS found, count(*) FILTER (reach = 'found' AND ko_match) AS agreed,
-      round(coalesce(count(*) FILTER (reach = 'found') / nullif(count(*) FILTER (reach NOT IN ('official_excluded', 'over_max_n')), 0), 0.0), 9) AS recall,
-      round(coalesce(count(*) FILTER (reach = 'found' AND ko_match) / nullif(count(*) FILTER (reach = 'found'), 0), 0.0), 9) AS ko_accuracy FROM sc GROUP BY source""",
+    "gold_recall": f"""WITH {CANDIDATES}, {GOLD}, g AS (SELECT source, count(*) FILTER (reach IN ('found', 'missed')) AS scored, count(*) FILTER (reach = 'found') AS found, count(*) FILTER (ko_match) AS ko_correct FROM sc GROUP BY source)
+      SELECT *, round(coalesce(found / nullif(scored, 0), 0.0), 9) AS recall, round(coalesce(ko_correct / nullif(found, 0), 0.0), 9) AS ko_accuracy FROM g""",
     "judge_pending": f"WITH {JUDGED} SELECT en_term, ko_term FROM jc WHERE NOT EXISTS (FROM jj WHERE jj.en_term = jc.en_term AND jj.ko_term = jc.ko_term)",
     "judge_accepted": f"WITH {JUDGED} SELECT en_term, ko_term FROM jc WHERE EXISTS (FROM jj WHERE jj.en_term = jc.en_term AND jj.ko_term = jc.ko_term AND accepted)",
     "judge_counters": f"WITH {JUDGED} SELECT count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS rejected, count(*) FILTER (accepted IS NULL) AS dropped FROM jc LEFT JOIN jj USING (en_term, ko_term)",

@@ -65,7 +65,7 @@ def ngram_df(spark, sf_dir):
 
 @query
 def frequency_sheet(spark, sf_dir):
-    return terms.frequency_sheet(B.pairs(spark, sf_dir), "en_text", guards.STOP_WORDS)
+    return terms.frequency_sheet(B.pairs(spark, sf_dir), "en_text")
 
 
 def _keyword_pairs(spark, sf_dir):
@@ -239,9 +239,8 @@ def pending_ratio(spark, sf_dir):
 
 @query
 def echo_gate(spark, sf_dir):
-    r = table(spark, sf_dir, "part").selectExpr("p_name AS draft_ko", "CASE WHEN p_partkey % 9 = 0 THEN ' ' || p_name WHEN p_partkey % 10 = 0 THEN NULL ELSE p_type END AS top_hit")
-    g = evaluation.echo_gate(r, F.lit(0.02))
-    return g.select("n_with_hits", "n_echo", F.round("rate", 9).alias("rate"), "threshold", "passed")
+    r = table(spark, sf_dir, "part").selectExpr("p_name AS draft_ko", "CASE WHEN p_partkey % 9 = 0 THEN ' ' || p_name WHEN p_partkey % 10 = 0 THEN NULL ELSE p_type END AS top_hit", "CASE WHEN p_partkey % 8 = 0 THEN p_type END AS ref_ko")
+    return evaluation.echo_gate(r).withColumns({c: F.round(c, 9) for c in ("rate", "threshold")})
 
 
 @query

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from glosswright.functions import text as T
 
 # ---- fixed values ---------------------------------------------------------------------------------------------------
-GLOSSARY_CATEGORIES = ("factions", "types", "subtypes", "sides", "keywords")
+GLOSSARY_CATEGORIES = ("card_subtypes", "card_types", "factions", "card_cycles", "card_sets")
+GOLD_SOURCES = ("unaided", "aided")
 FIRST_YEAR, LAST_YEAR, HOLD_OUT, SEED = 2012, 2016, 100, 42
 # ---- end of fixed values --------------------------------------------------------------------------------------------
 
@@ -123,8 +124,10 @@ def glossary_asset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gold_terms(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
-    """(en, ko, source, note) of a versioned gold file; another version raises."""
+    """(en, ko, source, note) of a versioned gold file; another version, or an entry without en, ko or a known source, raises."""
     schema = "schema_version int, entries array<struct<en:string,ko:array<string>,source:string,note:string>>"
     d = spark.read.schema(schema).option("multiLine", True).json(path)
     d = d.filter(F.assert_true(F.col("schema_version") == version, "unknown schema_version").isNull())
-    return d.select(F.explode("entries").alias("e")).select("e.*")
+    d = d.select(F.explode("entries").alias("e")).select("e.*")
+    good = (F.col("en") != "") & (F.size("ko") > 0) & F.col("source").isin(*GOLD_SOURCES)
+    return d.filter(F.assert_true(F.coalesce(good, F.lit(False)), "bad gold entry").isNull()).select("en", "ko", "source", F.coalesce("note", F.lit("")).alias("note"))

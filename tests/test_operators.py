@@ -154,10 +154,11 @@ def test_length_mismatch_raises(spark):
 
 
 def test_echo_and_observations(spark):
-    r = spark.createDataFrame([("a  b", "a b"), ("x", "y"), ("", "z"), ("q", None)], "draft_ko string, top_hit string")
-    assert one(evaluation.echo_gate(r, F.lit(0.6)))["passed"] and not one(evaluation.echo_gate(r, F.lit(0.0)))["passed"]
+    r = spark.createDataFrame([("a  b", "a b", "no"), ("x", "y", " y"), ("", "z", "z"), ("q", None, "q")], "draft_ko string, top_hit string, ref_ko string")
+    assert one(evaluation.echo_gate(r)) == {"n_with_hits": 2, "n_echo": 1, "n_coincidence": 1, "rate": 0.5, "threshold": 0.5, "passed": True}
+    assert not one(evaluation.echo_gate(r.drop("ref_ko").withColumn("ref_ko", F.lit(None).cast("string"))))["passed"]
     o = one(evaluation.observations(spark.createDataFrame([(3, None), (2, None)], "rule_score int, flavor_score int")))
-    assert (o["rule_mean"], o["rule_meets"], o["flavor_n"], o["flavor_meets"]) == (2.5, True, 0, None)
+    assert (o["rule_mean"], o["rule_meets"], o["flavor_n"], o["flavor_meets"]) == (2.5, True, 0, False)
 
 
 def test_judging(spark):

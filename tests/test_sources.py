@@ -53,7 +53,7 @@ def test_splits(spark):
 
 
 def test_glossaries(spark, tmp_path):
-    paths = {"factions": put(tmp_path / "f.json", [{"id": "x", "name": "하나"}]), "keywords": put(tmp_path / "k.json", [{"id": "x", "name": "둘"}, {"id": "y", "name": "셋"}])}
+    paths = {"card_types": put(tmp_path / "f.json", [{"id": "x", "name": "하나"}]), "card_sets": put(tmp_path / "k.json", [{"id": "x", "name": "둘"}, {"id": "y", "name": "셋"}])}
     assert {tuple(r) for r in corpus.flat_official(corpus.official_glossary(spark, paths)).collect()} == {("x", "둘"), ("y", "셋")}
     asset = put(tmp_path / "g.json", {"official": {"a": "가"}, "subtype_extracted": {}, "extracted": {"b": "나"}})
     assert {tuple(r) for r in corpus.glossary_asset(spark, asset).collect()} == {("official", "a", "가"), ("extracted", "b", "나")}
@@ -61,6 +61,8 @@ def test_glossaries(spark, tmp_path):
     assert corpus.gold_terms(spark, put(tmp_path / "gold.json", gold)).first()["ko"] == ["가"]
     with pytest.raises(Exception, match="schema_version"):
         corpus.gold_terms(spark, put(tmp_path / "gold2.json", gold | {"schema_version": 2})).collect()
+    with pytest.raises(Exception, match="bad gold entry"):
+        corpus.gold_terms(spark, put(tmp_path / "gold3.json", gold | {"entries": [{"en": "a", "ko": [], "source": "aided"}]})).collect()
     bad = corpus.official_glossary(spark, {"factions": put(tmp_path / "bad.json", [{"id": "x"}])})
     with pytest.raises(Exception, match="bad entry"):
         bad.collect()
