@@ -28,6 +28,7 @@ SECTIONS = ("official", "subtype_extracted", "extracted")
 GUARD_TOKEN = r"\[[^\]]+\]|[a-zA-Z][a-zA-Z'-]*[a-zA-Z]|[a-zA-Z]"
 LEAST_LETTERS = 3
 # ---- end of fixed values --------------------------------------------------------------------------------------------
+MOST_FIRSTS = 20_000
 #: What stands before a token: neither a letter nor a bracket that closes.
 LEAD = r"(?:[^a-zA-Z\[]|\[(?![^\]]+\]))*+"
 
@@ -45,13 +46,23 @@ def phrase_hits(texts: DataFrame, terms: DataFrame, text_col: str = "en_text", t
     """id, `keep` columns and the columns of every term that stands in the text as a whole phrase.
 
     A term that begins with a word character begins a token of the text, so such terms meet the texts by their first
-    token; the exact test follows. Only terms that begin otherwise are tried on every text."""
+    token; the exact test follows. Only terms that begin otherwise are tried on every text. Up to MOST_FIRSTS first
+    tokens go to the texts as one array, so that a text is only repeated for tokens that a term begins with; with more,
+    tokens and terms meet first, and the texts join them by id (which must then be unique)."""
     first = F.get(T.tokens(F.col(term_col)), F.lit(0))
     starts = F.lower(F.col(term_col)).rlike(rf"^{T.W}")
     by_token = terms.filter(starts).withColumn("_first", first)
-    t = texts.select("id", text_col, *[c for c in keep if c != text_col], F.explode(F.array_distinct(T.tokens(F.col(text_col)))).alias("_first"))
-    hits = t.join(by_token, "_first").drop("_first").filter(T.has_phrase(F.col(text_col), F.col(term_col)))
-    odd = texts.select("id", text_col, *[c for c in keep if c != text_col]).join(terms.filter(~starts), T.has_phrase(F.col(text_col), F.col(term_col)))
+    rows = texts.select("id", text_col, *[c for c in keep if c != text_col])
+    words = F.array_distinct(T.tokens(F.col(text_col)))
+    firsts = by_token.select("_first").distinct()
+    if firsts.count() <= MOST_FIRSTS:
+        one = F.broadcast(firsts.agg(F.collect_list("_first").alias("_firsts")))  # one row
+        t = rows.crossJoin(one).withColumn("_first", F.explode(F.array_intersect(words, F.col("_firsts")))).drop("_firsts")
+        hits = t.join(by_token, "_first").drop("_first")
+    else:
+        hits = rows.join(rows.select("id", F.explode(words).alias("_first")).join(by_token, "_first").drop("_first"), "id")
+    hits = hits.filter(T.has_phrase(F.col(text_col), F.col(term_col)))
+    odd = rows.join(terms.filter(~starts), T.has_phrase(F.col(text_col), F.col(term_col)))
     return hits.unionByName(odd.select(*hits.columns))
 
 

@@ -82,6 +82,14 @@ def glossary(spark):
     return guards.flat_glossary(spark.createDataFrame(rows, "section string, en string, ko string")).cache()
 
 
+def test_glossary_of_any_size(spark, glossary, monkeypatch):
+    p = spark.createDataFrame([(1, "Break ice (x)"), (2, "A Code Gate"), (3, "nice")], "id long, en_text string")
+    small = {tuple(r) for r in guards.phrase_hits(p, glossary).collect()}
+    monkeypatch.setattr(guards, "MOST_FIRSTS", 0)
+    assert small == {tuple(r) for r in guards.phrase_hits(p, glossary).select("id", "en_text", "en", "ko", "source").collect()}
+    assert {(r[0], r[2]) for r in small} == {(1, "ice"), (1, "(x)"), (2, "code gate")}
+
+
 def test_glossary(spark, glossary):
     assert {tuple(r) for r in glossary.collect()} == {("ice", "아이스", "official"), ("code gate", "코드 게이트", "official"), ("(x)", "엑스", "extracted")}
     p = spark.createDataFrame([(1, "Break ice (x)", "아이스"), (2, "A Code Gate", "코드 게이트"), (3, "nice", "")], PAIR)
