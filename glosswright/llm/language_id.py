@@ -31,6 +31,7 @@ DIMS = 1 << 13
 SLICE = 1 << 20
 UND = "und"
 SHORT = 100
+BLOCK = 128  # texts that are scored at once
 
 
 def _letters() -> np.ndarray:
@@ -71,8 +72,11 @@ class Model:
     threshold: float
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        """The vectors of counts (floats), in the same memory."""
+        x = np.log1p(counts, out=counts)
+        x *= self.idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
+        return x
 
     def score(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language index and cosine of the nearest centroid."""
@@ -84,9 +88,9 @@ class Model:
 def fit(langs: list[str], counts: np.ndarray, per_lang: int = 4, rounds: int = 12, quantile: float = 0.01, fraction: float = 0.5) -> Model:
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], dtype=np.int64)
-    df = (counts > 0).sum(axis=0)
-    m = Model(names, np.log((1 + len(y)) / (1 + df)) + 1, np.zeros((0, DIMS)), np.zeros(0, np.int64), 0.0)
-    x, cents, owner = m.vectors(counts).astype(np.float32), [], []
+    df = np.count_nonzero(counts, axis=0)
+    m = Model(names, (np.log((1 + len(y)) / (1 + df)) + 1).astype(np.float32), np.zeros((0, DIMS)), np.zeros(0, np.int64), 0.0)
+    x, cents, owner = m.vectors(counts), [], []
     for k in range(len(names)):
         own = x[y == k]
         c = own[np.linspace(0, len(own) - 1, min(per_lang, len(own))).astype(int)]
@@ -97,7 +101,8 @@ def fit(langs: list[str], counts: np.ndarray, per_lang: int = 4, rounds: int = 1
         cents.append(c)
         owner += [k] * len(c)
     m.centroids, m.owner = np.concatenate(cents), np.array(owner, dtype=np.int64)
-    own_cos = np.array([(x[i] @ m.centroids[m.owner == y[i]].T).max() for i in range(len(y))])
+    cos = x @ m.centroids.T
+    own_cos = np.where(m.owner[None, :] == y[:, None], cos, -1.0).max(axis=1)
     m.threshold = float(fraction * np.quantile(own_cos, quantile))
     return m
 
@@ -138,7 +143,9 @@ def train(df: DataFrame, text_col: str, id_col: str, lang_col: str, folds: int,
     counts = np.zeros((len(got), DIMS), np.float32)
     for i, r in enumerate(got):
         counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u4")
-    model = fit([r["label"] for r in got], counts)
+    labels = [r["label"] for r in got]
+    del got
+    model = fit(labels, counts)
     model.centroids = model.centroids.astype(np.float32)
     return model
 
@@ -147,13 +154,14 @@ def judge(m: Model | None, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and whether it is rejected, for each of an Arrow column's texts."""
     n = len(texts)
     langs, scores, rejected = [UND] * n, np.zeros(n), np.ones(n, bool)
-    for i in range(0, n if m is not None else 0, 512):
-        part = [(k, c) for k in range(i, min(n, i + 512)) if (c := trigrams(texts[k].as_py())) is not None]
+    for i in range(0, n if m is not None else 0, BLOCK):
+        part = [(k, c) for k in range(i, min(n, i + BLOCK)) if (c := trigrams(texts[k].as_py())) is not None]
         if not part:
             continue
-        at, counts = [k for k, _ in part], np.stack([c for _, c in part])
+        at, counts = [k for k, _ in part], np.array([c for _, c in part], dtype=np.float32)
+        enough = counts.sum(axis=1) >= SHORT
         who, cos = m.score(counts)
-        scores[at], rejected[at] = cos, (cos < m.threshold) & (counts.sum(axis=1) >= SHORT)
+        scores[at], rejected[at] = cos, (cos < m.threshold) & enough
         for k, w in zip(at, who, strict=True):
             langs[k] = m.langs[w]
     return langs, scores, rejected
