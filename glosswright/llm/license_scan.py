@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over a text's words.
 
-A text is reduced to its words (ASCII lower case, single spaces). One keyword pattern lets through the texts worth
-reading; in those every rule whose own keyword occurs is matched, and overlapping detections are resolved: one that
+One keyword pattern lets through the texts worth reading. Those are reduced to their words (ASCII lower case, single
+spaces), and in them every rule whose own keyword occurs is matched, and overlapping detections are resolved: one that
 lies inside another of the same or a higher priority goes (of equal intervals the earlier rule stays). Base rules are
 plain phrases; the labels they find are never suppressed.
 
@@ -15,6 +15,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import cache
 
@@ -28,7 +29,7 @@ from .common import ascii_lower, documents, text_of
 class Rule:
     label: str
     regex: str
-    keyword: str
+    keywords: tuple[str, ...]
     priority: int
     score: float
     base: bool = False
@@ -39,58 +40,58 @@ LICENCE = "licen[sc]e"
 #: Base phrases (fixed values).
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: label, name as words, a word that every match of the name has, SPDX words; versions go into the label (fixed values).
-FAMILIES: list[tuple[str, str, str, str, tuple[str, ...]]] = [
-    ("gpl", "(?:gnu )?(?:general public|gpl)", "g", "gpl", ("1", "2", "3")),
-    ("lgpl", "(?:gnu )?(?:lesser general public|library general public|lgpl)", "l", "lgpl", ("2", "2 1", "3")),
-    ("agpl", "(?:gnu )?(?:affero general public|agpl)", "a", "agpl", ("1", "3")),
-    ("gfdl", "(?:gnu )?(?:free documentation|gfdl|fdl)", "f", "gfdl", ("1 1", "1 2", "1 3")),
-    ("apache", "(?:apache(?: software)?|asl)", "a", "apache", ("1 0", "1 1", "2 0")),
-    ("mpl", "(?:mozilla public|mpl)", "m", "mpl", ("1 0", "1 1", "2 0")),
-    ("epl", "(?:eclipse public|epl)", "e", "epl", ("1 0", "2 0")),
-    ("edl", "(?:eclipse distribution|edl)", "e", "edl", ("1 0",)),
-    ("cddl", "(?:common development and distribution|cddl)", "d", "cddl", ("1 0", "1 1")),
-    ("cpl", "(?:common public|cpl)", "p", "cpl", ("1 0",)),
-    ("eupl", "(?:european union public|eupl)", "eu", "eupl", ("1 0", "1 1", "1 2")),
-    ("osl", "(?:open software|osl)", "o", "osl", ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", "(?:academic free|afl)", "a", "afl", ("1 2", "2 0", "2 1", "3 0")),
-    ("artistic", "(?:perl )?artistic", "artistic", "artistic", ("1 0", "2 0")),
-    ("boost", "boost(?: software)?|bsl", "b", "bsl", ("1 0",)),
-    ("cecill", "cecill", "cecill", "cecill", ("1 0", "1 1", "2 0", "2 1")),
-    ("ofl", "(?:sil )?(?:open font|ofl)", "o", "ofl", ("1 0", "1 1")),
-    ("zpl", "(?:zope public|zpl)", "z", "zpl", ("1 1", "2 0", "2 1")),
-    ("php", "php", "php", "php", ("3 0", "3 01")),
-    ("python", "(?:python software foundation|psf|python)", "p", "psf", ("2 0",)),
-    ("odbl", "(?:open database|odbl)", "d", "odbl", ("1 0",)),
-    ("odc-by", "(?:open data commons attribution|odc by)", "od", "odc by", ("1 0",)),
-    ("ms-pl", "(?:microsoft public|ms pl)", "m", "ms pl", ()),
-    ("ms-rl", "(?:microsoft reciprocal|ms rl)", "m", "ms rl", ()),
-    ("mit", "(?:mit x11|x11 mit|mit expat|expat|mit)", "it", "mit", ()),
-    ("x11", "x11", "x11", "x11", ()),
-    ("isc", "(?:internet software consortium|isc)", "i", "isc", ()),
-    ("bsd-2-clause", "(?:simplified bsd|freebsd|2 clause bsd|bsd 2 clause|two clause bsd)", "bsd", "bsd 2 clause", ()),
-    ("bsd-3-clause", "(?:modified bsd|revised bsd|new bsd|3 clause bsd|bsd 3 clause|three clause bsd)", "bsd", "bsd 3 clause", ()),
-    ("bsd-4-clause", "(?:original bsd|4 clause bsd|bsd 4 clause|four clause bsd)", "bsd", "bsd 4 clause", ()),
-    ("bsd", "bsd(?: style)?", "bsd", "bsd", ()),
-    ("0bsd", "(?:zero clause bsd|0bsd|bsd zero clause)", "bsd", "0bsd", ()),
-    ("zlib", "(?:zlib(?: libpng)?)", "zlib", "zlib", ()),
-    ("libpng", "libpng", "libpng", "libpng", ("2 0",)),
-    ("unlicense", "unlicense", "unlicense", "unlicense", ()),
-    ("wtfpl", "(?:do what the fuck you want to public|wtfpl)", "w", "wtfpl", ("1", "2")),
-    ("ncsa", "(?:university of illinois ncsa(?: open source)?|ncsa)", "ncsa", "ncsa", ()),
-    ("openssl", "openssl", "openssl", "openssl", ()),
-    ("ruby", "ruby", "ruby", "ruby", ()),
-    ("vim", "vim", "vim", "vim", ()),
-    ("postgresql", "postgresql", "postgresql", "postgresql", ()),
-    ("ecl", "(?:educational community|ecl)", "e", "ecl", ("1 0", "2 0")),
-    ("upl", "(?:universal permissive|upl)", "u", "upl", ("1 0",)),
-    ("blueoak", "blue oak(?: model)?", "oak", "blueoak", ("1 0 0",)),
-    ("mulan", "mulan(?: permissive software| psl)?", "mulan", "mulanpsl", ("1 0", "2 0")),
-    ("busl", "(?:business source|busl)", "bus", "busl", ("1 1",)),
-    ("sspl", "(?:server side public|sspl)", "s", "sspl", ("1 0",)),
-    ("elastic", "elastic", "elastic", "elastic", ("2 0",)),
-    ("openrail", "(?:creativeml open ?rail m|open ?rail(?: m| s)?|bigscience (?:open )?rail)", "rail", "openrail", ()),
-    ("llama", "llama(?: [0-9])?(?: community)?", "llama", "llama", ()),
+#: label, name as words, SPDX words; versions go into the label (fixed values).
+FAMILIES: list[tuple[str, str, str, tuple[str, ...]]] = [
+    ("gpl", "(?:gnu )?(?:general public|gpl)", "gpl", ("1", "2", "3")),
+    ("lgpl", "(?:gnu )?(?:lesser general public|library general public|lgpl)", "lgpl", ("2", "2 1", "3")),
+    ("agpl", "(?:gnu )?(?:affero general public|agpl)", "agpl", ("1", "3")),
+    ("gfdl", "(?:gnu )?(?:free documentation|gfdl|fdl)", "gfdl", ("1 1", "1 2", "1 3")),
+    ("apache", "(?:apache(?: software)?|asl)", "apache", ("1 0", "1 1", "2 0")),
+    ("mpl", "(?:mozilla public|mpl)", "mpl", ("1 0", "1 1", "2 0")),
+    ("epl", "(?:eclipse public|epl)", "epl", ("1 0", "2 0")),
+    ("edl", "(?:eclipse distribution|edl)", "edl", ("1 0",)),
+    ("cddl", "(?:common development and distribution|cddl)", "cddl", ("1 0", "1 1")),
+    ("cpl", "(?:common public|cpl)", "cpl", ("1 0",)),
+    ("eupl", "(?:european union public|eupl)", "eupl", ("1 0", "1 1", "1 2")),
+    ("osl", "(?:open software|osl)", "osl", ("1 0", "2 0", "2 1", "3 0")),
+    ("afl", "(?:academic free|afl)", "afl", ("1 2", "2 0", "2 1", "3 0")),
+    ("artistic", "(?:perl )?artistic", "artistic", ("1 0", "2 0")),
+    ("boost", "boost(?: software)?|bsl", "bsl", ("1 0",)),
+    ("cecill", "cecill", "cecill", ("1 0", "1 1", "2 0", "2 1")),
+    ("ofl", "(?:sil )?(?:open font|ofl)", "ofl", ("1 0", "1 1")),
+    ("zpl", "(?:zope public|zpl)", "zpl", ("1 1", "2 0", "2 1")),
+    ("php", "php", "php", ("3 0", "3 01")),
+    ("python", "(?:python software foundation|psf|python)", "psf", ("2 0",)),
+    ("odbl", "(?:open database|odbl)", "odbl", ("1 0",)),
+    ("odc-by", "(?:open data commons attribution|odc by)", "odc by", ("1 0",)),
+    ("ms-pl", "(?:microsoft public|ms pl)", "ms pl", ()),
+    ("ms-rl", "(?:microsoft reciprocal|ms rl)", "ms rl", ()),
+    ("mit", "(?:mit x11|x11 mit|mit expat|expat|mit)", "mit", ()),
+    ("x11", "x11", "x11", ()),
+    ("isc", "(?:internet software consortium|isc)", "isc", ()),
+    ("bsd-2-clause", "(?:simplified bsd|freebsd|2 clause bsd|bsd 2 clause|two clause bsd)", "bsd 2 clause", ()),
+    ("bsd-3-clause", "(?:modified bsd|revised bsd|new bsd|3 clause bsd|bsd 3 clause|three clause bsd)", "bsd 3 clause", ()),
+    ("bsd-4-clause", "(?:original bsd|4 clause bsd|bsd 4 clause|four clause bsd)", "bsd 4 clause", ()),
+    ("bsd", "bsd(?: style)?", "bsd", ()),
+    ("0bsd", "(?:zero clause bsd|0bsd|bsd zero clause)", "0bsd", ()),
+    ("zlib", "(?:zlib(?: libpng)?)", "zlib", ()),
+    ("libpng", "libpng", "libpng", ("2 0",)),
+    ("unlicense", "unlicense", "unlicense", ()),
+    ("wtfpl", "(?:do what the fuck you want to public|wtfpl)", "wtfpl", ("1", "2")),
+    ("ncsa", "(?:university of illinois ncsa(?: open source)?|ncsa)", "ncsa", ()),
+    ("openssl", "openssl", "openssl", ()),
+    ("ruby", "ruby", "ruby", ()),
+    ("vim", "vim", "vim", ()),
+    ("postgresql", "postgresql", "postgresql", ()),
+    ("ecl", "(?:educational community|ecl)", "ecl", ("1 0", "2 0")),
+    ("upl", "(?:universal permissive|upl)", "upl", ("1 0",)),
+    ("blueoak", "blue oak(?: model)?", "blueoak", ("1 0 0",)),
+    ("mulan", "mulan(?: permissive software| psl)?", "mulanpsl", ("1 0", "2 0")),
+    ("busl", "(?:business source|busl)", "busl", ("1 1",)),
+    ("sspl", "(?:server side public|sspl)", "sspl", ("1 0",)),
+    ("elastic", "elastic", "elastic", ("2 0",)),
+    ("openrail", "(?:creativeml open ?rail m|open ?rail(?: m| s)?|bigscience (?:open )?rail)", "openrail", ()),
+    ("llama", "llama(?: [0-9])?(?: community)?", "llama", ()),
 ]
 
 #: Creative Commons: words of the element, label (fixed values).
@@ -133,12 +134,14 @@ SENTENCES: list[tuple[str, str, str, float]] = [
     ("copyright-notice", "copyright (?:c )?[12][0-9]{3}", "copyright", 0.3),
 ]
 
-#: A text without any of these has no detection: every keyword below holds one of them.
-#: It is tried at word starts only.
-ANCHOR = " (?:" + "|".join((
-    "licen[sc]", "spdx", "unlicense", "creative ?commons", "cc by", "cc0", "public domain", "permission ", "redistribut", "copyright", "rights reserved",
-    "proprietary", "strictly prohibited", "verbatim", "any later version", "advertising materials", "endorse or", "express or", "free software",
-    "source code form", "mozilla org", "apache org", "unencumbered",
+SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+
+#: Every match of a rule holds one of these at a word's start; it is tried on the text as it is, in any case, before
+#: anything is rewritten.
+GATE = r"(?i)(?<![0-9A-Za-z\x80-\x{10FFFF}])(?:" + "|".join((
+    "licen[sc]", "spdx", "unlicense", "creative ?commons", f"cc{SEPARATOR}+by", "cc0", f"public{SEPARATOR}+domain", "permission", "redistribut", "copyright",
+    f"rights{SEPARATOR}+reserved", "proprietary", "prohibited", "verbatim", "advertising", "endorse", f"express{SEPARATOR}+or", f"free{SEPARATOR}+software",
+    "mozilla", "apache", "unencumbered", f"creative{SEPARATOR}+commons", f"(?:released|distributed|published|available|provided|covered){SEPARATOR}+under",
 )) + ")"
 
 
@@ -146,47 +149,55 @@ def _dots(words: str) -> str:
     return words.replace(" ", ".") if " " in words else words + ".0"
 
 
+def _literals(regex: str) -> tuple[str, ...]:
+    """A word of each alternative of a name: every match holds one of them."""
+    plain = re.sub(r"\(\?:[^()]*\)\?", " ", regex).replace("(?:", "").replace(")", "")
+    return tuple(max(re.findall("[a-z0-9]+", x), key=len) for x in plain.split("|"))
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules, in order: base phrases, then the families' notices, SPDX lines, versions and titles, then sentences."""
-    out = [Rule(label, phrase, phrase, 5, 0.7, True) for phrase, label in BASE.items()]
+    out = [Rule(label, phrase, (phrase,), 5, 0.7, True) for phrase, label in BASE.items()]
     under = f"(?:licen[sc]ed|released|distributed|published|available|provided|covered|made available) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
-    for label, name, _, spdx, versions in FAMILIES:
-        name = f"(?:{name})"
+    for label, name, spdx, versions in FAMILIES:
+        name, words, short = f"(?:{name})", _literals(name), _literals(spdx)
         for v in versions:
             ver = f"(?:v(?:ersion)? ?)?{v}"
             long = "" if " " in v else "(?: 0)?"
             full = f"{label}-{_dots(v)}"
             out += [
-                Rule(full, f"{under}{name}(?: {LICENCE})? {ver}{long}", " under ", 4, 0.98),
-                Rule(full, f"{name} {LICENCE} {ver}{long}", "licen", 3, 0.9),
-                Rule(full, f"spdx {LICENCE} identifier {spdx} {v}{long}(?: only| or later)?", "spdx", 4, 1.0),
+                Rule(full, f"{under}{name}(?: {LICENCE})? {ver}{long}", words, 4, 0.98),
+                Rule(full, f"{name} {LICENCE} {ver}{long}", words, 3, 0.9),
+                Rule(full, f"spdx {LICENCE} identifier {spdx} {v}{long}(?: only| or later)?", ("spdx",), 4, 1.0),
             ]
         out += [
-            Rule(label, f"{under}{name} {LICENCE}", " under ", 3, 0.9),
-            Rule(label, f"spdx {LICENCE} identifier {spdx}", "spdx", 3, 0.95),
-            Rule(label, f"{LICENCE} {spdx}(?: {LICENCE})?", "licen", 1, 0.6),
-            Rule(label, f"{name} {LICENCE}", "licen", 2, 0.8),
+            Rule(label, f"{under}{name} {LICENCE}", words, 3, 0.9),
+            Rule(label, f"spdx {LICENCE} identifier {spdx}", ("spdx",), 3, 0.95),
+            Rule(label, f"{LICENCE} {spdx}(?: {LICENCE})?", short, 1, 0.6),
+            Rule(label, f"{name} {LICENCE}", words, 2, 0.8),
         ]
     for words, label in CC.items():
         for v in CC_VERSIONS:
-            out.append(Rule(f"{label}-{_dots(v)}", f"(?:cc|creative commons) {words} {v}(?: (?:international|unported|generic|{LICENCE}))*", "c", 4, 0.97))
-            out.append(Rule(f"{label}-{_dots(v)}", f"creativecommons org licenses {words} {v}", "creativecommons", 4, 0.97))
-        out.append(Rule(label, f"(?:cc|creative commons) {words}(?: {LICENCE})?", "c", 3, 0.85))
-    out += [Rule(label, rx, kw, 3, score) for label, rx, kw, score in SENTENCES]
+            out.append(Rule(f"{label}-{_dots(v)}", f"(?:cc|creative commons) {words} {v}(?: (?:international|unported|generic|{LICENCE}))*", ("cc ", "commons"), 4, 0.97))
+            out.append(Rule(f"{label}-{_dots(v)}", f"creativecommons org licenses {words} {v}", ("creativecommons",), 4, 0.97))
+        out.append(Rule(label, f"(?:cc|creative commons) {words}(?: {LICENCE})?", ("cc ", "commons"), 3, 0.85))
+    out += [Rule(label, rx, (kw,), 3, score) for label, rx, kw, score in SENTENCES]
     out += [
-        Rule("licensed", f"{LICENCE}d under [a-z0-9 ]{{2,40}}?{LICENCE}", " under ", 1, 0.4),
-        Rule("license-mention", f"(?:see|read|refer to) (?:the )?(?:file )?{LICENCE}(?: file| txt| md)?", "licen", 0, 0.2),
+        Rule("licensed", f"{LICENCE}d under [a-z0-9 ]{{2,40}}?{LICENCE}", (" under ",), 1, 0.4),
+        Rule("license-mention", f"(?:see|read|refer to) (?:the )?(?:file )?{LICENCE}(?: file| txt| md)?", ("see ", "read ", "refer "), 0, 0.2),
     ]
     return tuple(out)
 
 
 def _rule_literal(rs: tuple[Rule, ...]) -> Column:
-    """The rules as a constant array of structs, built from one JSON string that the optimiser folds."""
-    import json
-
-    rows = [{"i": i, "label": r.label, "rx": f"(?<= )(?:{r.regex})(?= )", "kw": r.keyword, "prio": r.priority, "score": r.score, "base": r.base} for i, r in enumerate(rs)]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<i:int,label:string,rx:string,kw:string,prio:int,score:double,base:boolean>>")
+    """The rules as a constant array of structs, which the optimiser folds into one literal."""
+    quoted = lambda s: "r'" + s + "'"
+    one = lambda i, r: (
+        f"named_struct('i', {i}, 'label', {quoted(r.label)}, 'rx', {quoted(f'(?<= )(?:{r.regex})(?= )')}, 'kws', array({', '.join(map(quoted, r.keywords))}), "
+        f"'prio', {r.priority}, 'score', {r.score:.4f}D, 'base', {str(r.base).lower()})"
+    )
+    return F.expr(f"array({', '.join(one(i, r) for i, r in enumerate(rs))})")
 
 
 OPEN, CLOSE = "\x01", "\x02"  # canonical texts hold no control characters
@@ -199,6 +210,13 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), "^ +$", "")
 
 
+def count_words(text: Column) -> Column:
+    """Number of words: the parts between separators, without an empty one at either end."""
+    blank = lambda x: F.when(x == "", 1).otherwise(0)
+    # the lambda binds the parts, which are then used three times
+    return F.transform(F.array(F.split(text, f"{SEPARATOR}+", -1)), lambda p: F.greatest(F.lit(0), F.size(p) - blank(p[0]) - blank(F.element_at(p, -1))))[0].cast("long")
+
+
 def spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
@@ -238,16 +256,17 @@ def _resolve(spans: Column) -> Column:
 def license_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_words, base (all base spans) and detections (the spans that stay), in words."""
     rs = rules()
-    d = df.select(F.col(id_col).alias("doc_id"), canonical(text_of(text_col)).alias("_c"))
-    d = d.select("doc_id", F.when(F.col("_c") == "", F.lit(0)).otherwise(spaces(F.col("_c")) - 1).cast("long").alias("n_words"), F.col("_c"))
+    d = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t"))
+    gated = F.when(F.col("_t").rlike(GATE), canonical(F.col("_t"))).otherwise(F.lit(""))
+    d = d.select("doc_id", count_words(F.col("_t")).alias("n_words"), gated.alias("_c"))
     none = F.array().cast(SPAN)
 
-    def scan(pick: tuple[Rule, ...]) -> Column:
-        hit = F.filter(_rule_literal(pick), lambda r: F.contains(F.col("_c"), r["kw"]))
-        return F.flatten(F.transform(hit, lambda r: _matches(F.col("_c"), r)))
-
-    found = F.when(F.col("_c").rlike(ANCHOR), scan(rs)).otherwise(none)
-    d = d.select("doc_id", "n_words", found.alias("_all"))
+    keywords = F.array(*[F.lit(k) for k in sorted({k for r in rs for k in r.keywords})])
+    present = F.when(F.col("_c") != "", F.filter(keywords, lambda k: F.contains(F.col("_c"), k))).otherwise(F.array().cast("array<string>"))
+    d = d.select("doc_id", "n_words", "_c", present.alias("_kw"))
+    hit = F.filter(_rule_literal(rs), lambda r: F.arrays_overlap(r["kws"], F.col("_kw")))
+    found = F.flatten(F.transform(hit, lambda r: _matches(F.col("_c"), r)))
+    d = d.select("doc_id", "n_words", F.when(F.size("_kw") > 0, found).otherwise(none).alias("_all"))
     return d.select(
         "doc_id", "n_words", F.filter("_all", lambda x: x["base"]).alias("base"),
         F.when(F.size("_all") == 0, none).otherwise(_resolve(F.filter("_all", lambda x: ~x["base"]))).alias("detections"),
