@@ -18,7 +18,6 @@ encoded one by one; an empty table gives an empty result; other columns are not
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +30,7 @@ from .common import documents
 CHUNK, OVERLAP = 1 << 14, 1 << 8
 #: A boundary is certain only if the pattern saw at least so many characters after it.
 CLEAR = 4
+ROWS = 256
 
 
 class Codec:
@@ -92,30 +92,46 @@ def default_vocabulary() -> tuple[str, str]:
     return tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
 
 
-def encode_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, pattern: str | None = None, ids: bool = True) -> DataFrame:
-    """One row per input row: doc_id, ids (little-endian unsigned 32-bit; null unless asked for), n_tokens,
-    ids_sha256, decoded_sha256 (of the bytes that the ids decode to). path is read on each executor."""
+def encode_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids (little-endian unsigned 32-bit) and, if asked for, decoded: the
+    bytes that the ids decode to. path is read on each executor."""
     import pyarrow as pa
 
     path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
     d = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    names = ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
-    hexdigest = lambda b: hashlib.sha256(b).hexdigest()
+    names = ["doc_id", "n_tokens", "ids", *["decoded"] * decoded]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            rows = []
-            for t in b.column(1):
-                got = c.encode(t.as_py())
-                raw = got.tobytes()
-                rows.append((raw if ids else None, len(got), hexdigest(raw), hexdigest(c.decode(got))))
-            kinds = (pa.binary(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names)
+            for i in range(0, b.num_rows, ROWS):  # a few texts at a time: ids and bytes are larger than texts
+                part = b.slice(i, ROWS)
+                ids = [c.encode(t.as_py()) for t in part.column(1)]
+                cols = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+                if decoded:
+                    cols.append(pa.array([c.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     id_type = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(encoded, f"doc_id {id_type}, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return d.mapInArrow(encoded, f"doc_id {id_type}, n_tokens long, ids binary" + ", decoded binary" * decoded)
+
+
+def decode_documents(df: DataFrame, ids_col: str = "ids", id_col: str = "doc_id", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """One row per input row: doc_id and decoded, the bytes of its ids one after another; null ids decode to nothing."""
+    import pyarrow as pa
+
+    path, pattern = path or default_vocabulary()[0], pattern or default_vocabulary()[1]
+    d = df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for b in batches:
+            raw = [c.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["doc_id", "decoded"])
+
+    return d.mapInArrow(read, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(documents(spark, sf_dir), ids=False).drop("ids")
+    d = encode_documents(documents(spark, sf_dir), decoded=True)
+    return d.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
