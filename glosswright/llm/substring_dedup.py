@@ -25,7 +25,6 @@ before any other; an empty table gives an empty result; other columns are not re
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, sha256_text
 
 L5, L10, L20 = 5, 10, 20
 WIDE = L20 - L5  # an anchor starts 0 to 15 words after its window
@@ -257,15 +256,15 @@ def remove_marked(id_type) -> Callable:
                 g = gone[win.begins[k] : win.begins[k + 1]]
                 kept = words[k] if not g.any() else [w for w, x in zip(words[k], g.tolist(), strict=True) if not x]
                 raw = b" ".join(kept)
-                out.append((None if d == NO_ID else d, len(g), int(g.sum()), hashlib.sha256(raw).hexdigest(), raw.decode()))
-        kinds = (id_type, pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                out.append((None if d == NO_ID else d, len(g), int(g.sum()), raw.decode()))
+        kinds = (id_type, pa.int64(), pa.int64(), pa.string())
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return removed
 
 
 def substring_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucket_bytes: int = 8 << 20) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words, single spaces)."""
+    """One row per input row: doc_id, n_words, n_removed and kept_text (the kept words, single spaces)."""
     import pyarrow as pa
 
     d = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -283,18 +282,19 @@ def substring_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     a = a.withColumn("r10", F.shiftrightunsigned("h10", 32)).withColumn("l10", F.col("h10").bitwiseAND(F.lit(0xFFFFFFFF)))
     a = a.withColumn("right", (F.sum("lead").over(over("h5", "r10")) > 1).cast("long")).withColumn("left", (F.sum("lead").over(over("h5", "l10")) > 1).cast("long"))
     stay = [F.col("first.doc").alias("doc"), F.col("first.pos").cast("long").alias("pos")]
-    runs = a.filter("n_ctx > 1").select("bucket", F.lit(0).alias("kind"), F.col("ctx").alias("key"), "h5", *stay)
+    # h10 is of no use here, but with it both reads of the anchor rows need the same columns, and so share one shuffle
+    runs = a.filter("n_ctx > 1 and h10 is not null").select("bucket", F.lit(0).alias("kind"), F.col("ctx").alias("key"), "h5", *stay)
     checks = a.filter("lead = 1 and (right = 1 or left = 1)").select("bucket", "doc", F.col("pos").cast("long").alias("pos"), "right", "left")
 
     windows = docs.cogroup(checks.groupBy("bucket")).applyInArrow(send_windows, _ddl(WINDOW))
     w = windows.repartition("h20").withColumn("first", F.min(place).over(over("h20", "h5"))).withColumn("n_all", F.sum("n").over(over("h20", "h5")))
     marks = runs.unionByName(w.filter("n_all > 1").select("bucket", F.lit(1).alias("kind"), F.col("h20").alias("key"), "h5", *stay))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    schema = "doc_id long, n_words long, n_removed long, kept_text string"
     return docs.cogroup(marks.groupBy("bucket")).applyInArrow(remove_marked(pa.int64()), schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(documents(spark, sf_dir)).drop("kept_text")
+    return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", sha256_text(F.col("kept_text")).alias("kept_sha256"))
 
 
 ORACLE = r"""
