@@ -7,9 +7,10 @@ the rejection threshold is too far from every centroid; the threshold is a fract
 cosines of the training texts to their own language. A text of fewer than SHORT trigrams shares few with anything; it
 says too little to be called far and is not rejected for its distance.
 
-The model is fitted on at most `sample` labelled texts, those with the smallest seeded hashes (a documented bound; the
-sample is collected as trigram counts, whole texts counted); document frequencies come from it too. Scoring reads every
-text whole, in one pass without a shuffle.
+The model is fitted on at most `sample` labelled texts (a documented bound; the sample is collected as trigram counts,
+whole texts counted); document frequencies come from it too. The languages share the sample evenly, what a rare one
+leaves going to the others, but each gets FEWEST texts if it has them; of a language those with the smallest seeded
+hashes are taken, exactly, equal rows counting once. Scoring reads every text whole, in one pass without a shuffle.
 
 Cases: a null text or one without a letter gets `und` and score 0; very long texts are counted slice by slice;
 repeated rows and ids are scored one by one; without any training text every text gets `und`; an empty table gives an
@@ -22,16 +23,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, held_out
+from .common import cut, documents, held_out
 
 DIMS = 1 << 13
 SLICE = 1 << 20
 UND = "und"
 SHORT = 100
 BLOCK = 128  # texts that are scored at once
+FEWEST = 20  # texts of a language that are learned from, however many languages share the sample
+BUCKETS = 12  # bits of the order by which the cut is found before single rows are ranked
+ORDER_BITS = 30
 
 
 def _letters() -> np.ndarray:
@@ -107,8 +112,35 @@ def fit(langs: list[str], counts: np.ndarray, per_lang: int = 4, rounds: int = 1
     return m
 
 
-def training_counts(df: DataFrame, text: Column, label: Column, order: Column, sample: int) -> list:
-    """Trigram counts (as sparse pairs) and labels of at most `sample` rows, those with the smallest order."""
+def fair_level(sizes: list[int], sample: int, fewest: int = FEWEST) -> int:
+    """The number of texts that a language may give so that all together give at most `sample` (or `fewest` each)."""
+    left, level = sample, max(sizes, default=0)
+    for i, n in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if n > share:
+            level = share
+            break
+        left -= n
+    return max(level, fewest)
+
+
+def smallest(keys: DataFrame, sample: int) -> DataFrame:
+    """Of each label the rows of keys (label, o, doc_id, digest; no row twice) with the smallest (o, doc_id, digest), as
+    many as its share of the sample. Rows are counted by leading bits of o first, so that only those up to a label's cut
+    are ever ranked together."""
+    n = {r["label"]: r["n"] for r in keys.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row per language
+    level = fair_level(list(n.values()), sample)
+    bucket = F.shiftright("o", ORDER_BITS - BUCKETS)
+    counted = keys.groupBy("label", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("label").orderBy("bucket")) - F.col("n")
+    cuts = counted.withColumn("before", before).filter(F.col("before") < level).groupBy("label").agg(F.max("bucket").alias("cut"))
+    low = keys.join(F.broadcast(cuts), "label").filter(bucket <= F.col("cut"))
+    place = F.row_number().over(W.partitionBy("label").orderBy("o", "doc_id", "digest"))
+    return low.withColumn("place", place).filter(F.col("place") <= level).select("label", "doc_id", "digest")
+
+
+def training_counts(df: DataFrame, sample: int) -> list:
+    """Trigram counts (as sparse pairs) and labels of the training sample of df (doc_id, text, lang)."""
     import pyarrow as pa
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,21 +154,20 @@ def training_counts(df: DataFrame, text: Column, label: Column, order: Column, s
             kinds = (pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["label", "at", "n"])
 
-    rows = df.select(label.alias("label"), text.alias("text"), order.alias("o")).filter("label is not null and text is not null")
-    # the threshold on the hash keeps the texts themselves out of a global sort
-    n = rows.count()
-    if n > sample:
-        cut_at = rows.approxQuantile("o", [min(1.0, sample / n)], 0.001)[0]
-        rows = rows.filter(F.col("o") <= F.lit(cut_at))
-    return rows.select("label", "text").mapInArrow(counted, "label string, at binary, n binary").limit(2 * sample).collect()
+    rows = df.select(F.col("lang").alias("label"), "doc_id", "text", F.xxhash64("text").alias("digest")).filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # only ids, labels and digests are shuffled; the texts of the chosen rows are then read again
+    order = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << ORDER_BITS))
+    keys = cut(rows.select("label", order.alias("o"), "doc_id", "digest").distinct())
+    chosen = F.broadcast(cut(smallest(keys, sample)))  # at most `sample` rows, or FEWEST a language
+    got = rows.join(chosen, ["label", "doc_id", "digest"]).groupBy("label", "doc_id", "digest").agg(F.first("text").alias("text"))
+    return got.select("label", "text").mapInArrow(counted, "label string, at binary, n binary").collect()
 
 
 def train(df: DataFrame, text_col: str, id_col: str, lang_col: str, folds: int, fold: int, sample: int) -> Model | None:
     """A model from the rows outside the held-out fold that have an id and a language; None if there are none."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold))
-    order = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)).cast("double")
-    got = training_counts(rows, F.col("text"), F.col("lang"), order, sample)
+    got = training_counts(rows, sample)
     if not got:
         return None
     got.sort(key=lambda r: (r["label"], bytes(r["at"]), bytes(r["n"])))

@@ -355,6 +355,21 @@ def test_held_out_rows_teach_nothing(spark):
     assert "zz" not in {r["lang_pred"] for r in language_id.identify(wrong).collect()}
 
 
+def test_language_sample_is_exact(spark):
+    """A sample of less than a thousandth of the rows still has its size, and a rare language is in it."""
+    data = [(i, "xyl xyx lyx xly" if i == 1234 else ["the cat and the dog", "der hund und die katze"][i % 2], "rare" if i == 1234 else ["en", "de"][i % 2]) for i in range(8000)]
+    data += [data[7]] * 50
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    F = language_id.F
+    keys = df.distinct().select("doc_id", F.col("lang").alias("label"), F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)).alias("o"), F.xxhash64("text").alias("digest"))
+    rank = sorted((r["o"], r["doc_id"], r["label"]) for r in keys.collect())
+    want = {i for x in ("en", "de", "rare") for _, i, label in [r for r in rank if r[2] == x][:20] if label == x}
+    assert {r["doc_id"] for r in language_id.smallest(keys, 7).collect()} == want  # FEWEST of each
+    assert Counter(r["label"] for r in language_id.training_counts(df, 7)) == {"en": 20, "de": 20, "rare": 1}
+    assert language_id.train(df, "text", "doc_id", "lang", 5, 0, 7).langs == ["de", "en", "rare"]
+    assert language_id.fair_level([5, 100, 1000], 205) == 100 and language_id.fair_level([5, 9], 100) == 20
+
+
 def test_quality_model(spark, empty):
     rng = random.Random(5)
     good = lambda: " ".join(rng.choice(LANGS["en"].split()) + rng.choice(["", "", ".", ","]) for _ in range(50))
