@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from glosswright.llm import bpe, components, exact_dedup, language_id, license_scan, mixing, pii, quality_model, quality_rules, simhash, substring_dedup
+from glosswright.llm import bpe, components, exact_dedup, language_id, license_scan, mixing, near_copies, pii, quality_model, quality_rules, simhash, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, n_words string, fp string, size string, kept string, bucket string, label string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -144,6 +144,39 @@ def test_near_dedup(spark, docs, empty):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {*low.values(), *[None for i, f in plain if comp[f] not in low]}
 
 
+def plain_shingles(t):
+    w = [x.lower() for x in WORDS.findall(t or "")]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else {tuple(w)} - {()}
+
+
+def test_near_copies_stage(spark, empty):
+    """The pipeline's near-dedup against brute force over all pairs: chains, edits of every size, ids and texts missing."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(7)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randint(30, 200))]
+        for edits in (0, 1, 1, 2, 4, 8):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = f"e{rng.randrange(9999)}"
+            texts.append(" ".join(own))
+            base = own if edits == 2 else base
+    texts += ["", None, " ", "one two", "ONE  two", "one two three"]
+    data = rows(texts)
+    data += [data[3], (None, texts[4], "en", "s", None, *["x"] * 7)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    sets = [plain_shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if texts[i] == texts[j] or sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    near += [(i, j) for i in range(len(texts)) for j in range(i) if (texts[i] or "") == (texts[j] or "")]
+    group = groups_of(range(len(texts)), near)
+    want = Counter(i for i, *_ in data if i is not None and group[i] == i)
+    got = pipeline.drop_near_copies(spark, df, "")
+    assert got.columns == df.columns and Counter(r["doc_id"] for r in got.collect()) == want
+    assert len(want) < len(simhash.keep_one(df).select("doc_id").distinct().collect())
+    assert pipeline.drop_near_copies(spark, empty, "").count() == 0
+
+
 def test_bpe(docs, empty):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = bpe.default_vocabulary()
