@@ -13,6 +13,8 @@ their own; a source without words has target 0; an empty table gives an empty re
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,12 +67,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return s.select("nosrc", "src", "n_docs", "source_size", target.alias("target"))
 
 
+def _source(source_col: str) -> list[Column]:
+    return [F.col(source_col).isNull().alias("nosrc"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src")]
+
+
 def mix_sources(
     df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 17, block_words: int = 16, shard_rows: int = 1000, most: int = 2
 ) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target (its source's), taken (words, repeats counted)."""
-    src = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    sizes = cut(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).isNull().alias("nosrc"), src.alias("src"), F.coalesce(n_words(F.col(text_col)), F.lit(0).cast("long")).alias("size")))
+    return mix_rows(df, text_col, id_col, source_col, seed, block_words, shard_rows, most).drop("nosrc", "src")
+
+
+def mix_rows(df: DataFrame, text_col: str, id_col: str, source_col: str, seed: int = 17, block_words: int = 16, shard_rows: int = 1000, most: int = 2) -> DataFrame:
+    """mix_sources with the source, as columns nosrc and src."""
+    sizes = cut(df.select(F.col(id_col).alias("doc_id"), *_source(source_col), F.coalesce(n_words(F.col(text_col)), F.lit(0).cast("long")).alias("size")))
     sources = targets(sizes, most=float(most))
     whole = F.round(F.sum("target").over(W.partitionBy()) / block_words).cast("long")
     sources = sources.withColumn("g", F.lit(0)).withColumn("blocks", whole)
@@ -90,7 +100,7 @@ def mix_sources(
     before = F.sum("size").over(stream) - F.col("size")
     rest = F.col("words") - F.col("turns") * F.col("shard_size") - before
     taken = F.col("turns") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return d.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("turns").cast("int").alias("turns"))
+    return d.select("nosrc", "src", "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("turns").cast("int").alias("turns"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -100,14 +110,17 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The mix itself, with the columns of df: a row for each whole turn of a document, and its head for the rest."""
-    mix = mix_sources(df, text_col, id_col, source_col).filter("taken > 0")
-    mix = mix.select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
-    # an id that repeats has rows of its own: they are paired off in the order of their sizes
-    nth = lambda a, b: F.row_number().over(W.partitionBy(a).orderBy(b))
-    mix = mix.withColumn("_mix_n", nth("_mix_id", "_mix_size"))
-    rows = df.withColumn("_mix_words", F.coalesce(n_words(F.col(text_col)), F.lit(0).cast("long")))
-    rows = rows.filter("_mix_words > 0").withColumn("_mix_row", nth(id_col, "_mix_words"))
-    rows = rows.join(mix, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_row") == F.col("_mix_n")) & (F.col("_mix_words") == F.col("_mix_size")))
+    mix = mix_rows(df, text_col, id_col, source_col).filter("size > 0")
+    mix = mix.select(F.col("doc_id").alias("_mix_id"), F.col("nosrc").alias("_mix_nosrc"), F.col("src").alias("_mix_src"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
+    # rows of one id, source and size are paired off one by one; all are numbered, also those of which nothing is taken
+    nth = lambda by, *order: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    mix = mix.withColumn("_mix_n", nth(["_mix_id", "_mix_nosrc", "_mix_src", "_mix_size"], F.desc("_mix_taken"))).filter("_mix_taken > 0")
+    nosrc, src = _source(source_col)
+    rows = df.withColumn("_mix_words", F.coalesce(n_words(F.col(text_col)), F.lit(0).cast("long"))).filter("_mix_words > 0")
+    rows = rows.withColumn("_row_nosrc", nosrc).withColumn("_row_src", src)
+    rows = rows.withColumn("_mix_row", nth([id_col, "_row_nosrc", "_row_src", "_mix_words"], F.xxhash64(text_col)))
+    same = [("_row_nosrc", "_mix_nosrc"), ("_row_src", "_mix_src"), ("_mix_words", "_mix_size"), ("_mix_row", "_mix_n")]
+    rows = rows.join(mix, reduce(lambda x, y: x & y, [F.col(a) == F.col(b) for a, b in same], F.col(id_col).eqNullSafe(F.col("_mix_id"))))
     whole = F.floor(F.col("_mix_taken") / F.col("_mix_size")).cast("int")
     part = F.col("_mix_taken") % F.col("_mix_size")
     takes = F.concat(F.array_repeat(F.col("_mix_size"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))

@@ -319,6 +319,18 @@ def test_mixed_documents(spark, docs):
     assert out.columns == docs.columns and got == Counter({i: n for i, n in mix.items() if n})
 
 
+def test_mixed_documents_of_shared_ids(spark):
+    """What the mix takes is in it, also of ids that several sources share and of rows without an id."""
+    sizes = [(i % 4 or None, f"s{i % 9}", 1 + (i * 7) % 40) for i in range(90)]
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), "en", s, None, *["x"] * 7) for i, s, n in sizes], SCHEMA)
+    want, got = Counter(), Counter()
+    for r in mixing.mix_rows(df, "text", "doc_id", "source").collect():
+        want[r["doc_id"], r["src"]] += r["taken"]
+    for r in mixing.mixed_documents(df).collect():
+        got[r["doc_id"], r["source"]] += len(r["text"].split())
+    assert got == +want and sum(got.values()) > 0
+
+
 def plain_removed(data):
     seen, out = {}, []
     places = sorted(((-1 << 63) if i is None else i, k, n) for n, (i, t) in enumerate(data) for k in range(max(0, len(WORDS.findall(t)) - 19)))
