@@ -8,7 +8,7 @@ cosines of the training texts to their own language. A text of fewer than SHORT
 says too little to be called far and is not rejected for its distance.
 
 The model is fitted on at most `sample` labelled texts (a documented bound; the sample is collected as trigram counts,
-whole texts counted); document frequencies come from it too. The languages share the sample evenly, what a rare one
+whole texts counted); document frequencies are those of all training texts. The languages share the sample evenly, what a rare one
 leaves going to the others, but each gets FEWEST texts if it has them; of a language those with the smallest seeded
 hashes are taken, exactly, equal rows counting once. Scoring reads every text whole, in one pass without a shuffle.
 
@@ -90,11 +90,11 @@ class Model:
         return self.owner[best], np.clip(cos[np.arange(len(cos)), best], 0, 1)
 
 
-def fit(langs: list[str], counts: np.ndarray, per_lang: int = 4, rounds: int = 12, quantile: float = 0.01, fraction: float = 0.5) -> Model:
+def fit(langs: list[str], counts: np.ndarray, df: np.ndarray, n: int, per_lang: int = 4, rounds: int = 12, quantile: float = 0.01, fraction: float = 0.5) -> Model:
+    """A model from the sample's counts; df: in how many of all n training texts each trigram bucket occurs."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], dtype=np.int64)
-    df = np.count_nonzero(counts, axis=0)
-    m = Model(names, (np.log((1 + len(y)) / (1 + df)) + 1).astype(np.float32), np.zeros((0, DIMS)), np.zeros(0, np.int64), 0.0)
+    m = Model(names, (np.log((1 + n) / (1 + df)) + 1).astype(np.float32), np.zeros((0, DIMS)), np.zeros(0, np.int64), 0.0)
     x, cents, owner = m.vectors(counts), [], []
     for k in range(len(names)):
         own = x[y == k]
@@ -154,7 +154,7 @@ def training_counts(df: DataFrame, sample: int) -> list:
             kinds = (pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["label", "at", "n"])
 
-    rows = df.select(F.col("lang").alias("label"), "doc_id", "text", F.xxhash64("text").alias("digest")).filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = df.select(F.col("lang").alias("label"), "doc_id", "text", F.xxhash64("text").alias("digest"))
     # only ids, labels and digests are shuffled; the texts of the chosen rows are then read again
     order = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << ORDER_BITS))
     keys = cut(rows.select("label", order.alias("o"), "doc_id", "digest").distinct())
@@ -163,10 +163,31 @@ def training_counts(df: DataFrame, sample: int) -> list:
     return got.select("label", "text").mapInArrow(counted, "label string, at binary, n binary").collect()
 
 
+def document_frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts of df (column text) each trigram bucket occurs, and how many texts have a letter."""
+    import pyarrow as pa
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(DIMS + 1, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                c = trigrams(t.as_py())
+                if c is not None:
+                    seen[:DIMS] += c > 0
+                    seen[DIMS] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["at", "n"])
+
+    out = np.zeros(DIMS + 1, np.int64)
+    for r in df.select("text").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # DIMS + 1 rows
+        out[r["at"]] = r["n"]
+    return out[:DIMS], int(out[DIMS])
+
+
 def train(df: DataFrame, text_col: str, id_col: str, lang_col: str, folds: int, fold: int, sample: int) -> Model | None:
     """A model from the rows outside the held-out fold that have an id and a language; None if there are none."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold))
+    rows = rows.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     got = training_counts(rows, sample)
     if not got:
         return None
@@ -176,7 +197,7 @@ def train(df: DataFrame, text_col: str, id_col: str, lang_col: str, folds: int,
         counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u4")
     labels = [r["label"] for r in got]
     del got
-    model = fit(labels, counts)
+    model = fit(labels, counts, *document_frequencies(rows))
     model.centroids = model.centroids.astype(np.float32)
     return model
 

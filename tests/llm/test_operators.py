@@ -415,6 +415,16 @@ def test_language_sample_is_exact(spark):
     assert language_id.fair_level([5, 100, 1000], 205) == 100 and language_id.fair_level([5, 9], 100) == 20
 
 
+def test_document_frequencies_of_all_texts(spark):
+    import numpy as np
+
+    df = spark.createDataFrame(lang_rows(400), SCHEMA)
+    taught = [r["text"] for r in df.filter(~language_id.held_out("doc_id", 5, 0)).collect()]
+    seen = np.sum([language_id.trigrams(t) > 0 for t in taught], axis=0)
+    idf = language_id.train(df, "text", "doc_id", "lang", 5, 0, 60).idf
+    assert np.allclose(idf, np.log((1 + len(taught)) / (1 + seen)) + 1)
+
+
 def test_quality_model(spark, empty):
     rng = random.Random(5)
     good = lambda: " ".join(rng.choice(LANGS["en"].split()) + rng.choice(["", "", ".", ","]) for _ in range(50))
