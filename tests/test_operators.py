@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +73,22 @@ def test_dense(spark):
     assert retrieval.dense(v, v.limit(0), 2).count() == 0
 
 
+def test_dense_ties_go_by_id(spark):
+    """Far more equal, zero or nearly equal vectors than k: the smallest ids stay, whatever the batches."""
+    rng = random.Random(3)
+    ids = list(range(300))
+    rng.shuffle(ids)
+    # cosines to the query: equal (1), equal but for the 8th digit, and 0
+    kind = lambda i: [1.0, 0.0] if i % 3 == 0 else [1.0, 1e-4 * (1 + i / 1000)] if i % 3 == 1 else [0.0, 0.0]
+    v = spark.createDataFrame([(i, kind(i)) for i in ids], "vec_id long, embedding array<double>")
+    for parts in (1, 7):
+        got = {q: [] for q in (0, 2)}
+        for r in retrieval.dense(v.repartition(parts), v.filter("vec_id in (0, 2)"), 5).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r["doc_id"])
+        assert got == {0: [1, 3, 4, 6, 7], 2: [0, 1, 3, 4, 5]}
+    assert retrieval.rounded(np.array([0.0000005, -0.0000005, 0.1234565, -np.inf])).tolist() == [1, -1, 123457, -np.inf]
+
+
 def test_fusion_breaks_ties_by_first_signal(spark):
     a = spark.createDataFrame([(1, 10, 0), (1, 20, 1)], "query_id int, doc_id int, rank int")
     b = spark.createDataFrame([(1, 20, 0), (1, 10, 1), (1, 30, 500)], a.schema)
