@@ -139,7 +139,7 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Every match of a rule holds one of these at a word's start; it is tried on the text as it is, in any case, before
 #: anything is rewritten.
 GATE = r"(?i)(?<![0-9A-Za-z\x80-\x{10FFFF}])(?:" + "|".join((
-    "licen[sc]", "spdx", "unlicense", "creative ?commons", f"cc{SEPARATOR}+by", "cc0", f"public{SEPARATOR}+domain", "permission", "redistribut", "copyright",
+    "licen[sc]", "spdx", "unlicense", "creative ?commons", f"cc{SEPARATOR}+(?:by|attribution)", "cc0", f"public{SEPARATOR}+domain", "permission", "redistribut", "copyright",
     f"rights{SEPARATOR}+reserved", "proprietary", "prohibited", "verbatim", "advertising", "endorse", f"express{SEPARATOR}+or", f"free{SEPARATOR}+software",
     "mozilla", "apache", "unencumbered", f"creative{SEPARATOR}+commons", f"(?:released|distributed|published|available|provided|covered){SEPARATOR}+under",
 )) + ")"

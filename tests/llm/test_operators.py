@@ -267,6 +267,43 @@ def test_license_families(spark):
     assert not missed
 
 
+def samples(regex):
+    """Matches of a rule: every alternative of its branches, with as few and with up to two repeats."""
+    from re import _parser as parser
+
+    def made(tree, pick, most):
+        out = ""
+        for op, av in tree:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(av)
+            elif op == "ANY":
+                out += "x"
+            elif op == "IN":
+                out += chr(av[0][1] if str(av[0][0]) == "LITERAL" else av[0][1][0])
+            elif op == "BRANCH":
+                out += made(av[1][pick % len(av[1])], pick, most)
+            elif op == "SUBPATTERN":
+                out += made(av[3], pick, most)
+            else:
+                out += made(av[2], pick, most) * max(av[0], min(av[1], most))
+        return out
+
+    return {made(parser.parse(regex), pick, most) for pick in range(12) for most in (0, 1, 2)}
+
+
+def test_license_gate(spark):
+    """A match of every rule passes the gate, with any separators, and Creative Commons notices are found by name."""
+    gate = re.compile(license_scan.GATE.replace(r"\x{10FFFF}", "\U0010ffff"))
+    for r in license_scan.rules():
+        for x in samples(r.regex):
+            assert re.fullmatch(r.regex, x), (r.regex, x)
+            assert gate.search(f"so {x}.") and gate.search(x.upper().replace(" ", " - ")), (r.label, x)
+    texts = ["CC Attribution-ShareAlike 4.0 International", "under CC-Attribution 3.0 Unported", "cc attribution"]
+    got = license_scan.license_scan(spark.createDataFrame(rows(texts), SCHEMA)).orderBy("doc_id").collect()
+    assert [{d["label"] for d in r["detections"]} for r in got] == [{"cc-by-sa-4.0"}, {"cc-by-3.0"}, {"cc-by"}]
+
+
 def test_mixing(spark, docs, empty):
     def check(df):
         got = mixing.mix_sources(df, block_words=4, shard_rows=7).collect()
