@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,24 +24,55 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only a session without one (a test) gets its own."""
+    """The folder that the cluster names in spark.checkpoint.dir; only a local session without one (a test) gets its own."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glosswright-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glosswright-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared checkpoint folder; for frames without texts."""
+    """Cuts the lineage through the shared checkpoint folder; for frames without texts. Spark deletes such a checkpoint
+    with its frame where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a frame with texts through a Parquet table in the shared checkpoint folder."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of whatever store it lies in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Cuts the lineage of frames with texts through Parquet tables in the shared checkpoint folder, which are deleted
+    at the end: what is made of them must be computed by then."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.append(f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}.parquet")
+        df.write.parquet(paths[-1])
+        return spark.read.parquet(paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            remove(spark, path)
+
+
+def stored(df: DataFrame, after: str | None = None) -> tuple[DataFrame, str]:
+    """The frame through a Parquet table in the shared checkpoint folder, and its path; `after` is then deleted."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if after:
+        remove(spark, after)
+    return spark.read.parquet(path), path
 
 
 def text_of(column: str) -> Column:

@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import cut, documents, join_hot
 from .components import components
 
@@ -159,9 +160,14 @@ def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", ra
     return join_hot(docs, of, "fp", "n", docs.count()).select("doc_id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of df whose id is the smallest of its component, with all their columns."""
-    found = near_dedup(df, text_col, id_col).filter("doc_id <=> component_id")
+def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = 3, width: int = 3, similarity: float | None = None) -> DataFrame:
+    """The rows of df whose id is the smallest of its component, with all their columns.
+
+    Components are those of fingerprints within the radius or, if a similarity is given, of texts whose 5-word shingles
+    have that Jaccard similarity, which no radius with a feasible covering family finds (see near_copies)."""
+    if similarity is not None:
+        return near_copies.keep_one(df, text_col, id_col, similarity)
+    found = near_dedup(df, text_col, id_col, radius, width).filter("doc_id <=> component_id")
     kept = found.select(F.col("doc_id").alias("_near_id")).distinct()
     return df.join(kept, F.col(id_col).eqNullSafe(F.col("_near_id")), "left_semi")
 
