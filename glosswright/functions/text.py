@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 W = r"[\p{L}\p{N}_]"
 TOKEN = rf"\[[^\]]+\]|{W}+"
+#: White space of any script: the JVM's own class is ASCII only.
+S = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 # ---- fixed values ---------------------------------------------------------------------------------------------------
 #: Code points whose names begin with HANGUL.
@@ -81,7 +83,7 @@ def source_ngrams(c: Column, n_max: int = 3) -> Column:
 def target_tokens(c: Column, normalise=None) -> Column:
     """Space-separated words without markup and edge punctuation; `normalise` is applied to each (a lemmatiser)."""
     trimmed = lambda w: F.regexp_replace(w, rf"^{EDGE_MARKS}+|{EDGE_MARKS}+$", "")
-    words = F.transform(F.split(F.regexp_replace(c, r"<[^>]*>", ""), r"\s+"), trimmed)
+    words = F.transform(F.split(F.regexp_replace(c, r"<[^>]*>", ""), f"{S}+"), trimmed)
     if normalise is not None:
         words = F.transform(words, normalise)
     return F.filter(words, lambda w: w != "")
@@ -91,9 +93,14 @@ def target_ngrams(c: Column, n_max: int = 3, normalise=None) -> Column:
     return ngrams(target_tokens(c, normalise), n_max)
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(c, rf"\A{S}+|{S}+\z", "")
+
+
 def squeeze(c: Column) -> Column:
     """White space runs to one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"^ | $", "")
+    return F.regexp_replace(F.regexp_replace(c, f"{S}+", " "), r"\A | \z", "")
 
 
 def template(c: Column) -> Column:
@@ -104,21 +111,33 @@ def template(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    parts = F.split(c, r"\n+|(?<=[.!?])\s+")
-    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    parts = F.split(c, rf"\n+|(?<=[.!?]){S}+")
+    return F.filter(F.transform(parts, stripped), lambda s: s != "")
 
 
 def quoted(term: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
+def runs(c: Column) -> Column:
+    """Distinct word runs, and other characters one by one, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(rf"(?s){W}+|{W.replace('[', '[^', 1)}"), F.lit(0)))
+
+
+def lead(term: Column) -> Column:
+    """What every text that holds the term as a whole phrase has among its runs: the term's first word run or, of a term
+    without any, its first character."""
+    word = F.regexp_extract(F.lower(term), f"{W}+", 0)
+    return F.when(word != "", word).otherwise(F.substring(F.lower(term), 1, 1))
+
+
 def has_phrase(text: Column, term: Column) -> Column:
     """The term as a whole phrase, whatever the case."""
     return F.regexp_like(text, F.concat(F.lit(rf"(?iu)(?<!{W})"), quoted(term), F.lit(rf"(?!{W})")))
 
 
 def tight_parens(c: Column) -> Column:
-    return F.replace(F.regexp_replace(c, r"\s*\(\s*", "("), F.lit(" )"), F.lit(")"))
+    return F.replace(F.regexp_replace(c, rf"{S}*\({S}*", "("), F.lit(" )"), F.lit(")"))
 
 
 def numbers(c: Column) -> Column:
@@ -136,7 +155,7 @@ def condition_count(c: Column) -> Column:
 
 
 def has_target_condition(c: Column) -> Column:
-    return c.rlike(KO_CONDITIONS)
+    return c.rlike(KO_CONDITIONS.replace(r"\s", S))
 
 
 def _plain(c: Column) -> Column:
@@ -153,7 +172,7 @@ def source_symbols(c: Column) -> Column:
 
 def target_symbols(c: Column) -> Column:
     """Symbols of a target text, where a trace is written as a tag."""
-    trace = rf"<trace>추적\s+({W}+)</trace>"
+    trace = rf"<trace>추적{S}+({W}+)</trace>"
     traces = F.transform(F.regexp_extract_all(_plain(c), F.lit(trace), F.lit(1)), lambda x: F.concat(F.lit("trace_"), F.upper(x)))
     rest = F.regexp_replace(_plain(c), trace, "")
     return F.concat(traces, F.transform(F.regexp_extract_all(rest, F.lit(r"(?i)\[([a-z][a-z0-9-]*)\]"), F.lit(1)), F.lower))
@@ -167,7 +186,7 @@ def tally(items: Column) -> Column:
 
 def injections(c: Column, side: str) -> Column:
     """First match of each pattern that occurs: structs of pattern number, matched text and side."""
-    one = [F.struct(F.lit(i).alias("pattern"), F.regexp_extract(c, f"(?i)(?:{rx})", 0).alias("matched"), F.lit(side).alias("side")) for i, rx in enumerate(INJECTIONS)]
+    one = [F.struct(F.lit(i).alias("pattern"), F.regexp_extract(c, "(?iud)(?:" + rx.replace(r"\s", S) + ")", 0).alias("matched"), F.lit(side).alias("side")) for i, rx in enumerate(INJECTIONS)]
     return F.filter(F.array(*one), lambda m: m["matched"] != "")
 
 
@@ -178,7 +197,7 @@ def sandbox(c: Column) -> Column:
 
 
 def glossary_key(c: Column) -> Column:
-    return F.lower(F.regexp_replace(F.replace(c, F.lit("_"), F.lit(" ")), r"^\s+|\s+$", ""))
+    return F.lower(stripped(F.replace(c, F.lit("_"), F.lit(" "))))
 
 
 def id_words(c: Column) -> Column:
@@ -191,8 +210,8 @@ def eval_term(c: Column) -> Column:
 
 
 def symbol_mangled(c: Column) -> Column:
-    """Whether eval_term changes more than case and spaces."""
-    return eval_term(c) != F.lower(squeeze(c))
+    """Whether eval_term changes more than case, separators and spaces."""
+    return eval_term(c) != F.lower(squeeze(F.translate(c, "_-", "  ")))
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
@@ -202,4 +221,4 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
 
 def squeeze_ends(c: Column) -> Column:
     """Without white space at the ends; null is empty."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    return stripped(F.coalesce(c, F.lit("")))

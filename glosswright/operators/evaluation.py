@@ -10,6 +10,7 @@ from glosswright.operators import guards
 
 PASS, FAIL, UNREACHABLE = "PASS", "FAIL", "UNREACHABLE"
 CAUSES = ("tm_search_failure", "guard_rejected_in_review_queue", "approval_incomplete", "model_invocation_failure")
+PARTS = 64
 G1_LEAST, G2_LEAST, G3_FACTOR = 0.95, 1.0, 0.70
 ECHO_FLOOR, RULE_TARGET, FLAVOR_TARGET = 0.05, 2.5, 2.0
 
@@ -23,11 +24,21 @@ def _n(c: Column) -> Column:
 
 
 def checked_pairs(predictions: DataFrame, references: DataFrame, key: str = "id") -> DataFrame:
-    """Predictions joined to references by key; raises when the row counts differ, as a zip by place would."""
-    n = predictions.agg(F.count("*").alias("a")).crossJoin(references.agg(F.count("*").alias("b"))).first()
-    if n["a"] != n["b"]:
-        raise ValueError(f"{n['a']} predictions for {n['b']} references")
-    return references.join(predictions, key)
+    """Predictions joined to references by key. A row without its counterpart fails the job, as a zip of lists of
+    different lengths would."""
+    p, r = predictions.withColumn("_p", F.lit(True)), references.withColumn("_r", F.lit(True))
+    both = F.col("_p").isNotNull() & F.col("_r").isNotNull()
+    return r.join(p, key, "full").filter(F.assert_true(both, "a prediction without its reference, or the reverse").isNull()).drop("_p", "_r")
+
+
+def with_references(records: DataFrame, cards: DataFrame) -> DataFrame:
+    """Draft records (card_id, route or field) with the reference text of their field (empty without one), white space
+    squeezed; cards: id, ko_text, ko_flavor."""
+    of = F.array(F.struct(F.lit("text").alias("field"), F.col("ko_text").alias("t")), F.struct(F.lit("flavor").alias("field"), F.col("ko_flavor").alias("t")))
+    refs = cards.select(F.col("id").alias("card_id"), F.explode(of).alias("r")).select("card_id", F.col("r.field").alias("field"), T.squeeze(F.coalesce("r.t", F.lit(""))).alias("ref_ko"))
+    by_route = F.when(F.coalesce("route", F.lit("rule")) == "rule", "text").otherwise("flavor")
+    field = F.coalesce(F.col("field"), by_route) if "field" in records.columns else by_route
+    return records.withColumn("field", field).join(refs, ["card_id", "field"], "left").na.fill("", ["ref_ko"])
 
 
 def scoring_view(glossary: DataFrame) -> DataFrame:
@@ -74,16 +85,21 @@ def gate3_threshold(baseline_median: Column, factor: float = G3_FACTOR) -> Colum
 def percentile_cut(values: DataFrame, column: str, p: float = 20.0) -> DataFrame:
     """One row: threshold (the value at index floor(p / 100 * n), clamped, in order), lowest, highest, median, n.
 
-    Equal values are counted first, so the ranking is over distinct values; then the first whose running count passes
-    the index is the one at it."""
+    Equal values are counted first and dealt to PARTS ranges of about equal counts; the ranges' counts tell in which the
+    index lies, and only that one's distinct values are ranked."""
     from pyspark.sql import Window as W
 
-    stats = values.agg(F.count(column).alias("n"), F.min(column).alias("lowest"), F.max(column).alias("highest"), F.median(column).alias("median"))
-    each = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    run = each.withColumn("upto", F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    stats = values.agg(F.count(column).alias("n"), F.min(column).alias("lowest"), F.max(column).alias("highest"), F.median(column).alias("median"), F.percentile_approx(column, [i / PARTS for i in range(1, PARTS)]).alias("_cuts"))
+    one = F.broadcast(stats)  # one row
+    place = F.size(F.filter(F.coalesce("_cuts", F.array().cast(stats.schema["_cuts"].dataType)), lambda x: x <= F.col("v")))
+    each = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c")).crossJoin(one.select("_cuts")).select("v", "c", place.alias("part"))
+    parts = each.groupBy("part").agg(F.sum("c").alias("c"))  # at most PARTS rows
+    parts = parts.select("part", (F.sum("c").over(W.orderBy("part")) - F.col("c")).alias("before"), F.sum("c").over(W.orderBy("part")).alias("upto"))
     index = F.greatest(F.lit(0), F.least(F.floor(F.lit(p) / 100 * F.col("n")), F.col("n") - 1))
-    at = run.crossJoin(F.broadcast(stats)).filter(F.col("upto") > index).agg(F.min("v").alias("threshold"))  # one row
-    return at.crossJoin(stats)
+    hit = parts.crossJoin(one.select("n")).filter((F.col("before") <= index) & (index < F.col("upto"))).select("part", "before", index.alias("i"))
+    run = each.join(F.broadcast(hit), "part").withColumn("upto", F.col("before") + F.sum("c").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    at = run.filter(F.col("upto") > F.col("i")).agg(F.min("v").alias("threshold"))  # one row
+    return at.crossJoin(stats.drop("_cuts"))
 
 
 def ceiling(rows: DataFrame) -> DataFrame:
@@ -102,10 +118,14 @@ def combined(gates: DataFrame) -> DataFrame:
 
 
 def final_verdict(runs: DataFrame) -> DataFrame:
-    """runs (run_mode, gate1_verdict, gate2_verdict, gate3_passed, echo_passed) with final: null unless the run is real;
-    false if a gate fails outright, gate 3 or the echo gate does not pass."""
-    ok = ~F.array_contains(F.array("gate1_verdict", "gate2_verdict"), FAIL) & F.col("gate3_passed") & F.col("echo_passed")
-    return runs.withColumn("final", F.when(F.col("run_mode") == "real", ok))
+    """runs (run_mode, gate1_verdict, gate2_verdict, gate3_passed, echo_passed and, if there, overall_passed) with final:
+    null unless the run is real. With ceiling verdicts a gate that fails outright or gate 3 decides; without any (both
+    null) all gates together do. An echo gate that was not run decides nothing."""
+    overall = F.coalesce("overall_passed", F.lit(False)) if "overall_passed" in runs.columns else F.coalesce("gate3_passed", F.lit(False))
+    checked = F.col("gate1_verdict").isNotNull() | F.col("gate2_verdict").isNotNull()
+    fails = (F.coalesce("gate1_verdict", F.lit("")) == FAIL) | (F.coalesce("gate2_verdict", F.lit("")) == FAIL)
+    gates = F.when(checked, ~fails & F.coalesce("gate3_passed", F.lit(False))).otherwise(overall)
+    return runs.withColumn("final", F.when(F.col("run_mode") == "real", gates & F.coalesce("echo_passed", F.lit(True))))
 
 
 def echo_gate(records: DataFrame, floor: float = ECHO_FLOOR) -> DataFrame:
@@ -169,9 +189,38 @@ def pending(records: DataFrame) -> DataFrame:
 
 
 def per_model(records: DataFrame, cards: DataFrame) -> DataFrame:
-    """Gate numbers by model over the cards that it produced; a card may belong to several models."""
-    pairs = records.select("model_id", "card_id").distinct().join(cards, "card_id")
-    return pairs.groupBy("model_id").agg(F.count("*").alias("n_cards"), _n(F.col("passed")).alias("n_passed"), F.avg(F.col("passed").cast("double")).alias("preservation"))
+    """Gate numbers by model over the cards that it produced; a card may belong to several models. cards: card_id and any
+    of passed (gate 2), n_checks and n_violations (gate 1), distance (gate 3). A share of nothing is null. Records with
+    draft_ko and top_hit give the model's echo rate."""
+    known = records.filter("model_id is not null")
+    got = known.select("model_id", "card_id").distinct().join(cards, "card_id")
+    of = [F.countDistinct("card_id").alias("n_cards")]
+    if "passed" in cards.columns:
+        of += [_n(F.col("passed")).alias("n_passed"), F.avg(F.col("passed").cast("double")).alias("preservation")]
+    if "n_checks" in cards.columns:
+        of.append(F.try_divide(F.sum("n_checks") - F.sum("n_violations"), F.sum("n_checks")).alias("compliance"))
+    if "distance" in cards.columns:
+        of.append(F.median("distance").alias("median_distance"))
+    out = got.groupBy("model_id").agg(*of)
+    if {"draft_ko", "top_hit"} <= set(records.columns):
+        flat = lambda c: T.squeeze(F.coalesce(F.col(c), F.lit("")))
+        live = F.col("top_hit").isNotNull() & (flat("draft_ko") != "")
+        echo = known.groupBy("model_id").agg(F.count("*").alias("n_records"), F.try_divide(_n(live & (flat("draft_ko") == flat("top_hit"))), _n(live)).alias("echo_rate"))
+        out = out.join(echo, "model_id")
+    return out
+
+
+def card_compliance(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(id, n_checks, n_violations) of the rows in which a term occurs: gate 1 row by row."""
+    hits = guards.phrase_hits(pairs, glossary, keep=("ko_text",))
+    bad = ~F.contains(T.tight_parens(F.col("ko_text")), T.tight_parens(F.col("ko")))
+    return hits.groupBy("id").agg(F.count("*").alias("n_checks"), _n(bad).alias("n_violations"))
+
+
+def run_counters(records: DataFrame) -> DataFrame:
+    """By model (null for none): records, those with a draft, those whose model failed."""
+    drafted = T.squeeze(F.coalesce("draft_ko", F.lit(""))) != ""
+    return records.groupBy("model_id").agg(F.count("*").alias("n"), _n(drafted).alias("succeeded"), _n(F.col("empty_cause") == "model_invocation_failure").alias("failed"))
 
 
 def observations(scores: DataFrame, targets: tuple[float, float] = (RULE_TARGET, FLAVOR_TARGET)) -> DataFrame:
@@ -190,3 +239,14 @@ def gold_summary(scorecard: DataFrame) -> DataFrame:
     scored = F.col("reach").isin("found", "missed")
     g = scorecard.groupBy("source").agg(_n(scored).alias("scored"), _n(F.col("reach") == "found").alias("found"), _n(F.coalesce("ko_match", F.lit(False))).alias("ko_correct"))
     return g.withColumn("recall", _share(F.col("found"), F.col("scored"), 0.0)).withColumn("ko_accuracy", _share(F.col("ko_correct"), F.col("found"), 0.0))
+
+
+def gold_totals(scorecard: DataFrame) -> DataFrame:
+    """One row over all sources: gold_size, scored, found, ko_correct, recall, ko_accuracy, and how many terms could not
+    be reached for each reason."""
+    reasons = ("official_excluded", "over_max_n", "below_min_cooccur", "below_rank_cut")
+    g = scorecard.agg(
+        F.count("*").alias("gold_size"), _n(F.col("reach").isin("found", "missed")).alias("scored"), _n(F.col("reach") == "found").alias("found"),
+        _n(F.coalesce("ko_match", F.lit(False))).alias("ko_correct"), *[_n(F.col("reach") == r).alias(r) for r in reasons],
+    )
+    return g.withColumn("recall", _share(F.col("found"), F.col("scored"), 0.0)).withColumn("ko_accuracy", _share(F.col("ko_correct"), F.col("found"), 0.0))

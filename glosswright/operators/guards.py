@@ -28,7 +28,6 @@ SECTIONS = ("official", "subtype_extracted", "extracted")
 GUARD_TOKEN = r"\[[^\]]+\]|[a-zA-Z][a-zA-Z'-]*[a-zA-Z]|[a-zA-Z]"
 LEAST_LETTERS = 3
 # ---- end of fixed values --------------------------------------------------------------------------------------------
-MOST_FIRSTS = 20_000
 #: What stands before a token: neither a letter nor a bracket that closes.
 LEAD = r"(?:[^a-zA-Z\[]|\[(?![^\]]+\]))*+"
 
@@ -43,27 +42,19 @@ def flat_glossary(sections: DataFrame) -> DataFrame:
 
 
 def phrase_hits(texts: DataFrame, terms: DataFrame, text_col: str = "en_text", term_col: str = "en", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, `keep` columns and the columns of every term that stands in the text as a whole phrase.
-
-    A term that begins with a word character begins a token of the text, so such terms meet the texts by their first
-    token; the exact test follows. Only terms that begin otherwise are tried on every text. Up to MOST_FIRSTS first
-    tokens go to the texts as one array, so that a text is only repeated for tokens that a term begins with; with more,
-    tokens and terms meet first, and the texts join them by id (which must then be unique)."""
-    first = F.get(T.tokens(F.col(term_col)), F.lit(0))
-    starts = F.lower(F.col(term_col)).rlike(rf"^{T.W}")
-    by_token = terms.filter(starts).withColumn("_first", first)
-    rows = texts.select("id", text_col, *[c for c in keep if c != text_col])
-    words = F.array_distinct(T.tokens(F.col(text_col)))
-    firsts = by_token.select("_first").distinct()
-    if firsts.count() <= MOST_FIRSTS:
-        one = F.broadcast(firsts.agg(F.collect_list("_first").alias("_firsts")))  # one row
-        t = rows.crossJoin(one).withColumn("_first", F.explode(F.array_intersect(words, F.col("_firsts")))).drop("_firsts")
-        hits = t.join(by_token, "_first").drop("_first")
-    else:
-        hits = rows.join(rows.select("id", F.explode(words).alias("_first")).join(by_token, "_first").drop("_first"), "id")
-    hits = hits.filter(T.has_phrase(F.col(text_col), F.col(term_col)))
-    odd = rows.join(terms.filter(~starts), T.has_phrase(F.col(text_col), F.col(term_col)))
-    return hits.unionByName(odd.select(*hits.columns))
+    """id, `keep` columns and the columns of every term (distinct rows) that stands in the text as a whole phrase.
+
+    Texts and terms meet by the term's first word run (a term without one by its first character), so no term is tried
+    on every text; the exact test follows. Only ids and hashes take part in that join; its few rows then find the texts
+    by id and hash, so ids may repeat."""
+    cols = ["id", text_col, *[c for c in keep if c != text_col]]
+    rows = texts.select(*cols, F.xxhash64(*cols).alias("_row"))
+    by_lead = terms.withColumn("_lead", T.lead(F.col(term_col)))
+    met = rows.select("id", "_row", F.explode(T.runs(F.col(text_col))).alias("_lead")).join(by_lead, "_lead").drop("_lead").distinct()
+    same = rows["id"].eqNullSafe(F.col("_id")) & (rows["_row"] == F.col("_of"))
+    hits = rows.join(met.withColumnsRenamed({"id": "_id", "_row": "_of"}), same).drop("_id", "_of", "_row")
+    inside = F.contains(F.lower(F.col(text_col)), F.lower(F.col(term_col)))  # cheap, before a pattern is made
+    return hits.filter(inside & T.has_phrase(F.col(text_col), F.col(term_col)))
 
 
 def glossary_violations(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -115,7 +106,7 @@ def new_terms(texts: DataFrame, glossary: DataFrame, route_col: str = "route", k
     t = t.select("id", "route", F.posexplode(token_and_lead).alias("pos", "chunk"))
     raw = F.regexp_extract("chunk", rf"^{LEAD}({GUARD_TOKEN})$", 1)
     before = F.substring(F.col("chunk"), F.lit(1), F.length("chunk") - F.length("raw"))
-    t = t.withColumn("raw", raw).withColumn("lead", F.regexp_replace(before, r"\s+$", "")).withColumn("en_term", F.lower("raw"))
+    t = t.withColumn("raw", raw).withColumn("lead", F.regexp_replace(before, rf"{T.S}+$", "")).withColumn("en_term", F.lower("raw"))
     opens = ((F.col("pos") == 0) & (F.col("lead") == "")) | F.col("lead").rlike(r"[.!?]$")
     t = t.filter(~F.col("raw").startswith("[") & (F.length("raw") >= LEAST_LETTERS) & ~F.col("en_term").isin(STOP_WORDS))
     t = t.withColumn("blocking", (F.col("route") == "rule") & F.col("raw").rlike("^[A-Z]") & ~opens)

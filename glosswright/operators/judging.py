@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glosswright.sources import stores
+
 CHUNK = 250
 JUDGMENT = "en_term string, ko_term string, accepted boolean, reason string, prompt_fingerprint string"
 
@@ -41,6 +43,36 @@ def counters(cands: DataFrame, judgments: DataFrame) -> DataFrame:
     return j.agg(n(F.col("accepted")).alias("accepted"), n(~F.col("accepted")).alias("rejected"), n(F.col("accepted").isNull()).alias("dropped"))
 
 
+def judge_and_keep(cands: DataFrame, decide: Callable, prompt: str, path: str, rounds: int = 1, parallelism: int = 8, chunk: int = CHUNK, retries: int = 3) -> DataFrame:
+    """Judgments of all candidates under one prompt, from the store at `path` (JSON lines).
+
+    What the store has is not judged again. The rest is dealt to `rounds` parts; each part's judgments are appended as soon
+    as it is done, so a run that fails loses the part it was in, and the next run goes on from there."""
+    spark = cands.sparkSession
+    kept = lambda: stores.read(spark, "judgments", path)
+    part = F.pmod(F.xxhash64("en_term", "ko_term"), F.lit(rounds))
+    for i in range(rounds):
+        todo = pending(cands.filter(part == i), kept().filter(F.col("prompt_fingerprint") == prompt))
+        stores.append(judge(todo, decide, prompt, parallelism, chunk, retries), path)
+    return kept().filter(F.col("prompt_fingerprint") == prompt)
+
+
+def observe(cards: DataFrame, rule: Callable[[str, str], int], flavor: Callable[[str], int], parallelism: int = 8) -> DataFrame:
+    """(card_id, rule_score, flavor_score) of cards (id, en_text, ko_text, ko_flavor, flavor_ko) by two injected scorers:
+    the rule text of every card, the flavor only where there is both one to translate and a translation (else null)."""
+    import pyarrow as pa
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r = b.to_pylist()
+            rules = [rule(x["en_text"], x["ko_text"]) for x in r]
+            flavors = [flavor(x["flavor_ko"]) if x["ko_flavor"] and x["flavor_ko"] else None for x in r]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rules, pa.int64()), pa.array(flavors, pa.int64())], ["card_id", "rule_score", "flavor_score"])
+
+    rows = cards.select(F.col("id").alias("card_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("en_text", "ko_text", "ko_flavor", "flavor_ko")])
+    return rows.repartition(parallelism).mapInArrow(scored, f"card_id {rows.schema['card_id'].dataType.simpleString()}, rule_score long, flavor_score long")
+
+
 def judge(cands: DataFrame, decide: Callable[[list[tuple[str, str]]], list[tuple[str, str, bool, str]]], prompt: str, parallelism: int = 8, chunk: int = CHUNK, retries: int = 3) -> DataFrame:
     """Judgments of all candidates, `parallelism` chunks at a time; a chunk that keeps failing is dropped."""
 

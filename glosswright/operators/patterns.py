@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as T
 
+SALTS = 32
 
 def extract(pairs: DataFrame, en_col: str = "en_text", ko_col: str = "ko_text", id_col: str = "id", seq_col: str = "id", least: int = 3, examples: int = 3) -> DataFrame:
     """en_template, ko_template, count and the first example ids, from rows with equally many sentences."""
@@ -14,16 +16,19 @@ def extract(pairs: DataFrame, en_col: str = "en_text", ko_col: str = "ko_text",
     s = s.filter(F.size("es") == F.size("ks")).select("id", "seq", F.posexplode(F.arrays_zip("es", "ks")).alias("pos", "z"))
     t = s.select("id", "seq", "pos", T.template(F.col("z.es")).alias("en_template"), T.template(F.col("z.ks")).alias("ko_template"))
     t = t.filter((F.col("en_template") != "") & (F.col("ko_template") != ""))
-    # the examples kept on the way are never more than a task's own first few
-    first = F.slice(F.array_sort(F.collect_list(F.struct("seq", "pos", "id"))), 1, examples)
-    by_salt = t.withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(32))).groupBy("en_template", "ko_template", "salt").agg(F.count("*").alias("n"), first.alias("some"))
-    every = F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, examples)
-    g = by_salt.groupBy("en_template", "ko_template").agg(F.sum("n").alias("count"), every.alias("some"))
+    # a template that many rows share is counted and ranked in salted parts, and only the first few rows of a part go on
+    part = W.partitionBy("en_template", "ko_template", "salt")
+    t = t.withColumn("salt", F.pmod(F.xxhash64("seq", "id"), F.lit(SALTS)))
+    t = t.withColumn("nth", F.row_number().over(part.orderBy("seq", "pos", "id"))).withColumn("n", F.count("*").over(part)).filter(F.col("nth") <= examples)
+    first = F.slice(F.array_sort(F.collect_list(F.struct("seq", "pos", "id"))), 1, examples)  # of SALTS * examples rows at most
+    g = t.groupBy("en_template", "ko_template").agg(F.sum(F.when(F.col("nth") == 1, F.col("n"))).alias("count"), first.alias("some"))
     return g.filter(F.col("count") >= least).select("en_template", "ko_template", "count", F.transform("some", lambda x: x["id"]).alias("examples"))
 
 
 def lookup(requests: DataFrame, patterns: DataFrame, text_col: str = "text") -> DataFrame:
-    """Each request with the most frequent pattern of its template (then by target template), or nulls."""
-    best = patterns.groupBy("en_template").agg(F.min_by(F.struct("ko_template", "count"), F.struct(-F.col("count"), F.col("ko_template"))).alias("b"))
+    """Each request with the most frequent pattern of its template, or nulls. Of equally frequent ones the first in the
+    patterns' order (column seq) or, without one, the first by target template."""
+    order = F.col("seq") if "seq" in patterns.columns else F.col("ko_template")
+    best = patterns.groupBy("en_template").agg(F.min_by(F.struct("ko_template", "count"), F.struct(-F.col("count"), order)).alias("b"))
     best = best.select("en_template", "b.ko_template", "b.count")
     return requests.withColumn("en_template", T.template(F.col(text_col))).join(best, "en_template", "left")

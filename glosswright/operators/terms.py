@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as T
 
+BLOCK = 1000  # terms of a row that are paired at once
 
 def frequencies(pairs: DataFrame, grams, id_col: str = "id", out: str = "term") -> DataFrame:
     """(id, term), each term once per row: counts over it are document frequencies."""
@@ -18,22 +19,35 @@ def document_frequency(pairs: DataFrame, grams, id_col: str = "id", out: str = "
     return frequencies(pairs, grams, id_col, out).groupBy(out).agg(F.count("*").alias("df"))
 
 
-def frequent(terms: DataFrame, term: str, df: str, least: int) -> DataFrame:
-    """terms with their document frequency, without those below `least`.
+def numbered(pairs: DataFrame, grams, id_col: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(id, terms: hashes of the row's frequent terms) and (h, term, df) of the terms with a frequency of `least`.
 
-    No pair can occur together more often than its rarer half occurs, so dropping rare terms before the join that pairs
-    them changes nothing. The join back on the term lets the engine split a hot term."""
-    counts = terms.groupBy(term).agg(F.count("*").alias(df)).filter(F.col(df) >= least)
-    return terms.join(counts, term)
+    No pair can occur together more often than its rarer half occurs, so dropping rare terms before they are paired
+    changes nothing. Terms are 64-bit hashes until the end."""
+    each = frequencies(pairs, grams, id_col).select("id", "term", F.xxhash64("term").alias("h"))
+    counts = each.groupBy("h", "term").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
+    rows = each.select("id", "h").join(counts.select("h"), "h").groupBy("id").agg(F.collect_list("h").alias("terms"))
+    return rows, counts
+
+
+def blocks(terms: str) -> Column:
+    """A row's terms in blocks: the pairs of a row with many are then made by several tasks."""
+    n = F.ceil(F.size(terms) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(terms, i * BLOCK + 1, BLOCK))
 
 
 def candidates(pairs: DataFrame, source_col: str = "en_text", target_col: str = "ko_text", id_col: str = "id", n_max: int = 3, least: int = 5, normalise=None) -> DataFrame:
     """en_term, ko_term, cooccurrence, dice, pmi of all pairs of n-grams that share at least `least` rows."""
     total = pairs.select(F.count("*").alias("n_rows"))
-    en = frequent(frequencies(pairs, T.source_ngrams(F.col(source_col), n_max), id_col, "en_term"), "en_term", "ef", least)
-    ko = frequent(frequencies(pairs, T.target_ngrams(F.col(target_col), n_max, normalise), id_col, "ko_term"), "ko_term", "kf", least)
-    both = en.join(ko, "id").groupBy("en_term", "ko_term").agg(F.count("*").alias("cooccurrence"), F.first("ef").alias("ef"), F.first("kf").alias("kf"))
-    both = both.filter(F.col("cooccurrence") >= least).crossJoin(F.broadcast(total))  # one row
+    en, ef = numbered(pairs, T.source_ngrams(F.col(source_col), n_max), id_col, least)
+    ko, kf = numbered(pairs, T.target_ngrams(F.col(target_col), n_max, normalise), id_col, least)
+    rows = en.withColumnRenamed("terms", "es").join(ko.withColumnRenamed("terms", "ks"), "id")
+    rows = rows.select("id", F.explode(blocks("es")).alias("es"), "ks").select("id", "es", F.explode(blocks("ks")).alias("ks"))
+    rows = rows.repartition(F.xxhash64("id", "es", "ks"))  # blocks of one row go to different tasks
+    both = rows.select(F.explode("es").alias("e"), "ks").select("e", F.explode("ks").alias("k")).groupBy("e", "k").agg(F.count("*").alias("cooccurrence"))
+    both = both.filter(F.col("cooccurrence") >= least)
+    both = both.join(ef.select(F.col("h").alias("e"), F.col("term").alias("en_term"), F.col("df").alias("ef")), "e")
+    both = both.join(kf.select(F.col("h").alias("k"), F.col("term").alias("ko_term"), F.col("df").alias("kf")), "k").crossJoin(F.broadcast(total))  # one row
     n, c = F.col("n_rows").cast("double"), F.col("cooccurrence").cast("double")
     dice = 2 * c / (F.col("ef") + F.col("kf"))
     pmi = F.log2((c / n) / ((F.col("ef") / n) * (F.col("kf") / n)))
@@ -50,6 +64,11 @@ def cap(cands: DataFrame, most_terms: int = 1500, per_term: int = 3) -> DataFram
     return kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_term).drop("rank")
 
 
+def in_order(cands: DataFrame) -> DataFrame:
+    """Candidates as they are reported: best dice first, then co-occurrence, then by term."""
+    return cands.orderBy(F.desc("dice"), F.desc("cooccurrence"), "en_term", "ko_term")
+
+
 def keyword_pairs(pairs: DataFrame, en_col: str, ko_col: str, id_col: str = "id", translated=T.is_translated) -> DataFrame:
     """(en_term, ko_term, card_ids): keywords at equal places of two lists of equal length; ids in order."""
     rows = pairs.filter(F.size(en_col) == F.size(ko_col)).select(F.col(id_col).alias("id"), F.explode(F.arrays_zip(F.col(en_col).alias("e"), F.col(ko_col).alias("k"))).alias("z"))
@@ -58,19 +77,36 @@ def keyword_pairs(pairs: DataFrame, en_col: str, ko_col: str, id_col: str = "id"
     return z.groupBy("en_term", "ko_term").agg(F.sort_array(F.collect_set("id")).alias("card_ids"))
 
 
-def keyword_counters(pairs: DataFrame, en_col: str, ko_col: str) -> DataFrame:
-    has = (F.size(en_col) > 0) | (F.size(ko_col) > 0)
+def keyword_counters(pairs: DataFrame, en_col: str, ko_col: str, translated=T.is_translated) -> DataFrame:
+    """One row: rows with keywords in both languages, those of unequal length, and keywords without a translation."""
+    has, even = (F.size(en_col) > 0) & (F.size(ko_col) > 0), F.size(en_col) == F.size(ko_col)
+    dropped = F.size(F.filter(ko_col, lambda x: ~translated(x)))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return pairs.agg(
-        F.sum(F.when(has, 1).otherwise(0)).alias("with_keywords"),
-        F.sum(F.when(has & (F.size(en_col) != F.size(ko_col)), 1).otherwise(0)).alias("skipped_mismatch"),
-    )
+        n(F.when(has, 1).otherwise(0)).alias("with_keywords"), n(F.when(has & ~even, 1).otherwise(0)).alias("skipped_mismatch"),
+        n(F.when(has & even, dropped).otherwise(0)).alias("dropped_untranslated"),
+    )
 
 
 def conflicts(term_pairs: DataFrame, source: str) -> DataFrame:
-    """One row per source term: its variants in order; clean if there is one, a conflict if there are more."""
+    """One row per source term: its variants in order and, where the pairs have card_ids, the ids of each variant's rows;
+    clean if there is one variant, a conflict if there are more."""
     rows = term_pairs.filter((F.col("en_term") != "") & (F.col("ko_term") != ""))
-    each = rows.groupBy("en_term").agg(F.sort_array(F.collect_set("ko_term")).alias("ko_variants"))
-    return each.select("en_term", "ko_variants", F.size("ko_variants").alias("n_variants"), (F.size("ko_variants") > 1).alias("is_conflict"), F.lit(source).alias("source"))
+    ids = F.col("card_ids") if "card_ids" in term_pairs.columns else F.array().cast("array<string>")
+    each = rows.select("en_term", "ko_term", F.explode_outer(ids).alias("card_id")).groupBy("en_term", "ko_term").agg(F.sort_array(F.collect_list("card_id")).alias("ids"))
+    each = each.groupBy("en_term").agg(F.array_sort(F.collect_list(F.struct("ko_term", "ids"))).alias("v"))
+    named = F.map_from_entries(F.filter("v", lambda x: F.size(x["ids"]) > 0))
+    variants = F.transform("v", lambda x: x["ko_term"])
+    return each.select("en_term", variants.alias("ko_variants"), F.size("v").alias("n_variants"), (F.size("v") > 1).alias("is_conflict"), named.alias("source_card_ids"), F.lit(source).alias("source"))
+
+
+def all_conflicts(*lists: DataFrame) -> DataFrame:
+    """The conflicts of several lists, one after another; clean terms are left out."""
+    out = None
+    for one in lists:
+        one = one.filter("is_conflict").select("en_term", "ko_variants", "source_card_ids", "source")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def exclude(cands: DataFrame, official: DataFrame, column: str = "en_term", key: str = "id", normalised: bool = False) -> DataFrame:
@@ -111,11 +147,12 @@ def rank_cut(df_terms: DataFrame, most_terms: int = 1500, least: int = 5) -> Dat
     return n.crossJoin(low).select(F.when(F.col("n") > most_terms, F.col("low")).alias("boundary"))
 
 
-def gold_scorecard(gold: DataFrame, found: DataFrame, df_terms: DataFrame, official: DataFrame, least: int = 5, n_max: int = 3, most_terms: int = 1500) -> DataFrame:
-    """Each gold term (en, ko list, source) with its reach and, if found, whether a target agrees (else null)."""
-    f = found.select(T.eval_term(F.col("en_term")).alias("key"), F.col("ko_term"))
-    g = gold.withColumn("key", T.eval_term(F.col("en")))
-    hit = g.join(f, "key", "left").groupBy("en", "source", "key").agg(
+def gold_scorecard(gold: DataFrame, found: DataFrame, df_terms: DataFrame, official: DataFrame, least: int = 5, n_max: int = 3, most_terms: int = 1500, ko_key=F.lower) -> DataFrame:
+    """Each gold term (en, ko list, source) with its reach, whether a target agrees (null unless found), and whether its
+    form was mangled by tokens. `ko_key` is what targets of both sides are compared by."""
+    f = found.select(T.eval_term(F.col("en_term")).alias("key"), ko_key(F.col("ko_term")).alias("ko_term"))
+    g = gold.withColumn("key", T.eval_term(F.col("en"))).withColumn("mangled", T.symbol_mangled(F.col("en"))).withColumn("ko", F.transform("ko", ko_key))
+    hit = g.join(f, "key", "left").groupBy("en", "source", "key", "mangled").agg(
         F.max(F.col("ko_term").isNotNull()).alias("is_found"), F.max(F.array_contains("ko", F.col("ko_term"))).alias("ko_match")
     )
     off = official.select(T.eval_term(F.col("id")).alias("key")).distinct().withColumn("is_official", F.lit(True))
@@ -125,7 +162,7 @@ def gold_scorecard(gold: DataFrame, found: DataFrame, df_terms: DataFrame, offic
         F.when(F.col("is_found"), "found").when(F.col("is_official"), "official_excluded").when(F.size(F.split("key", " ")) > n_max, "over_max_n")
         .when(F.coalesce("df", F.lit(0)) < least, "below_min_cooccur").when(F.col("df") < F.col("boundary"), "below_rank_cut").otherwise("missed")
     )
-    return hit.select("en", "source", reach.alias("reach"), "ko_match")
+    return hit.select("en", "source", reach.alias("reach"), "ko_match", "mangled")
 
 
 def frequency_sheet(pairs: DataFrame, text_col: str, id_col: str = "id", least: int = 5, most: int = 500, in_cap: int = 1500) -> DataFrame:

@@ -265,7 +265,7 @@ ORACLES = {
     "extraction_prf": f"""WITH {PAIRS}, f AS (SELECT DISTINCT replace(unnest({_tokens('text')}), '_', ' ') AS t FROM benchmark), g AS (SELECT DISTINCT replace(unnest({_tokens('en_text')}), '_', ' ') AS t FROM pairs),
       n AS (SELECT count(*) FILTER (f.t IS NOT NULL AND g.t IS NOT NULL) AS tp, count(*) FILTER (g.t IS NULL) AS fp, count(*) FILTER (f.t IS NULL) AS fn FROM f FULL JOIN g ON f.t = g.t)
       SELECT tp, fp, fn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM n""",
-    "rule_gold_scorecard": f"WITH {CANDIDATES}, {GOLD} SELECT * FROM sc",
+    "rule_gold_scorecard": f"WITH {CANDIDATES}, {GOLD} SELECT en, source, reach, ko_match, false AS mangled FROM sc",
     "gold_recall": f"""WITH {CANDIDATES}, {GOLD}, g AS (SELECT source, count(*) FILTER (reach IN ('found', 'missed')) AS scored, count(*) FILTER (reach = 'found') AS found, count(*) FILTER (ko_match) AS ko_correct FROM sc GROUP BY source)
       SELECT *, round(coalesce(found / nullif(scored, 0), 0.0), 9) AS recall, round(coalesce(ko_correct / nullif(found, 0), 0.0), 9) AS ko_accuracy FROM g""",
     "judge_pending": f"WITH {JUDGED} SELECT en_term, ko_term FROM jc WHERE NOT EXISTS (FROM jj WHERE jj.en_term = jc.en_term AND jj.ko_term = jc.ko_term)",
@@ -287,4 +287,78 @@ ORACLES = {
       SELECT c.id, 0::BIGINT AS n_injection, coalesce(gv.n, 0) AS n_glossary, coalesce(ff.n, 0) AS n_fidelity, coalesce(gv.n, 0) + coalesce(ff.n, 0) = 0 AS passed FROM cards c LEFT JOIN gv ON gv.id = c.id LEFT JOIN ff ON ff.id = c.id""",
     "levenshtein_stats": """WITH d AS (SELECT round(levenshtein(p_name, lower(p_type)) / greatest(length(p_name), length(p_type)), 9) AS x FROM part)
       SELECT round(median(x), 9) AS median, round(avg(x), 9) AS mean, min(x) AS lowest, max(x) AS highest, median(x) <= 0.8 AS passed FROM d""",
+    "release_dates": """SELECT CAST(o_custkey AS VARCHAR) AS card_id, min(CAST(2000 + o_orderkey % 97 AS VARCHAR) || '-01-02') AS date FROM orders WHERE o_orderkey % 97 % 10 <> 0 GROUP BY o_custkey""",
+    "code_cards": "SELECT CAST(o_orderkey AS VARCHAR) AS code, CAST(max(o_custkey) AS VARCHAR) AS card_id FROM orders GROUP BY o_orderkey",
+    "printing_flavor": """SELECT CAST(o_custkey AS VARCHAR) AS card_id, arg_min(o_orderpriority, CAST(o_orderkey AS VARCHAR)) AS en_flavor, '글 ' || arg_min(o_orderpriority, CAST(o_orderkey AS VARCHAR)) AS ko_flavor
+      FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 GROUP BY o_custkey""",
+    "keyword_codes": """SELECT CAST(p_size AS VARCHAR) AS card_id, arg_min(p_brand || '|' || p_type, CAST(p_partkey AS VARCHAR)) AS en_keywords, arg_min(p_brand || '|x', CAST(p_partkey AS VARCHAR)) AS ko_keywords
+      FROM part WHERE p_partkey % 6 = 0 AND p_partkey % 10 <> 0 GROUP BY p_size""",
+    "official_flat": "SELECT lower(n_name) AS id, arg_max(c || ':' || n_name, i) AS name FROM nation, (VALUES (0, 'card_subtypes'), (1, 'card_types'), (2, 'factions'), (3, 'card_cycles'), (4, 'card_sets')) v(i, c) WHERE n_nationkey % (i + 2) = 0 GROUP BY n_name",
+    "gold_load": "SELECT n_name AS en, '가|' || lower(n_name) AS ko, CASE WHEN n_regionkey = 0 THEN 'aided' ELSE 'unaided' END AS source, n_name AS note FROM nation",
+    "draft_scan": f"WITH rec AS ({B.records_sql('rule')} UNION ALL {B.records_sql('flavor')}) SELECT route, interrupted, count(*) AS n, count(draft_ko) AS n_drafts, sum(card_id)::BIGINT AS ids FROM rec GROUP BY ALL",
+    "run_header": "SELECT 'real' AS run_mode, 'm1' AS primary_model_id, false AS mixed_run",
+    "predictions_scan": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name END AS prediction FROM nation",
+    "split_sink": "SELECT p_partkey, p_name, CASE WHEN row_number() OVER (ORDER BY (p_partkey * 2654435761) % 1000003, p_partkey) <= 100 THEN 'hold_out' ELSE 'train' END AS side FROM part",
+    "conflict_union": f"""WITH {KW_CONFLICTS}, n AS (SELECT en_term, count(*) AS n_with_ids, sum(len(card_ids))::BIGINT AS n_ids FROM kw GROUP BY en_term)
+      SELECT kc.en_term, array_to_string(v, '|') AS ko_variants, n_with_ids, n_ids, 'subtype' AS source FROM kc JOIN n USING (en_term) WHERE len(v) > 1
+      UNION ALL SELECT lower(p_brand), string_agg(DISTINCT p_type, '|' ORDER BY p_type), 0, 0, 'rule' FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1""",
+    "keyword_counts": """WITH k AS (SELECT len(string_split(p_name, ' ')) AS e, CASE WHEN p_partkey % 2 = 0 THEN list_append(string_split(p_type, ' '), 'PLUS') ELSE string_split(p_type, ' ') END AS k FROM part)
+      SELECT count(*) AS with_keywords, count(*) FILTER (e <> len(k)) AS skipped_mismatch, coalesce(sum(len(list_filter(k, lambda x: x LIKE 'P%'))) FILTER (e = len(k)), 0)::BIGINT AS dropped_untranslated FROM k""",
+    "asset_sink": f"""WITH {KW_CONFLICTS}, r AS (SELECT count(DISTINCT p_type) AS n FROM part GROUP BY lower(p_brand)), g AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS t FROM part),
+      x AS (SELECT count(*) FILTER (en_term IS NOT NULL AND t IS NOT NULL) AS tp, count(*) FILTER (t IS NULL) AS fp, count(*) FILTER (en_term IS NULL) AS fn FROM kc FULL JOIN g ON kc.en_term = g.t)
+      SELECT (SELECT count(*) FROM nation) AS n_official, (SELECT count(*) FROM nation) AS n_map, (SELECT count(*) FROM kc WHERE len(v) = 1) AS n_subtype, (SELECT count(*) FROM r WHERE n = 1) AS n_extracted,
+        (SELECT count(*) FROM kc WHERE len(v) > 1) AS held_subtype, (SELECT count(*) FROM r WHERE n > 1) AS held, tp, fp, fn, false AS llm_judged FROM x""",
+    "approved_store": """SELECT CAST(p_partkey AS VARCHAR) AS card_id, 'text' AS field, p_name AS en_text, p_type AS ko_draft, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS approved_ko,
+      p_partkey % 2 = 0 AND p_name <> p_type AS modified, CASE WHEN p_partkey % 4 = 0 THEN 'new_term' ELSE 'rule_violation' END AS reasons FROM part WHERE p_partkey % 3 = 0""",
+    "new_term_store": """WITH a AS (SELECT * FROM part WHERE p_partkey % 12 = 0) SELECT p_brand AS en_term, CASE WHEN p_partkey % 8 = 0 THEN p_name ELSE '' END AS ko_rendering, CAST(p_partkey AS VARCHAR) AS source_card_id, 'text' AS source_field, p_name AS approved_ko_context FROM a
+      UNION ALL SELECT p_type, '', CAST(p_partkey AS VARCHAR), 'text', p_name FROM a""",
+    "judged_store": "SELECT DISTINCT p_name AS en_term, p_type AS ko_term, length(p_name) % 2 = 0 AS accepted FROM part WHERE p_name NOT LIKE 'a%'",
+    "judged_counts": "SELECT count(*) FILTER (e NOT LIKE 'a%' AND length(e) % 2 = 0) AS accepted, count(*) FILTER (e NOT LIKE 'a%' AND length(e) % 2 = 1) AS rejected, count(*) FILTER (e LIKE 'a%') AS dropped FROM (SELECT DISTINCT p_name AS e, p_type FROM part)",
+    "draft_records": f"""WITH {FIELDS}, {GLOSSARY}, rc AS (SELECT card_id || ':' || field AS id, text AS en_text, card_id, field, CASE field WHEN 'text' THEN 'rule' ELSE 'flavor' END AS route FROM ex), {_new_terms('rc')},
+      t AS (SELECT id, string_agg(en, '|' ORDER BY en) AS terms, count(*) FILTER (NOT contains(upper(en_text), ko)) AS bad FROM rc JOIN gl ON {_phrase('en_text', 'en')} GROUP BY id),
+      n AS (SELECT id, string_agg(en_term, '|' ORDER BY pos) FILTER (NOT blocking) AS rec, count(*) FILTER (blocking) AS new FROM nt GROUP BY id),
+      d AS (SELECT *, contains(en_text, 'steel') AS failed, CASE WHEN card_id % 3 = 0 THEN 0.0 ELSE 1.0::DOUBLE / (1 + card_id % 150) END AS conf FROM rc),
+      g AS (SELECT id, array_to_string(list_filter([CASE WHEN n.new > 0 THEN 'new_term' END, CASE WHEN t.bad > 0 THEN 'rule_violation' END, CASE WHEN conf < 0.01 THEN 'low_tm_confidence' END], lambda x: x IS NOT NULL), '|') AS guards FROM d LEFT JOIN t USING (id) LEFT JOIN n USING (id))
+      SELECT d.id, CASE WHEN failed THEN '' ELSE upper(en_text) END AS draft_ko, CASE WHEN NOT failed THEN 'm1' END AS model_id, CASE WHEN failed THEN 'model_invocation_failure' END AS empty_cause, CASE WHEN failed THEN 'no steel' END AS model_error,
+        CASE WHEN failed OR card_id % 3 = 0 THEN 0 ELSE 1 END::BIGINT AS n_hits, CASE WHEN failed THEN '' ELSE coalesce(terms, '') END AS terms, round(CASE WHEN failed THEN 0.0 ELSE conf END, 9) AS tm_confidence,
+        CASE WHEN failed THEN '' ELSE coalesce(rec, '') END AS recording, CASE WHEN failed THEN '' ELSE guards END AS guards, NOT failed AND guards <> '' AS interrupted
+      FROM d JOIN g USING (id) LEFT JOIN t USING (id) LEFT JOIN n USING (id)""",
+    "model_counters": f"WITH {FIELDS}, x AS (SELECT contains(text, 'steel') AS failed FROM ex) SELECT CASE WHEN failed THEN '' ELSE 'm1' END AS model_id, count(*) AS n, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failed FROM x GROUP BY x.failed",
+    "observation_scores": "SELECT p_partkey AS card_id, 1 + (length(p_name) + length(p_type)) % 3 AS rule_score, CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN 1 + length(p_type) % 3 END AS flavor_score FROM part",
+    "scoring_view": f"WITH {GLOSSARY} SELECT en, ko, source FROM gl WHERE regexp_matches(ko, '[가-힣]')",
+    "morphology_terms": rf"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS ko_text FROM documents WHERE lang = 'de'),
+      w AS (SELECT id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT id, {KO_TOKENS} AS t FROM d)),
+      f AS (SELECT id, i, w, list_filter(regexp_extract_all(w, '[a-zA-Z]+|[0-9]+'), lambda x: regexp_matches(x, '^[0-9]') OR length(x) <> 2) AS f FROM w),
+      n AS (SELECT id, i, array_to_string(list_transform(f, lambda x: CASE WHEN regexp_matches(x, '^[a-zA-Z]*en$') THEN x || '다' ELSE x END), ' ') AS n FROM f),
+      g AS (SELECT id, count(*) AS c, md5(string_agg(n, ' ' ORDER BY i)) AS m FROM n WHERE n <> '' GROUP BY id)
+      SELECT d.id, coalesce(c, 0) AS n_tokens, coalesce(m, md5('')) AS tokens FROM d LEFT JOIN g ON g.id = d.id""",
+    "morphology_gold": r"""WITH n AS (SELECT p_partkey AS id, list_transform(list_filter(string_split(p_name, ' '), lambda x: length(x) <> 2), lambda x: CASE WHEN x LIKE '%en' THEN x || '다' ELSE x END) AS n FROM part)
+      SELECT id, array_to_string(list_concat(n, ['[credit]en다', '(ABC)', '12']), ' ') AS norm FROM n""",
+    "matched_pairs": "SELECT p_partkey AS id, p_name AS prediction, p_type AS reference FROM part",
+    "record_references": f"""WITH rec AS ({B.records_sql('rule')} UNION ALL {B.records_sql('flavor')})
+      SELECT card_id, CASE route WHEN 'rule' THEN 'text' ELSE 'flavor' END AS field, route, CASE WHEN card_id % 7 = 0 THEN '' WHEN route = 'rule' THEN p_type || ' x' WHEN card_id % 2 = 0 THEN p_brand ELSE '' END AS ref_ko FROM rec JOIN part ON p_partkey = card_id""",
+    "per_model_gates": f"""WITH {SYMBOLS}, {GLOSSARY}, c1 AS (SELECT id, count(*) AS nc, count(*) FILTER (NOT contains({TIGHT.format('ko_text')}, {TIGHT.format('ko')})) AS nv FROM cards JOIN gl ON {_phrase('en_text', 'en')} GROUP BY id),
+      m AS (SELECT 'm' || (p_size % 4) AS model_id, p_partkey AS id, p_partkey % 9 = 0 OR (p_partkey % 10 <> 0 AND p_name = p_type) AS echo, p_partkey % 9 = 0 OR p_partkey % 10 <> 0 AS live FROM part WHERE p_size % 4 < 3)
+      SELECT model_id, count(*) AS n_cards, count(*) AS n_records, count(*) FILTER (passed) AS n_passed, round(avg(passed::INT), 9) AS preservation, round((sum(nc) - sum(nv)) / sum(nc), 9) AS compliance,
+        round(median(round(levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 9)), 9) AS median_distance, round(count(*) FILTER (echo) / count(*) FILTER (live), 9) AS echo_rate
+      FROM m JOIN g2 USING (id) JOIN part ON p_partkey = id LEFT JOIN c1 USING (id) GROUP BY model_id""",
+    "corpus_head": "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders ORDER BY date, id LIMIT 50",
+    "hangul_flags": rf"""WITH {CARDS} SELECT id, {COND} AS n_conditions, regexp_matches(ko_text, '{KO_CONDITIONS}') AS ko_condition, array_to_string(regexp_extract_all(en_text, '\[{W}[\p{{L}}\p{{N}}_-]*\]'), '|') AS symbols FROM cards WHERE id % 5 > 1""",
+    "lookup_response": f"""WITH {GLOSSARY}, a AS (SELECT item_id AS id, {_tokens('text')}[1] AS en FROM benchmark) SELECT id, trim(replace(a.en, '_', ' ')) AS key, CASE WHEN ko IS NULL THEN 'false' ELSE 'true' END AS found, ko
+      FROM a LEFT JOIN gl ON gl.en = trim(replace(a.en, '_', ' '))""",
+    "search_tm": f"""WITH {BM25}, {CHAR}, de AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
+        FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings d JOIN documents ON documents.doc_id = d.vec_id),
+      every AS (SELECT q.query_id, d.doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(b.score, 0) DESC, d.doc_id) - 1 AS b, row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(c.score, 0) DESC, d.doc_id) - 1 AS c,
+          row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(e.score, 0) DESC, d.doc_id) - 1 AS e
+        FROM (SELECT item_id AS query_id FROM benchmark) q CROSS JOIN documents d LEFT JOIN bm b ON b.query_id = q.query_id AND b.doc_id = d.doc_id LEFT JOIN ch c ON c.query_id = q.query_id AND c.doc_id = d.doc_id LEFT JOIN de e ON e.query_id = q.query_id AND e.doc_id = d.doc_id),
+      u AS (SELECT query_id, doc_id, 0 AS signal, b AS rank FROM every WHERE b < 200 UNION ALL SELECT query_id, doc_id, 1, c FROM every WHERE c < 200 UNION ALL SELECT query_id, doc_id, 2, e FROM every WHERE e < 200),
+      f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS score, min((signal, rank)) AS first FROM u GROUP BY ALL),
+      t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) - 1 AS rank FROM f)
+      SELECT t.query_id, t.doc_id, score, t.rank, b AS bm25_rank, c AS char_rank, e AS dense_rank FROM t JOIN every USING (query_id, doc_id) WHERE t.rank < 5""",
+    "gold_totals": f"""WITH {CANDIDATES}, {GOLD}, g AS (SELECT count(*) AS gold_size, count(*) FILTER (reach IN ('found', 'missed')) AS scored, count(*) FILTER (reach = 'found') AS found, count(*) FILTER (ko_match) AS ko_correct,
+        count(*) FILTER (reach = 'official_excluded') AS official_excluded, count(*) FILTER (reach = 'over_max_n') AS over_max_n, count(*) FILTER (reach = 'below_min_cooccur') AS below_min_cooccur, count(*) FILTER (reach = 'below_rank_cut') AS below_rank_cut FROM sc)
+      SELECT *, round(coalesce(found / nullif(scored, 0), 0.0), 9) AS recall, round(coalesce(ko_correct / nullif(found, 0), 0.0), 9) AS ko_accuracy FROM g""",
+    "candidates_in_order": f"WITH {CANDIDATES}, o AS (SELECT en_term, ko_term, row_number() OVER (ORDER BY dice DESC, cooccurrence DESC, en_term, ko_term) AS place FROM capped) SELECT * FROM o WHERE place <= 100",
+    "event_stream": "SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS hour, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL",
+    "approved_stream": "SELECT CASE WHEN p_size % 2 = 0 THEN 'text' ELSE 'flavor' END AS field, p_partkey % 2 = 0 AND p_brand <> p_type AS modified, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as T
@@ -291,13 +292,29 @@ def extraction_prf(spark, sf_dir):
 GOLD = [("the", ["of"], "aided"), ("of_the", ["the"], "aided"), ("la", ["la"], "unaided"), ("a b c d", ["x"], "unaided"), ("nation_0", ["x"], "aided"), ("zzzz", ["x"], "unaided"), ("und", ["und", "der"], "aided")]
 
 
-@query
-def rule_gold_scorecard(spark, sf_dir):
+def _scorecard(spark, sf_dir):
     p = B.pairs(spark, sf_dir)
     gold = spark.createDataFrame(GOLD, "en string, ko array<string>, source string")
     official = table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"))
-    card = terms.gold_scorecard(gold, terms.cap(terms.candidates(p)), terms.document_frequency(p, T.source_ngrams(F.col("en_text"))), official)
-    return card
+    return terms.gold_scorecard(gold, terms.cap(terms.candidates(p)), terms.document_frequency(p, T.source_ngrams(F.col("en_text"))), official)
+
+
+@query
+def rule_gold_scorecard(spark, sf_dir):
+    return _scorecard(spark, sf_dir)
+
+
+@query
+def gold_totals(spark, sf_dir):
+    return evaluation.gold_totals(_scorecard(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("recall", "ko_accuracy")})
+
+
+@query
+def candidates_in_order(spark, sf_dir):
+    """The first 100 candidates in reporting order, with their place."""
+    c = terms.in_order(terms.cap(terms.candidates(B.pairs(spark, sf_dir))).withColumn("dice", F.round("dice", 9))).limit(100)
+    place = W.orderBy(F.desc("dice"), F.desc("cooccurrence"), "en_term", "ko_term")  # over 100 rows
+    return c.select("en_term", "ko_term", F.row_number().over(place).alias("place"))
 
 
 @query
@@ -394,17 +411,27 @@ def levenshtein_stats(spark, sf_dir):
 
 
 @query
-def approved_stream(spark, sf_dir):
+def event_stream(spark, sf_dir):
     from glosswright.streaming import flows
 
     return flows.event_windows(spark, sf_dir)
 
 
 @query
-def judged_stream(spark, sf_dir):
+def approved_stream(spark, sf_dir):
+    from glosswright.streaming import flows
+
+    return flows.approvals(spark, sf_dir)
+
+
+@query
+def guarded_stream(spark, sf_dir):
     from glosswright.streaming import flows
 
     return flows.guarded_cards(spark, sf_dir)
 
 
+from glosswright.plans import files  # noqa: E402
+
+QUERIES.update(files.QUERIES)
 ORACLES = {k: v for k, v in ORACLES.items() if k in QUERIES}

@@ -5,6 +5,7 @@ readers, so any store works."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,8 +35,14 @@ def card_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def legacy_keywords(spark: SparkSession, path: str) -> DataFrame:
-    """(code, keywords), blank ones dropped."""
-    d = spark.read.schema("code string, keywords string").option("multiLine", True).json(path)
+    """(code, keywords), blank ones dropped; nothing if there is no such folder."""
+    schema = "code string, keywords string"
+    try:
+        d = spark.read.schema(schema).option("multiLine", True).json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
     return d.filter(T.squeeze_ends(F.col("keywords")) != "")
 
 
@@ -65,11 +72,26 @@ def bilingual_flavor(en: DataFrame, ko: DataFrame, has_target: Column | None = N
     return j.groupBy("card_id").agg(F.min_by(F.struct("en_flavor", "ko_flavor"), "id").alias("f")).select("card_id", "f.en_flavor", "f.ko_flavor")
 
 
+def translated_only(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose column is there and translated."""
+    return rows.filter(T.is_translated(F.col(column)))
+
+
+def in_order(corpus: DataFrame) -> DataFrame:
+    """A corpus in its order: by date, then by id."""
+    return corpus.orderBy("date", "id")
+
+
+def head(corpus: DataFrame, n: int) -> DataFrame:
+    """The first n rows in the corpus's order."""
+    return in_order(corpus).limit(n)
+
+
 def clean_corpus(en: DataFrame, ko: DataFrame, dates: DataFrame, keywords: DataFrame | None = None, flavor: DataFrame | None = None, years: tuple[int, int] = (FIRST_YEAR, LAST_YEAR), translated=T.is_translated) -> DataFrame:
     """The clean pairs: released in `years`, with a source text and a translated target text. Untranslated rows go
     before anything is counted. Order it by date and id where order matters."""
     e = en.filter(T.squeeze_ends(F.col("text")) != "").select("id", F.col("text").alias("en_text"))
-    k = ko.filter(translated(F.col("text"))).select("id", F.col("text").alias("ko_text"))
+    k = (translated_only(ko, "text") if translated is T.is_translated else ko.filter(translated(F.col("text")))).select("id", F.col("text").alias("ko_text"))
     d = dates.filter(F.substring("date", 1, 4).cast("int").between(*years)).select(F.col("card_id").alias("id"), "date")
     out = e.join(k, "id").join(d, "id")
     for extra in (keywords, flavor):

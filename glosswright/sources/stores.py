@@ -45,16 +45,48 @@ def draft_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_header(spark: SparkSession, path: str) -> DataFrame:
-    return read(spark, "drafts", path).filter("_meta = 'run_pipeline_header'").select("run_mode", "primary_model_id", "mixed_run").limit(1)
+    """The run header of a file that mixes both, if it stands before any record; at most one row. Lines are told apart by
+    file and by their place in it."""
+    row = StructType.fromDDL(f"{SCHEMAS['drafts']}, _broken string")
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "run_mode string, primary_model_id string, mixed_run boolean")
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))  # order within a block
+    d = lines.select(at.alias("at"), F.from_json("value", row, {"columnNameOfCorruptRecord": "_broken"}).alias("r")).filter("r is not null and r._broken is null")
+    kind = F.when(F.col("r._meta").isNull(), "record").otherwise(F.col("r._meta"))
+    first = d.filter(kind.isin("record", "run_pipeline_header")).agg(F.min_by(F.struct(kind.alias("kind"), "r.run_mode", "r.primary_model_id", "r.mixed_run"), "at").alias("h"))
+    return first.filter("h.kind = 'run_pipeline_header'").select("h.run_mode", "h.primary_model_id", "h.mixed_run")
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, prediction) of a JSON array of strings or of a file of lines, in order."""
-    if path.endswith(".json"):
-        d = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "prediction"))
-        return d.select(F.col("pos").cast("long").alias("pos"), "prediction")
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "prediction"))
-    return lines.select(F.col("pos").cast("long").alias("pos"), "prediction")
+    """(pos, prediction) of a JSON array of strings or of a file of lines, in order. Places are within one file, so a file
+    is read whole."""
+    whole = spark.read.text(path, wholetext=True)
+    items = F.from_json("value", "array<string>") if path.endswith(".json") else F.split(F.regexp_replace("value", r"\n\z", ""), "\n")
+    return whole.select(F.posexplode(items).alias("pos", "prediction")).select(F.col("pos").cast("long").alias("pos"), "prediction")
+
+
+def glossary_asset(official: DataFrame, subtype: DataFrame, extracted: DataFrame, scores: DataFrame, judged: DataFrame | None = None, llm_judged: bool = False) -> DataFrame:
+    """One row, the glossary as an asset: three maps, how many terms each has, how many conflicts were held back, the
+    extraction scores and the judgment counters. official: id, name; subtype and extracted: rows of terms.conflicts."""
+    entries = lambda d, e, k: d.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(e, k)))).alias("m"))
+    clean = lambda d: entries(d.filter("not is_conflict"), F.col("en_term"), F.get("ko_variants", F.lit(0)).alias("ko"))
+    held = lambda d, out: d.agg(F.coalesce(F.sum(F.when(F.col("is_conflict"), 1).otherwise(0)), F.lit(0)).alias(out))
+    g = entries(official, F.col("id"), F.col("name")).withColumnRenamed("m", "official").crossJoin(clean(subtype).withColumnRenamed("m", "subtype_extracted"))
+    g = g.crossJoin(clean(extracted).withColumnRenamed("m", "extracted")).crossJoin(held(subtype, "s")).crossJoin(held(extracted, "c")).crossJoin(scores.select(F.struct("*").alias("subtype_evaluation")))
+    counts = F.struct(*[F.size(c).alias(c) for c in ("official", "subtype_extracted", "extracted")], F.col("s").alias("subtype_conflicts_held_back"), F.col("c").alias("conflicts_held_back"))
+    g = g.withColumn("counts", counts).withColumn("llm_judged", F.lit(llm_judged)).drop("s", "c")
+    return g if judged is None else g.crossJoin(judged.select(F.struct("*").alias("judged_counts")))
+
+
+def write_assets(glossary: DataFrame, patterns: DataFrame, conflicts: DataFrame, path: str) -> None:
+    """glossary (one row), patterns in order of count and conflicts, each a store of its own."""
+    replace(glossary, f"{path}/glossary")
+    replace(patterns.orderBy(F.desc("count"), "en_template", "ko_template"), f"{path}/patterns")
+    replace(conflicts, f"{path}/conflicts")
 
 
 def append(rows: DataFrame, path: str) -> None:

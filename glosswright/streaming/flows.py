@@ -7,19 +7,32 @@ from pyspark.sql import functions as F
 
 from glosswright.operators import drafting, guards
 from glosswright.plans import bindings as B
-from glosswright.session import workspace
+from glosswright.session import table, workspace
 from glosswright.streaming import stores
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts by event type of the event stream, each event counted once, as far as the watermark closed them."""
+    """Hourly counts by event type of the event stream. A row that comes late or twice is written like any other; events
+    are told apart where the counts are read, so none is lost to a watermark and none counts twice."""
     at = workspace(spark, "events")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema.simpleString()[7:-1].replace(":", " ")
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    once = stores.once(stream.withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts")
-    stores.drain(once.select("event_id", "ts", "event_type"), f"{at}/out", f"{at}/checkpoint")
-    d = spark.read.parquet(f"{at}/out")
-    return d.groupBy(F.window("ts", "1 hour")["start"].alias("hour"), "event_type").agg(F.count("*").alias("n"))
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    stores.drain(stream.select("event_id", "ts", "event_type"), f"{at}/out", f"{at}/checkpoint")
+    d = spark.read.schema("event_id long, ts timestamp, event_type string").parquet(f"{at}/out")
+    return d.groupBy(F.window("ts", "1 hour")["start"].alias("hour"), "event_type").agg(F.countDistinct("event_id").alias("n"))
+
+
+def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review decisions as they come in, applied to the queue and appended to the store of approvals: how many by field."""
+    at = workspace(spark, "approvals")
+    p = table(spark, sf_dir, "part")
+    queue = p.selectExpr("p_partkey AS id", "p_partkey AS card_id", "CASE WHEN p_size % 2 = 0 THEN 'text' ELSE 'flavor' END AS field", "'rule' AS route", "p_name AS en_text", "p_type AS draft_ko",
+                         "CAST(array() AS array<struct<en:string,ko_rendering:string>>) AS new_terms", "CAST(array() AS array<struct<guard:string>>) AS guard_violations")
+    p.filter("p_partkey % 3 = 0").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS approved_ko", "map('x', 'y') AS term_renderings").repartition(4).write.json(f"{at}/in")
+    stream = stores.follow(spark, f"{at}/in", "id long, approved_ko string, term_renderings map<string,string>", files_per_batch=2)
+    stores.reviewed(stream, queue, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    d = spark.read.schema("id long, field string, modified boolean").json(f"{at}/out/approved")
+    return d.groupBy("field", "modified").agg(F.count("*").alias("n"))
 
 
 def guarded_cards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,19 @@ def guarded(drafts: DataFrame, check: Callable[[DataFrame], tuple[DataFrame, Dat
     return drafts.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def reviewed(decisions: DataFrame, queue: DataFrame, out: str, checkpoint: str):
+    """Applies each batch of decisions to the review queue and appends approvals and new-term candidates; a batch that is
+    run again writes over what it wrote."""
+    from glosswright.operators import drafting
+
+    def run(batch: DataFrame, number: int) -> None:
+        approved, terms = drafting.approved_records(queue, batch)
+        approved.write.mode("overwrite").json(f"{out}/approved/batch={number}")
+        terms.write.mode("overwrite").json(f"{out}/terms/batch={number}")
+
+    return decisions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def once(stream: DataFrame, keys: list[str], time_col: str, delay: str = "1 hour") -> DataFrame:
     """The first of the rows with equal keys; what is remembered of a key ends with the watermark."""
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)

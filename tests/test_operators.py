@@ -32,7 +32,7 @@ def test_conflicts_and_keywords(spark):
     k = terms.keyword_pairs(p, "e", "k")
     assert {(r["en_term"], r["ko_term"], tuple(r["card_ids"])) for r in k.collect()} == {("a", "가", (1,)), ("b", "나", (1,)), ("a", "다", (2,))}
     assert {(r["en_term"], r["is_conflict"]) for r in terms.conflicts(k, "s").collect()} == {("a", True), ("b", False)}
-    assert one(terms.keyword_counters(p, "e", "k")) == {"with_keywords": 4, "skipped_mismatch": 1}
+    assert one(terms.keyword_counters(p, "e", "k")) == {"with_keywords": 4, "skipped_mismatch": 1, "dropped_untranslated": 1}
 
 
 def test_extraction_scores(spark):
@@ -101,12 +101,10 @@ def glossary(spark):
     return guards.flat_glossary(spark.createDataFrame(rows, "section string, en string, ko string")).cache()
 
 
-def test_glossary_of_any_size(spark, glossary, monkeypatch):
-    p = spark.createDataFrame([(1, "Break ice (x)"), (2, "A Code Gate"), (3, "nice")], "id long, en_text string")
-    small = {tuple(r) for r in guards.phrase_hits(p, glossary).collect()}
-    monkeypatch.setattr(guards, "MOST_FIRSTS", 0)
-    assert small == {tuple(r) for r in guards.phrase_hits(p, glossary).select("id", "en_text", "en", "ko", "source").collect()}
-    assert {(r[0], r[2]) for r in small} == {(1, "ice"), (1, "(x)"), (2, "code gate")}
+def test_phrases_in_texts_of_repeated_ids(spark, glossary):
+    p = spark.createDataFrame([(1, "Break ice (x)"), (1, "A Code Gate"), (1, "A Code Gate"), (None, "[ice]"), (3, "nice ICEs"), (4, "")], "id long, en_text string")
+    got = sorted((r["id"] or 0, r["en_text"], r["en"]) for r in guards.phrase_hits(p, glossary).collect())
+    assert got == [(0, "[ice]", "ice"), (1, "A Code Gate", "code gate"), (1, "A Code Gate", "code gate"), (1, "Break ice (x)", "(x)"), (1, "Break ice (x)", "ice")]
 
 
 def test_glossary(spark, glossary):
