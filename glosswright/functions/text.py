@@ -61,14 +61,14 @@ def tokens(c: Column) -> Column:
 
 def ngrams(words: Column, n_max: int = 3) -> Column:
     """All contiguous n-grams for n = 1 .. n_max, joined by spaces, in order of n and place."""
-    n_words = F.size(words)
 
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), n_words - (n - 1))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(n_words >= n, grams).otherwise(F.array().cast("array<string>"))
+    def of(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        grams = F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.array(*[of(n) for n in range(1, n_max + 1)]))
+    # the one-element array binds the words, which a lambda would else compute anew for every place
+    return F.flatten(F.transform(F.array(words), lambda w: F.flatten(F.array(*[of(w, n) for n in range(1, n_max + 1)]))))
 
 
 def strip_tags(c: Column) -> Column:
@@ -180,8 +180,8 @@ def target_symbols(c: Column) -> Column:
 
 def tally(items: Column) -> Column:
     """A multiset as a map from item to count."""
-    distinct = F.array_distinct(items)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda x: F.size(F.filter(items, lambda y: y == x))))
+    count = lambda x: F.map_from_arrays(F.array_distinct(x), F.transform(F.array_distinct(x), lambda y: F.size(F.filter(x, lambda z: z == y))))
+    return F.transform(F.array(items), count)[0]
 
 
 def injections(c: Column, side: str) -> Column:

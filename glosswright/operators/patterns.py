@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as T
 
-SALTS = 32
+SALTS, ROWS = 32, 10_000
 
 def extract(pairs: DataFrame, en_col: str = "en_text", ko_col: str = "ko_text", id_col: str = "id", seq_col: str = "id", least: int = 3, examples: int = 3) -> DataFrame:
     """en_template, ko_template, count and the first example ids, from rows with equally many sentences."""
-    s = pairs.select(F.col(id_col).alias("id"), F.col(seq_col).alias("seq"), T.sentences(F.col(en_col)).alias("es"), T.sentences(F.col(ko_col)).alias("ks"))
-    s = s.filter(F.size("es") == F.size("ks")).select("id", "seq", F.posexplode(F.arrays_zip("es", "ks")).alias("pos", "z"))
-    t = s.select("id", "seq", "pos", T.template(F.col("z.es")).alias("en_template"), T.template(F.col("z.ks")).alias("ko_template"))
-    t = t.filter((F.col("en_template") != "") & (F.col("ko_template") != ""))
-    # a template that many rows share is counted and ranked in salted parts, and only the first few rows of a part go on
-    part = W.partitionBy("en_template", "ko_template", "salt")
-    t = t.withColumn("salt", F.pmod(F.xxhash64("seq", "id"), F.lit(SALTS)))
-    t = t.withColumn("nth", F.row_number().over(part.orderBy("seq", "pos", "id"))).withColumn("n", F.count("*").over(part)).filter(F.col("nth") <= examples)
-    first = F.slice(F.array_sort(F.collect_list(F.struct("seq", "pos", "id"))), 1, examples)  # of SALTS * examples rows at most
-    g = t.groupBy("en_template", "ko_template").agg(F.sum(F.when(F.col("nth") == 1, F.col("n"))).alias("count"), first.alias("some"))
+    # one expression makes the templates of a row: filters between would have each sentence split and abstracted twice
+    both = F.struct(T.sentences(F.col(en_col)).alias("es"), T.sentences(F.col(ko_col)).alias("ks"))
+    made = lambda p: F.transform(F.arrays_zip(p["es"].alias("e"), p["ks"].alias("k")), lambda x: F.struct(T.template(x["e"]).alias("en"), T.template(x["k"]).alias("ko")))
+    even = F.transform(F.array(both), lambda p: F.when(F.size(p["es"]) == F.size(p["ks"]), made(p)))[0]
+    s = pairs.select(F.col(id_col).alias("id"), F.col(seq_col).alias("seq"), F.posexplode_outer(even).alias("pos", "z"))
+    t = s.select("id", "seq", "pos", F.col("z.en").alias("en_template"), F.col("z.ko").alias("ko_template")).filter("en_template <> '' and ko_template <> ''")
+    # salts grow with the rows, so the places of a common template are gathered in parts of bounded size
+    salts = max(SALTS, pairs.count() // ROWS)
+    first = F.slice(F.array_sort(F.collect_list(F.struct("seq", "pos", "id"))), 1, examples)
+    part = t.withColumn("salt", F.pmod(F.xxhash64("seq", "pos"), F.lit(salts))).groupBy("en_template", "ko_template", "salt").agg(F.count("*").alias("n"), first.alias("some"))
+    # parts of parts, so that no more than SALTS short lists meet at once
+    g = part
+    while salts > SALTS:
+        salts = -(-salts // SALTS)
+        g = g.withColumn("salt", F.pmod("salt", F.lit(salts))).groupBy("en_template", "ko_template", "salt").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, examples).alias("some"))
+    g = g.groupBy("en_template", "ko_template").agg(F.sum("n").alias("count"), F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, examples).alias("some"))
     return g.filter(F.col("count") >= least).select("en_template", "ko_template", "count", F.transform("some", lambda x: x["id"]).alias("examples"))
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as T
 
-BLOCK = 1000  # terms of a row that are paired at once
+PAIRS, STEP = 4_000_000, 1_000_000  # pairs of a bucket, and pairs that are counted at once
 
 def frequencies(pairs: DataFrame, grams, id_col: str = "id", out: str = "term") -> DataFrame:
     """(id, term), each term once per row: counts over it are document frequencies."""
@@ -30,10 +33,59 @@ def numbered(pairs: DataFrame, grams, id_col: str, least: int) -> tuple[DataFram
     return rows, counts
 
 
-def blocks(terms: str) -> Column:
-    """A row's terms in blocks: the pairs of a row with many are then made by several tasks."""
-    n = F.ceil(F.size(terms) / BLOCK).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(terms, i * BLOCK + 1, BLOCK))
+def counted_pairs(rows: DataFrame, least: int, pairs_a_task: int = PAIRS) -> DataFrame:
+    """(e, k, cooccurrence) of at least `least`, from rows (es, ks) of distinct hashes.
+
+    Pairs are dealt to a square of buckets by both hashes, so a row sends each side once per column or row of the square,
+    never its pairs. A bucket has its pairs whole: they are counted there, in steps, and only frequent ones leave it. The
+    more pairs there are, the more buckets, so neither a long row nor a frequent term is one task's work."""
+    import numpy as np
+    import pyarrow as pa
+
+    total = rows.agg(F.sum(F.size("es").cast("long") * F.size("ks"))).first()[0] or 0
+    side = max(1, math.ceil(math.sqrt(total / pairs_a_task)))
+
+    def steps(es: list, ks: list) -> tuple:
+        ue, ie = np.unique(np.concatenate(es), return_inverse=True)
+        uk, ik = np.unique(np.concatenate(ks), return_inverse=True)
+        codes, x, y = [], 0, 0
+        for e, k in zip(es, ks, strict=True):
+            codes.append((ie[x : x + len(e), None] * len(uk) + ik[None, y : y + len(k)]).ravel())
+            x, y = x + len(e), y + len(k)
+        c, n = np.unique(np.concatenate(codes), return_counts=True)
+        return ue[c // len(uk)], uk[c % len(uk)], n
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, es, ks, size, done = None, [], [], 0, []
+
+        def settled() -> pa.RecordBatch:
+            parts = done + ([steps(es, ks)] if es else [])
+            e, k, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+            order = np.lexsort((k, e))
+            e, k, n = e[order], k[order], n[order]
+            first = np.flatnonzero(np.append(True, (e[1:] != e[:-1]) | (k[1:] != k[:-1]))) if len(e) else np.zeros(0, np.int64)
+            n = np.add.reduceat(n, first) if len(e) else n
+            ok = n >= least
+            return pa.RecordBatch.from_arrays([pa.array(e[first][ok]), pa.array(k[first][ok]), pa.array(n[ok])], ["e", "k", "cooccurrence"])
+
+        for b in batches:
+            for at, e, k in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if at != key:
+                    yield settled()
+                    key, es, ks, size, done = at, [], [], 0, []
+                es.append(e.values.to_numpy())
+                ks.append(k.values.to_numpy())
+                size += len(es[-1]) * len(ks[-1])
+                if size >= STEP:
+                    done.append(steps(es, ks))
+                    es, ks, size = [], [], 0
+        yield settled()
+
+    places = F.sequence(F.lit(0), F.lit(side - 1))
+    dealt = rows.select("ks", F.explode(places).alias("i"), "es").select("i", "ks", F.filter("es", lambda x: F.pmod(x, F.lit(side)) == F.col("i")).alias("es")).filter("size(es) > 0")
+    dealt = dealt.select("i", "es", F.explode(places).alias("j"), "ks").select("i", "j", "es", F.filter("ks", lambda x: F.pmod(x, F.lit(side)) == F.col("j")).alias("ks")).filter("size(ks) > 0")
+    dealt = dealt.select((F.col("i") * side + F.col("j")).alias("bucket"), "es", "ks").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(counted, "e long, k long, cooccurrence long")
 
 
 def candidates(pairs: DataFrame, source_col: str = "en_text", target_col: str = "ko_text", id_col: str = "id", n_max: int = 3, least: int = 5, normalise=None) -> DataFrame:
@@ -42,10 +94,7 @@ def candidates(pairs: DataFrame, source_col: str = "en_text", target_col: str =
     en, ef = numbered(pairs, T.source_ngrams(F.col(source_col), n_max), id_col, least)
     ko, kf = numbered(pairs, T.target_ngrams(F.col(target_col), n_max, normalise), id_col, least)
     rows = en.withColumnRenamed("terms", "es").join(ko.withColumnRenamed("terms", "ks"), "id")
-    rows = rows.select("id", F.explode(blocks("es")).alias("es"), "ks").select("id", "es", F.explode(blocks("ks")).alias("ks"))
-    rows = rows.repartition(F.xxhash64("id", "es", "ks"))  # blocks of one row go to different tasks
-    both = rows.select(F.explode("es").alias("e"), "ks").select("e", F.explode("ks").alias("k")).groupBy("e", "k").agg(F.count("*").alias("cooccurrence"))
-    both = both.filter(F.col("cooccurrence") >= least)
+    both = counted_pairs(rows.select("es", "ks"), least)
     both = both.join(ef.select(F.col("h").alias("e"), F.col("term").alias("en_term"), F.col("df").alias("ef")), "e")
     both = both.join(kf.select(F.col("h").alias("k"), F.col("term").alias("ko_term"), F.col("df").alias("kf")), "k").crossJoin(F.broadcast(total))  # one row
     n, c = F.col("n_rows").cast("double"), F.col("cooccurrence").cast("double")

@@ -333,7 +333,7 @@ ORACLES = {
       g AS (SELECT id, count(*) AS c, md5(string_agg(n, ' ' ORDER BY i)) AS m FROM n WHERE n <> '' GROUP BY id)
       SELECT d.id, coalesce(c, 0) AS n_tokens, coalesce(m, md5('')) AS tokens FROM d LEFT JOIN g ON g.id = d.id""",
     "morphology_gold": r"""WITH n AS (SELECT p_partkey AS id, list_transform(list_filter(string_split(p_name, ' '), lambda x: length(x) <> 2), lambda x: CASE WHEN x LIKE '%en' THEN x || '다' ELSE x END) AS n FROM part)
-      SELECT id, array_to_string(list_concat(n, ['[credit]en다', '(ABC)', '12']), ' ') AS norm FROM n""",
+      SELECT id, array_to_string(list_concat(n, ['[credit]en다', 'ABC', '12']), ' ') AS norm FROM n""",
     "matched_pairs": "SELECT p_partkey AS id, p_name AS prediction, p_type AS reference FROM part",
     "record_references": f"""WITH rec AS ({B.records_sql('rule')} UNION ALL {B.records_sql('flavor')})
       SELECT card_id, CASE route WHEN 'rule' THEN 'text' ELSE 'flavor' END AS field, route, CASE WHEN card_id % 7 = 0 THEN '' WHEN route = 'rule' THEN p_type || ' x' WHEN card_id % 2 = 0 THEN p_brand ELSE '' END AS ref_ko FROM rec JOIN part ON p_partkey = card_id""",
