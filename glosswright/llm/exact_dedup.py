@@ -38,7 +38,8 @@ def exact_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     rows = df.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
     rows = rows.withColumn("digest", digest(F.col("norm")))
     members = cut(rows.select("doc_id", "digest"))
-    local = rows.groupBy("digest", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # one salt a task: a task sends one row for all its copies of a text, and a text meets in `salts` tasks
+    local = rows.groupBy("digest", F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"), "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     texts = local.repartition("digest").groupBy("digest", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     by_digest = texts.groupBy("digest").agg(F.count("*").alias("n_texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     classes = cut(by_digest)

@@ -128,9 +128,123 @@ SENTENCES: list[tuple[str, str, str, float]] = [
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "express or implied", 0.95),
     ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies", "verbatim", 0.8),
     ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "verbatim", 0.9),
+    ("mit", "subject to the following conditions the above copyright notice and this permission notice", "permission notice", 0.95),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "express or implied", 0.85),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", "copyright holders", 0.85),
+    ("mit-style", "permission to use copy modify and distribute this software and its documentation for any purpose", "permission to use", 0.85),
+    ("mit-feh", "the above copyright notice and this permission notice shall be included in all copies of the software and its documentation and acknowledgment shall be given", "permission notice", 0.95),
+    ("x11", "except as contained in this notice the name of .{1,60}? shall not be used in advertising", "advertising", 0.95),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted", "permission to use", 0.95),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software", "disclaims all warranties", 0.9),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", "permission to use", 0.97),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source", 0.95),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "redistributions in binary", 0.95),
+    ("bsd", "this software is provided by the copyright holders and contributors as is", "copyright holders", 0.9),
+    ("bsd", "this software is provided by the regents and contributors as is (?:.{0,200} )?copyright", "regents", 0.9),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse", "endorse", 0.97),
+    ("bsd-3-clause-clear", "no express or implied licenses to any party s patent rights are granted by this license", "patent rights", 0.97),
+    ("bsd-4-clause", "this product includes software developed by .{1,80}? (?:and its contributors )?redistribut", "product includes software", 0.8),
+    ("bsd-2-clause-patent", "each copyright holder and contributor hereby grants to those receiving rights under this license a perpetual", "copyright holder", 0.97),
+    ("apache-1.1", "this product includes software developed by the apache software foundation", "apache software", 0.97),
+    ("apache-1.1", "products derived from this software may not be called apache", "be called apache", 0.97),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "required by applicable law", 0.95),
+    ("apache-2.0", "see the license for the specific language governing permissions and limitations under the license", "language governing", 0.95),
+    ("apache-2.0", "licensed to the apache software foundation asf under one or more contributor license agreements", "apache software", 0.97),
+    ("apache-2.0", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", "hereby grants", 0.95),
+    ("apache-2.0-llvm", "apache license v2 0 with llvm exceptions", "llvm exceptions", 0.98),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", "general public", 0.95),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty (?:.{0,120} )?gnu general public license", "general public", 0.9),
+    ("gpl", "the licenses for most software are designed to take away your freedom to share and change it", "freedom to share", 0.97),
+    ("gpl-2.0", "version 2 of the license only", "of the license", 0.9),
+    ("gpl-2.0", "published by the free software foundation version 2", "free software", 0.9),
+    ("gpl-3.0", "published by the free software foundation version 3", "free software", 0.9),
+    ("gpl-3.0", "the gnu general public license is a free copyleft license for software and other kinds of works", "copyleft", 0.97),
+    ("gpl-classpath", "linking this library statically or dynamically with other modules is making a combined work (?:.{0,200} )?license", "combined work", 0.9),
+    ("gpl-linking-exception", "as a special exception the copyright holders of this library give you permission to link this library", "special exception", 0.95),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser general", 0.97),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", "lesser general", 0.95),
+    ("lgpl-2.0", "you should have received a copy of the gnu library general public license along with this library", "library general", 0.95),
+    ("lgpl-3.0", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3", "lesser general", 0.97),
+    ("agpl-3.0", "the gnu affero general public license is a free copyleft license for software and other kinds of works", "affero", 0.97),
+    ("agpl-3.0", "you should have received a copy of the gnu affero general public license along with this program", "affero", 0.95),
+    ("agpl-3.0", "if you modify the program your modified version must prominently offer all users interacting with it remotely (?:.{0,200} )?license", "interacting with it remotely", 0.9),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "free documentation", 0.97),
+    ("gfdl", "with no invariant sections no front cover texts and no back cover texts a copy of the license", "invariant sections", 0.95),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", "mozilla public", 0.98),
+    ("mpl-1.1", "software distributed under the license is distributed on an as is basis without warranty of any kind", "as is basis", 0.6),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at (?:.{0,20} )?mozilla org", "copy of the mpl", 0.98),
+    ("epl-1.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", "accompanying materials", 0.98),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v ?)?2 0", "accompanying materials", 0.98),
+    ("epl", "the accompanying program is provided under the terms of this eclipse public license", "accompanying program", 0.97),
+    ("edl-1.0", "eclipse distribution license v(?:ersion)? ?1 0", "eclipse distribution", 0.97),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", "common development", 0.98),
+    ("cddl-1.0", "you can obtain a copy of the license at usr src opensolaris license", "opensolaris", 0.95),
+    ("cpl-1.0", "the accompanying program is provided under the terms of this common public license", "common public", 0.97),
+    ("eupl", "this work is licensed under the eupl|licensed under the eupl", "eupl", 0.95),
+    ("osl-3.0", "licensed under the open software license version 3 0", "open software", 0.98),
+    ("afl-3.0", "licensed under the academic free license version 3 0", "academic free", 0.98),
+    ("artistic-1.0", "the intent of this document is to state the conditions under which a package may be copied (?:.{0,200} )?copyright", "package may be copied", 0.95),
+    ("artistic", "you may redistribute it and or modify it under the same terms as perl itself", "same terms as perl", 0.9),
+    ("artistic-2.0", "this license establishes the terms under which a given free software package may be copied modified distributed", "free software package", 0.97),
+    ("boost-1.0", "distributed under the boost software license version 1 0", "boost software", 0.98),
+    ("boost-1.0", "see accompanying file license 1 0 txt or copy at (?:.{0,10} )?(?:www )?boost org license", "boost org", 0.95),
+    ("cecill", "ce logiciel est r.{1,3}gi par la licence cecill", "licence cecill", 0.97),
+    ("cecill", "this software is governed by the cecill(?: [abc])? license", "cecill", 0.97),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", "font software", 0.98),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications", "commercial applications", 0.97),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software (?:.{0,120} )?redistribut", "plainly marked", 0.9),
+    ("libpng", "the png reference library is supplied as is (?:.{0,80} )?copyright", "png reference", 0.9),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free", 0.9),
+    ("unlicense", "for more information please refer to (?:http|https) unlicense org", "unlicense", 0.97),
+    ("wtfpl-2", "you just do what the fuck you want to (?:.{0,60} )?public license", "public license", 0.97),
+    ("ncsa", "permission is hereby granted free of charge (?:.{0,160} )?to deal with the software without restriction", "deal with the software", 0.95),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", "openssl toolkit", 0.97),
+    ("openssl", "redistributions of any form whatsoever must retain the following acknowledgment", "redistributions of any form", 0.9),
+    ("php-3.01", "this product includes php software freely available from (?:.{0,20} )?php net (?:.{0,80} )?license", "php software", 0.95),
+    ("php-3.01", "this source file is subject to version 3 01 of the php license", "php license", 0.98),
+    ("python-2.0", "python software foundation license version 2|psf license agreement for python", "license", 0.97),
+    ("ruby", "you can redistribute it and or modify it under either the terms of the 2 clause bsdl", "2 clause bsdl", 0.97),
+    ("vim", "vim is charityware (?:.{0,120} )?(?:copyright|license|permission)", "charityware", 0.95),
+    ("postgresql", "permission to use copy modify and distribute this software (?:.{0,60} )?without fee and without a written agreement", "written agreement", 0.95),
+    ("ecl-2.0", "licensed under the educational community license version 2 0", "educational community", 0.98),
+    ("upl-1.0", "the universal permissive license upl version 1 0", "universal permissive", 0.98),
+    ("blueoak-1.0.0", "this license gives everyone as much permission to work with this software as possible", "gives everyone", 0.97),
+    ("mulanpsl-2.0", "licensed under mulan psl v2", "mulan psl", 0.98),
+    ("busl-1.1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "non production use", 0.97),
+    ("busl-1.1", "change date (?:.{0,60} )?change license", "change license", 0.7),
+    ("sspl-1.0", "if you make the functionality of the program or a modified version available to third parties as a service (?:.{0,200} )?license", "as a service", 0.9),
+    ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service (?:.{0,120} )?(?:license|copyright)", "managed service", 0.9),
+    ("commons-clause", "without limiting other conditions in the license the grant of rights under the license will not include (?:.{0,60} )?right to sell", "right to sell", 0.97),
+    ("openrail", "use based restrictions (?:.{0,120} )?license|responsible ai license", "license", 0.8),
+    ("llama", "meta llama [0-9](?: [0-9])? is licensed under the meta llama", "meta llama", 0.97),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain", "public domain", 0.97),
+    ("cc0-1.0", "to the extent possible under law .{1,80}? (?:has|have) waived all copyright", "waived all copyright", 0.97),
+    ("cc-by", "you are free to share and adapt (?:.{0,80} )?attribution (?:.{0,80} )?license", "attribution", 0.7),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license", "same license", 0.95),
+    ("cc-by-nc", "you may not use the material for commercial purposes (?:.{0,80} )?license", "commercial purposes", 0.8),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material (?:.{0,80} )?license", "modified material", 0.9),
+    ("public-domain", "no copyright is claimed|no copyright reserved|not subject to copyright protection", "copyright", 0.85),
+    ("public-domain", "united states government work (?:.{0,120} )?public domain|public domain in the united states", "public domain", 0.85),
+    ("us-government", "this software was developed by employees of .{1,80}? pursuant to title 17 (?:.{0,200} )?copyright", "title 17", 0.85),
+    ("odbl-1.0", "this database is made available under the open database license", "open database", 0.98),
+    ("odc-by-1.0", "made available under the open data commons attribution license", "open data commons", 0.98),
+    ("pddl-1.0", "made available under the public domain dedication and license", "dedication and license", 0.98),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer (?:.{0,40} )?license|beer ?ware license", "license", 0.95),
+    ("json", "the software shall be used for good not evil", "for good", 0.95),
+    ("json", "json license", "json license", 0.9),
+    ("curl", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", "permission to use", 0.9),
+    ("ijg", "this software is based in part on the work of the independent jpeg group (?:.{0,40} )?(?:copyright|license|permission)", "independent jpeg", 0.9),
+    ("freetype", "portions of this software are copyright (?:.{0,30} )?the freetype project", "freetype", 0.97),
+    ("intel-acpi", "intel grants to any recipient (?:.{0,80} )?under intel s copyrights", "intel s copyrights", 0.9),
+    ("proprietary", "this software is the confidential and proprietary information of", "proprietary information", 0.9),
+    ("proprietary", "no part of this (?:publication|document|work|book) may be reproduced (?:.{0,120} )?permission", "may be reproduced", 0.7),
+    ("proprietary", "you may not copy modify distribute or create derivative works (?:.{0,120} )?(?:permission|license)", "derivative works", 0.6),
+    ("proprietary", "end user license agreement", "license agreement", 0.6),
+    ("proprietary", "licensed not sold", "not sold", 0.6),
+    ("copyright-notice", "copyright (?:c )?(?:by )?[a-z][a-z0-9 ]{1,60}? [12][0-9]{3}", "copyright", 0.25),
     ("proprietary", "all rights reserved", "all rights reserved", 0.4),
     ("proprietary", "(?:confidential and proprietary|proprietary and confidential)", "proprietary", 0.8),
-    ("proprietary", "unauthorized (?:copying|use|distribution|reproduction) .{0,40}?is strictly prohibited", "strictly prohibited", 0.8),
+    ("proprietary", "unauthorized (?:copying|use|distribution|reproduction) (?:.{0,40} )?is strictly prohibited", "strictly prohibited", 0.8),
     ("copyright-notice", "copyright (?:c )?[12][0-9]{3}", "copyright", 0.3),
 ]
 
@@ -141,7 +255,7 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GATE = r"(?i)(?<![0-9A-Za-z\x80-\x{10FFFF}])(?:" + "|".join((
     "licen[sc]", "spdx", "unlicense", "creative ?commons", f"cc{SEPARATOR}+(?:by|attribution)", "cc0", f"public{SEPARATOR}+domain", "permission", "redistribut", "copyright",
     f"rights{SEPARATOR}+reserved", "proprietary", "prohibited", "verbatim", "advertising", "endorse", f"express{SEPARATOR}+or", f"free{SEPARATOR}+software",
-    "mozilla", "apache", "unencumbered", f"creative{SEPARATOR}+commons", f"(?:released|distributed|published|available|provided|covered){SEPARATOR}+under",
+    "mozilla", "apache", "unencumbered", "disclaims", "openssl", f"anyone{SEPARATOR}+is{SEPARATOR}+free", f"for{SEPARATOR}+good", f"creative{SEPARATOR}+commons", f"(?:released|distributed|published|available|provided|covered){SEPARATOR}+under",
 )) + ")"
 
 

@@ -1,7 +1,7 @@
 """Personal data by weak supervision: regex, gazetteer and context labelers vote on candidate spans.
 
-1. Candidates: the base patterns (always kept) and looser kinds that need support (secrets, IBANs, social security
-   numbers). Every document is one row and its candidates are one small array; nothing is shuffled.
+1. Candidates: the base patterns (always kept) and looser kinds that need support (secrets named by a word, keys that name
+   their service, IBANs, social security numbers). Every document is one row and its candidates are one small array; nothing is shuffled.
 2. Votes: five labelers say 1, 0 or -1 to each candidate. How often each combination of kind, votes and shape features
    occurs over all documents is one aggregation; its size is bounded by the number of combinations
    (kinds x 3^labelers x feature values), not by the data.
@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 from .common import cut, documents, sha256_text, text_of
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret", "iban", "ssn")
+KINDS = (*BASE, "secret", "key", "iban", "ssn")
+
+#: How keys that name their service begin (fixed values).
+KEY_GATE = r"AKIA[0-9A-Z]|gh[pousr]_|xox[abprs]-|sk-[A-Za-z0-9]|AIza|eyJ|-----BEGIN "
 
 #: kind -> (cheap gate, pattern). The base patterns match what the plain ones do: possessive quantifiers where greedy
 #: ones could never give back, and starts inside a run that has already failed are skipped.
@@ -37,7 +40,8 @@ PATTERNS: dict[str, tuple[str, str]] = {
     "ip": (r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": ("[0-9]", r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
-    "secret": ("(?:password|passwd|secret|token|api_?key)[\"']?\\s*[=:]", "(?:password|passwd|secret|token|api_?key)[\"']?\\s*+[=:]\\s*+[\"']?[A-Za-z0-9+/_-]{12,}+"),
+    "secret": ("(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\\s*[=:]", "(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\\s*+[=:]\\s*+[\"']?[A-Za-z0-9+/_!@#$%^&*.-]{8,}+"),
+    "key": (KEY_GATE, r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)|-----BEGIN (?:(?!PRIVATE)[A-Z]+ ){0,3}+PRIVATE KEY-----"),
     "iban": ("[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"),
     "ssn": ("[0-9]-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
@@ -49,6 +53,7 @@ CUES = {
     "card": "card|visa|master|amex|credit|debit|payment|pay|number|no",
     "phone": "phone|tel|call|mobile|cell|fax|contact|sms|whatsapp",
     "secret": "password|passwd|secret|token|key|auth|credential|login",
+    "key": "key|token|secret|credential|auth|bearer|private|aws|github|slack",
     "iban": "iban|account|bank|transfer",
     "ssn": "ssn|social|security|tax",
 }
@@ -61,6 +66,7 @@ GAZETTEER = {
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
     "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
     "secret": r"[0-9]",
+    "key": r"^(?:AKIA|gh[pousr]_|xox|sk-|AIza|eyJ|-----)",
     "iban": r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
 }
@@ -111,7 +117,7 @@ def _candidates(text: Column, kind: str) -> Column:
     def judged(x: Column) -> Column:
         m, before, after = x["m"], x["before"], x["after"]
         yes, vote = lambda c: F.when(c, "1").otherwise("0"), lambda c: F.when(c, "1").otherwise("-")
-        strict = {"email": r"^[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9]", "secret": r"[A-Za-z0-9+/_-]{16,}$", "phone": r"^\+[0-9]{1,3}[\x20(.-]"}.get(kind, ".")
+        strict = {"email": r"^[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9]", "secret": r"[A-Za-z0-9+/_-]{16,}$", "key": r"[0-9]|^-----", "phone": r"^\+[0-9]{1,3}[\x20(.-]"}.get(kind, ".")
         votes = F.concat(
             vote(m.rlike(strict)), vote(m.rlike(GAZETTEER[kind])), yes(before.rlike(rf"(?i)(?<![a-z])(?:{CUES[kind]})(?![a-z])")),
             F.when(before.rlike(rf"(?i)(?<![a-z])(?:{AGAINST})[^a-z]*$"), "-").otherwise("0"),
@@ -129,7 +135,7 @@ def candidates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     """One row per input row: doc_id and its candidate spans. Texts without a digit or @ or a secret's = are passed by."""
     d = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t"))
     every = F.concat(*[_candidates(F.col("_t"), k) for k in KINDS])
-    return d.select("doc_id", F.when(F.col("_t").rlike("[0-9@]|[=:]"), every).otherwise(F.array().cast(CANDIDATE)).alias("found"))
+    return d.select("doc_id", F.when(F.col("_t").rlike(f"[0-9@]|[=:]|{KEY_GATE}"), every).otherwise(F.array().cast(CANDIDATE)).alias("found"))
 
 
 def fit(counts: dict[tuple[str, str, str], int], rounds: int = 40) -> dict[str, dict]:
@@ -190,5 +196,5 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
     of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
-    n = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    n = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS] + [F.size("spans").cast("long").alias("n_spans")]
     return find_pii(documents(spark, sf_dir)).select("doc_id", *n, sha256_text(joined(base)).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -14,9 +14,12 @@ Neighbouring 20-word windows with one anchor form a run, and the words they cove
 4. Repeated contexts and windows return to the buckets with the place of their first occurrence; the buckets remove
    the words of all others.
 
-A bucket's documents are shuffled once and that shuffle serves all three reads. No group is ever gathered: a passage
-that a third of all documents share is one row per bucket. A window's identity is its 64-bit hash together with that
-of its anchor.
+A bucket's documents are shuffled once and that shuffle serves all three reads. A passage that a third of all documents
+share is one row per bucket. Anchor rows meet by the 5-word hash alone, in sorts that spill: 5 words that stand in very
+many different contexts bring one row per context and bucket to one task. A window's identity is its 64-bit hash
+together with that of its anchor.
+
+Ids that are no integers (or reach the smallest one) are numbered in their own order first.
 
 Cases: null, empty and short texts (fewer than 20 words) lose nothing; very long texts are whole; rows with the same
 id are the same document to the rule "earlier", so neither of two equal rows makes the other a repeat; a null id comes
@@ -31,8 +34,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import documents, sha256_text
+from .common import cut, documents, sha256_text
 
 L5, L10, L20 = 5, 10, 20
 WIDE = L20 - L5  # an anchor starts 0 to 15 words after its window
@@ -267,8 +271,17 @@ def substring_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """One row per input row: doc_id, n_words, n_removed and kept_text (the kept words, single spaces)."""
     import pyarrow as pa
 
-    d = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = d.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
+    d = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    whole = isinstance(d.schema["doc_id"].dataType, IntegralType)
+    found = d.agg(F.sum(F.octet_length("text")).alias("s"), F.min("doc_id").alias("low")).first()
+    size = found["s"] or 0
+    if not whole or found["low"] == NO_ID:
+        # range-sorted parts are numbered part by part, so the numbers keep the order of the ids
+        ids = cut(d.select("doc_id").filter("doc_id is not null").distinct().orderBy("doc_id").select(F.col("doc_id").alias("_id"), F.monotonically_increasing_id().alias("_n")))
+        numbered = d.join(ids, F.col("doc_id") == F.col("_id"), "left").select(F.col("_n").alias("doc_id"), "text")
+        out = substring_dedup(numbered, bucket_bytes=bucket_bytes)
+        return out.join(ids, F.col("doc_id") == F.col("_n"), "left").select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_text")
+    d = d.withColumn("doc_id", F.col("doc_id").cast("long"))
     buckets = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // bucket_bytes))
     d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
     docs = d.groupBy("bucket")
