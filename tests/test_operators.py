@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -172,10 +173,89 @@ def test_synthesis(spark):
     assert one(evaluation.delivered(evaluation.synthesis(cards, records)))["delivered"] == 1
 
 
-def test_length_mismatch_raises(spark):
-    a = spark.createDataFrame([(1, "x")], "id int, p string")
-    with pytest.raises(ValueError):
-        evaluation.checked_pairs(a, a.unionByName(a).withColumnRenamed("p", "r"))
+def test_pairs_without_counterpart_raise(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id int, p string")
+    b = spark.createDataFrame([(1, "r"), (3, "s")], "id int, r string")
+    with pytest.raises(Exception, match="without its reference"):
+        evaluation.checked_pairs(a, b).collect()
+    assert [tuple(r) for r in evaluation.checked_pairs(a.limit(1), b.limit(1)).collect()] == [(1, "r", "x")]
+
+
+def test_verdict_without_ceilings_or_echo(spark):
+    rows = [("real", None, None, True, None, True), ("real", None, None, True, True, False), ("real", "PASS", None, True, None, False), ("real", "PASS", "FAIL", True, True, True), ("real", "PASS", "PASS", True, False, True), ("real", "PASS", "PASS", None, True, True)]
+    runs = spark.createDataFrame(rows, "run_mode string, gate1_verdict string, gate2_verdict string, gate3_passed boolean, echo_passed boolean, overall_passed boolean")
+    assert [r["final"] for r in evaluation.final_verdict(runs).collect()] == [True, False, True, False, False, False]
+
+
+def test_counted_pairs_in_any_square(spark):
+    rng = random.Random(5)
+    rows = [(sorted({rng.randrange(-30, 30) for _ in range(rng.randrange(1, 20))}), sorted({rng.randrange(-30, 30) for _ in range(rng.randrange(1, 20))})) for _ in range(40)]
+    want = Counter((e, k) for es, ks in rows for e in es for k in ks)
+    df = spark.createDataFrame(rows, "es array<long>, ks array<long>")
+    for size in (10, 300, 10**6):
+        got = terms.counted_pairs(df, 3, pairs_a_task=size).collect()
+        assert {(r["e"], r["k"]): r["cooccurrence"] for r in got} == {p: n for p, n in want.items() if n >= 3} and len(got) == len({(r["e"], r["k"]) for r in got})
+    assert terms.counted_pairs(df.limit(0), 1).count() == 0
+
+
+def test_conflicts_keep_their_rows(spark):
+    p = spark.createDataFrame([("a", "가", ["1", "2"]), ("a", "다", []), ("b", "나", ["3"])], "en_term string, ko_term string, card_ids array<string>")
+    got = {r["en_term"]: (r["ko_variants"], r["source_card_ids"]) for r in terms.conflicts(p, "s").collect()}
+    assert got == {"a": (["가", "다"], {"가": ["1", "2"]}), "b": (["나"], {"나": ["3"]})}
+    assert [r["en_term"] for r in terms.all_conflicts(terms.conflicts(p, "s"), terms.conflicts(p, "t")).collect()] == ["a", "a"]
+
+
+def test_pattern_parts(spark, monkeypatch):
+    p = spark.createDataFrame([(i, f"Gain {i}.", f"{i} 얻는다.") for i in range(200)], PAIR).repartition(5)
+    monkeypatch.setattr(patterns, "SALTS", 3)
+    monkeypatch.setattr(patterns, "ROWS", 2)
+    r = one(patterns.extract(p))
+    assert (r["count"], r["examples"]) == (200, [0, 1, 2])
+
+
+def test_morphology(spark):
+    from glosswright.operators import morphology
+
+    def tag(word):
+        table = {"설치할": [("설치", "NNG"), ("하", "XSV")], "레즈할": [("레즈", "NNP"), ("하", "VV")], "뽑는다": [("뽑", "VV-R"), ("는다", "EF")], "당신의": [("당신", "NP"), ("의", "JKG")]}
+        return table.get(word) or [(w, "SL") for w in word.replace("을", " ").split()]
+
+    plain = {"설치할": "설치", "레즈할": "레즈", "뽑는다": "뽑다", "당신의": "", "2[credit]을": "2[credit]", "[a](B)": "[a](B)", "[x]s": "[x]s"}
+    assert {w: morphology.normalise_word(w, tag) for w in plain} == plain
+    assert [morphology._name(i)[3:] for i in (0, 25, 26, 27, 701, 702)] == ["a", "z", "aa", "ab", "zz", "aaa"]
+    df = spark.createDataFrame([(1, "당신의 설치할, 뽑는다."), (2, None), (3, "")], "id int, t string")
+    assert {r["id"]: r["norm_tokens"] for r in morphology.normalised(df, "t", tag).collect()} == {1: ["설치", "뽑다"], 2: [], 3: []}
+
+
+def test_judgments_survive_a_failure(spark, tmp_path):
+    c = spark.createDataFrame([(f"t{i}", "k") for i in range(20)], "en_term string, ko_term string")
+    path = str(tmp_path / "judged")
+    good = lambda part: [(e, k, True, "r") for e, k in part if e != "t3"]
+    first = judging.judge_and_keep(c.filter("en_term < 't15'"), good, "fp", path, rounds=3)
+    n = first.count()
+    asked = spark.sparkContext.accumulator(0)
+
+    def counting(part):
+        asked.add(len(part))
+        return good(part)
+
+    again = judging.judge_and_keep(c, counting, "fp", path)
+    assert n == 7 and again.count() == 19 and asked.value == 20 - n and again.select("en_term").distinct().count() == 19
+    assert judging.judge_and_keep(c, good, "other", path).count() == 19
+
+
+def test_hybrid_search_ranks(spark):
+    docs = spark.createDataFrame([(i,) for i in range(8)], "doc_id int")
+    q = spark.createDataFrame([(1,)], "query_id int")
+    a = spark.createDataFrame([(1, 5, 0.9), (1, 2, 0.4)], "query_id int, doc_id int, score double")
+    b = spark.createDataFrame([(1, 0, -0.5), (1, 5, 0.1), (1, 7, -0.1)], a.schema)
+    got = {r["doc_id"]: (r["rank"], r["a_rank"], r["b_rank"]) for r in retrieval.search(docs, q, {"a": a, "b": b}, 20).collect()}
+    order_a, order_b = [5, 2, 0, 1, 3, 4, 6, 7], [5, 1, 2, 3, 4, 6, 7, 0]
+    assert {d: x[1:] for d, x in got.items()} == {d: (order_a.index(d), order_b.index(d)) for d in range(8)}
+    fused = sorted(range(8), key=lambda d: (-sum(1 / (61 + o.index(d)) for o in (order_a, order_b)), order_a.index(d)))
+    assert [d for d, x in sorted(got.items(), key=lambda x: x[1][0])] == fused
+    with pytest.raises(RuntimeError):
+        retrieval.search(docs, q, {}, 5)
 
 
 def test_echo_and_observations(spark):
