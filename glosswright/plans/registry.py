@@ -197,7 +197,7 @@ def dense_topk(spark, sf_dir):
 @query
 def rrf_topk(spark, sf_dir):
     docs, q = table(spark, sf_dir, "documents"), B.questions(spark, sf_dir)
-    lists = [retrieval.full_ranking(s, docs, q) for s in (_bm25(spark, sf_dir), _char(spark, sf_dir))]
+    lists = [retrieval.full_ranking(retrieval.kept(s), docs, q) for s in (_bm25(spark, sf_dir), _char(spark, sf_dir))]
     return retrieval.fuse(lists, 5)
 
 
