@@ -8,16 +8,18 @@ Neighbouring 20-word windows with one anchor form a run, and the words they cove
    however often it occurs there: copies are combined before they are shuffled.
 2. Anchor rows meet by the 5-word hash. Unrepeated ones end here. In the others, equal contexts are repeats of all
    windows of the run, but for the first occurrence. Contexts that differ but share 10 words to the right or left of
-   the anchor may share some 20-word windows: their first occurrences go on.
+   the anchor may share some 20-word windows: their first occurrences go on. Anchors that stand in very many contexts
+   are counted beforehand (`heavy_keys`); their rows meet by the 10 words on each side instead, and by the context
+   where those 10 words are as frequent: such a context goes on unasked, since others certainly share its 10 words.
 3. Only for those, buckets send the 20-word windows themselves, again each distinct one once; equal ones are repeats
    of the first.
 4. Repeated contexts and windows return to the buckets with the place of their first occurrence; the buckets remove
    the words of all others.
 
 A bucket's documents are shuffled once and that shuffle serves all three reads. A passage that a third of all documents
-share is one row per bucket. Anchor rows meet by the 5-word hash alone, in sorts that spill: 5 words that stand in very
-many different contexts bring one row per context and bucket to one task. A window's identity is its 64-bit hash
-together with that of its anchor.
+share is one row per bucket, in sorts that spill. What meets in one task is thus at most a thousandth of all anchor
+rows, or a row per bucket; which anchors are heavy only decides where rows meet, never the result. A window's identity
+is its 64-bit hash together with that of its anchor.
 
 Ids that are no integers (or reach the smallest one) are numbered in their own order first.
 
@@ -31,7 +33,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -44,6 +46,10 @@ B = 0x9E3779B97F4A7C15  # odd: the base of the rolling hash
 U = np.uint64
 NO_ID = -(1 << 63)
 STEP_WORDS = 200_000
+#: A key with a share of 1/1000 of all anchor rows has 1/4000 of some batch's; what batches with less leave out is under 1/4000.
+SHARE, LOCAL_SHARE = 1000, 4000
+RIGHT, LEFT = 1 << 32, 2 << 32  # mark the 32 bits of a side
+ON_BOTH, ON_RIGHT, ON_LEFT = 0, 1, 2
 
 
 def _power(n: int) -> np.uint64:
@@ -185,11 +191,39 @@ def send_anchors(table):
     return _table(_kinds(*ANCHOR), [_signed(h5[at].astype(U)), _signed(h10[at].astype(U)), _signed(ctx[at].astype(U)), doc[at], pos[at], np.minimum(n, 1 << 30), np.full(len(at), bucket)])
 
 
+def count_heavy(batches):
+    """How often each step's frequent keys (h5 alone, half 0; h5 and a side's 10 words) head a distinct context; half -1: all contexts."""
+    for batch in batches:
+        for _, _, win in _batches(batch):
+            if not len(win.a):
+                continue
+            h5, h10, ctx = win.keys()
+            at, _ = _firsts([ctx, h5], np.zeros(len(h5), np.int64), win.p)
+            h5, h10 = h5[at], h10[at]
+            least = max(2, -(-len(at) // LOCAL_SHARE))
+            rows = [(0, -1, len(at))]
+            for half in (np.zeros(len(at), U), (h10 >> U(32)) | U(RIGHT), (h10 & U(0xFFFFFFFF)) | U(LEFT)):
+                first, n = _firsts([half, h5], np.zeros(len(at), np.int64), np.arange(len(at)))
+                often = n >= least
+                rows += zip(_signed(h5[first[often]]).tolist(), _signed(half[first[often]]).tolist(), n[often].tolist(), strict=True)
+            yield from _table(_kinds("h5", "half", "n"), list(zip(*rows, strict=True))).to_batches()
+
+
+def heavy_keys(d: DataFrame) -> DataFrame:
+    """h5 and half of every key with at least 1/SHARE of all contexts; at most LOCAL_SHARE keys, whatever the input."""
+    counts = cut(d.mapInArrow(count_heavy, "h5 long, half long, n long").groupBy("h5", "half").agg(F.sum("n").alias("n")))
+    total = counts.filter("half = -1").agg(F.sum("n")).first()[0] or 0
+    # a share of 1/SHARE less the part that batches leave out
+    least = total / SHARE - total / LOCAL_SHARE
+    return counts.filter((F.col("half") >= 0) & (F.col("n") >= F.lit(least))).select("h5", "half")
+
+
 def send_windows(docs, checks):
     """20-word windows of the runs in checks (doc, pos, right, left), each distinct one once."""
     want = {}
     for d, p, r, left in zip(*(checks.column(c).to_pylist() for c in ("doc", "pos", "right", "left")), strict=True):
-        want[d, p] = (r, left)
+        old = want.get((d, p), (0, 0))
+        want[d, p] = (r or old[0], left or old[1])
     rows: list[list[np.ndarray]] = [[] for _ in range(4)]
     if want and docs.num_rows:
         for ids, _, win in _batches(docs, {d for d, _ in want}):
@@ -267,6 +301,26 @@ def remove_marked(id_type) -> Callable:
     return removed
 
 
+def right_half() -> Column:
+    return F.shiftrightunsigned("h10", 32)
+
+
+def left_half() -> Column:
+    return F.col("h10").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def spread(anchors: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Anchor rows with side and sub: rows of equal h5, side and sub meet. A heavy anchor's rows come once for each side."""
+    heavy5 = heavy.filter("half = 0").select("h5", F.lit(True).alias("heavy5"))
+    heavy10 = heavy.filter("half > 0").select("h5", F.col("half").alias("sub"), F.lit(True).alias("heavy10"))
+    a = anchors.join(F.broadcast(heavy5), "h5", "left")
+    a = a.withColumn("side", F.explode(F.when(F.col("heavy5"), F.array(F.lit(ON_RIGHT), F.lit(ON_LEFT))).otherwise(F.array(F.lit(ON_BOTH)))))
+    half = F.when(F.col("side") == ON_RIGHT, right_half().bitwiseOR(F.lit(RIGHT))).when(F.col("side") == ON_LEFT, left_half().bitwiseOR(F.lit(LEFT)))
+    a = a.withColumn("sub", half.otherwise(F.lit(0).cast("long")))
+    a = a.join(F.broadcast(heavy10), ["h5", "sub"], "left").withColumn("heavy10", F.col("heavy10").isNotNull())
+    return a.withColumn("sub", F.when(F.col("heavy10"), F.col("ctx")).otherwise(F.col("sub"))).drop("heavy5")
+
+
 def substring_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", bucket_bytes: int = 8 << 20) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed and kept_text (the kept words, single spaces)."""
     import pyarrow as pa
@@ -288,15 +342,18 @@ def substring_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     anchors = docs.applyInArrow(send_anchors, _ddl(ANCHOR))
     over = lambda *k: W.partitionBy(*k)
-    a = anchors.repartition("h5").withColumn("n5", F.sum("n").over(over("h5"))).filter("n5 > 1")
+    key = ("h5", "sub", "side")
+    a = spread(anchors, heavy_keys(d))
+    a = a.repartition(*key).withColumn("n5", F.sum("n").over(over(*key))).filter("n5 > 1 or heavy10")
     place = F.struct("doc", "pos")
-    a = a.withColumn("first", F.min(place).over(over("h5", "ctx"))).withColumn("n_ctx", F.sum("n").over(over("h5", "ctx")))
-    a = a.withColumn("lead", F.when((F.row_number().over(over("h5", "ctx").orderBy("doc", "pos", "bucket")) == 1), 1).otherwise(0))
-    a = a.withColumn("r10", F.shiftrightunsigned("h10", 32)).withColumn("l10", F.col("h10").bitwiseAND(F.lit(0xFFFFFFFF)))
-    a = a.withColumn("right", (F.sum("lead").over(over("h5", "r10")) > 1).cast("long")).withColumn("left", (F.sum("lead").over(over("h5", "l10")) > 1).cast("long"))
+    a = a.withColumn("first", F.min(place).over(over(*key, "ctx"))).withColumn("n_ctx", F.sum("n").over(over(*key, "ctx")))
+    a = a.withColumn("lead", F.when((F.row_number().over(over(*key, "ctx").orderBy("doc", "pos", "bucket")) == 1), 1).otherwise(0))
+    a = a.withColumn("r10", right_half()).withColumn("l10", left_half())
+    shared = lambda half, other: (F.col("heavy10") | (F.sum("lead").over(over(*key, half)) > 1)) & (F.col("side") != other)
+    a = a.withColumn("right", shared("r10", ON_LEFT).cast("long")).withColumn("left", shared("l10", ON_RIGHT).cast("long"))
     stay = [F.col("first.doc").alias("doc"), F.col("first.pos").cast("long").alias("pos")]
-    # h10 is of no use here, but with it both reads of the anchor rows need the same columns, and so share one shuffle
-    runs = a.filter("n_ctx > 1 and h10 is not null").select("bucket", F.lit(0).alias("kind"), F.col("ctx").alias("key"), "h5", *stay)
+    # both reads of the anchor rows must share one shuffle: so h10, of no use here, and no filter on the key alone, which would be moved below it
+    runs = a.filter((F.when(F.col("side") != ON_LEFT, F.col("n_ctx")).otherwise(0) > 1) & F.col("h10").isNotNull()).select("bucket", F.lit(0).alias("kind"), F.col("ctx").alias("key"), "h5", *stay)
     checks = a.filter("lead = 1 and (right = 1 or left = 1)").select("bucket", "doc", F.col("pos").cast("long").alias("pos"), "right", "left")
 
     windows = docs.cogroup(checks.groupBy("bucket")).applyInArrow(send_windows, _ddl(WINDOW))

@@ -452,6 +452,47 @@ def test_substring_dedup_of_near_copies(spark):
     assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text").collect()) == plain_removed(list(enumerate(copies)))
 
 
+@pytest.mark.parametrize("share", [1000, 1])  # with 1 no key is heavy
+def test_substring_dedup_of_heavy_anchors(spark, monkeypatch, share):
+    """5 and 10 words that stand in every document between other words, and longer passages around some of them."""
+    monkeypatch.setattr(substring_dedup, "SHARE", share)
+    rng = random.Random(14)
+    other = lambda n: [f"x{rng.randrange(100000)}" for _ in range(n)]
+    five, ten = [f"f{i}" for i in range(5)], [f"t{i}" for i in range(10)]
+    before, after, wide = other(9), other(14), other(12)
+    texts = []
+    for i in range(120):
+        parts = [other(18), five, other(18), ten, other(16)]
+        parts += [[*before, *ten, *other(9)], other(7), [*other(11), *five, *after, *other(3)], [*wide, *ten, *wide[:5]]][: i % 5]
+        texts.append(" ".join(w for p in parts for w in p))
+    texts += texts[:9]
+    df = spark.createDataFrame(rows(texts), SCHEMA)
+    got = substring_dedup.substring_dedup(df, bucket_bytes=2000)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text").collect()) == plain_removed(list(enumerate(texts)))
+
+
+def test_substring_dedup_spreads_heavy_anchors(spark):
+    """One anchor with a third of all contexts: its rows meet by 10 words, and by context where those are heavy."""
+    row = lambda i: (-7 if i % 3 == 0 else i, (i % 2 * i) << 32 | i, i, i, 0, 1, 0)
+    anchors = spark.createDataFrame([row(i) for i in range(1, 3001)], "h5 long, h10 long, ctx long, doc long, pos int, n int, bucket int")
+    heavy = spark.createDataFrame([(-7, 0), (-7, substring_dedup.RIGHT)], "h5 long, half long")
+    got = substring_dedup.spread(anchors, heavy)
+    assert got.groupBy("h5", "sub", "side").count().agg({"count": "max"}).first()[0] == 1
+    assert got.count() == 4000 and got.filter("heavy10").count() == 500
+
+
+def test_heavy_keys(spark):
+    """One 5-word phrase amid other words in a tenth of the texts, of a hash small enough to be the anchor there."""
+    hash5 = lambda p: int(substring_dedup.Windows([substring_dedup.word_hashes(p.encode().split() * 5, {})]).h5[0])
+    phrase = min((f"a b c d e{i}" for i in range(500)), key=hash5)
+    rng = random.Random(15)
+    some = lambda: [f"y{rng.randrange(10**9)}" for _ in range(30)]
+    texts = [" ".join([*some(), *[phrase] * (i % 10 == 0), *some()]) for i in range(2000)]
+    got = substring_dedup.heavy_keys(spark.createDataFrame(rows(texts), SCHEMA).select("doc_id", "text"))
+    assert [tuple(r) for r in got.collect()] == [(hash5(phrase), 0)]
+    assert substring_dedup.heavy_keys(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 LANGS = {"en": "the of and to in is that it was for with as his on be at by", "de": "der die und in den von zu das mit sich des auf für ist im dem", "es": "de la que el en y a los del se las por un para con no"}
 
 
