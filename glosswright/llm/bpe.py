@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, lean
 
 CHUNK, OVERLAP = 1 << 14, 1 << 8
 #: A boundary is certain only if the pattern saw at least so many characters after it.
@@ -170,9 +170,9 @@ def encode_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
         return pa.Table.from_batches([result(c, t.column("doc_id").combine_chunks().slice(0, copies), [ids] * copies)])
 
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / chunk)).cast("int")
-    one = d.filter(F.coalesce(n, F.lit(1)) == 1).mapInArrow(encoded, schema)
-    long = d.filter(n > 1).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text").mapInArrow(dealt, f"key long, doc_id {id_type}, i int, n int, text string")
-    long = long.repartition("key", "i").mapInArrow(bounded, f"key long, doc_id {id_type}, i int, text string, ends array<int>")
+    one = d.filter(F.coalesce(n, F.lit(1)) == 1).mapInArrow(lean(encoded), schema)
+    long = d.filter(n > 1).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text").mapInArrow(lean(dealt), f"key long, doc_id {id_type}, i int, n int, text string")
+    long = long.repartition("key", "i").mapInArrow(lean(bounded), f"key long, doc_id {id_type}, i int, text string, ends array<int>")
     return one.unionByName(long.groupBy("key").applyInArrow(joined, schema))
 
 
@@ -189,7 +189,7 @@ def decode_documents(df: DataFrame, ids_col: str = "ids", id_col: str = "doc_id"
             raw = [c.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["doc_id", "decoded"])
 
-    return d.mapInArrow(read, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, decoded binary")
+    return d.mapInArrow(lean(read), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,29 @@ def stored(df: DataFrame, after: str | None = None) -> tuple[DataFrame, str]:
     return spark.read.parquet(path), path
 
 
+def release() -> None:
+    """Gives this process's unused memory back: Arrow's pool, and what glibc keeps of freed blocks."""
+    import ctypes
+    import sys
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work over a task's batches, after which its worker, which Spark keeps for later tasks, waits with little memory."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        release()
+
+    return run
+
+
 def text_of(column: str) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

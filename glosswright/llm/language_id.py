@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, documents, held_out
+from .common import cut, documents, held_out, lean
 
 DIMS = 1 << 13
 SLICE = 1 << 20
@@ -160,7 +160,7 @@ def training_counts(df: DataFrame, sample: int) -> list:
     keys = cut(rows.select("label", order.alias("o"), "doc_id", "digest").distinct())
     chosen = F.broadcast(cut(smallest(keys, sample)))  # at most `sample` rows, or FEWEST a language
     got = rows.join(chosen, ["label", "doc_id", "digest"]).groupBy("label", "doc_id", "digest").agg(F.first("text").alias("text"))
-    return got.select("label", "text").mapInArrow(counted, "label string, at binary, n binary").collect()
+    return got.select("label", "text").mapInArrow(lean(counted), "label string, at binary, n binary").collect()
 
 
 def document_frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
@@ -179,7 +179,7 @@ def document_frequencies(df: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["at", "n"])
 
     out = np.zeros(DIMS + 1, np.int64)
-    for r in df.select("text").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # DIMS + 1 rows
+    for r in df.select("text").mapInArrow(lean(counted), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # DIMS + 1 rows
         out[r["at"]] = r["n"]
     return out[:DIMS], int(out[DIMS])
 
@@ -233,7 +233,7 @@ def identify(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
     d = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = d.mapInArrow(predicted, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    out = d.mapInArrow(lean(predicted), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "lang_pred", "score", "rejected")
 
 
@@ -248,7 +248,7 @@ def keep_identified(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
         for b in batches:
             yield b.filter(pa.array(~judge(shared.value, b.column(at))[2]))
 
-    return df.mapInArrow(kept, df.schema)
+    return df.mapInArrow(lean(kept), df.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out
+from .common import documents, held_out, lean
 
 WORDS = 1 << 14
 BINS = 16
@@ -145,7 +145,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, text_col: str = "text", id_
             yield pa.RecordBatch.from_arrays(cols, ["at", "x", "label"])
 
     d = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    got = d.join(F.broadcast(picked), "doc_id").select("text", "label").mapInArrow(made, "at binary, x binary, label int").limit(4 * sample).collect()
+    got = d.join(F.broadcast(picked), "doc_id").select("text", "label").mapInArrow(lean(made), "at binary, x binary, label int").limit(4 * sample).collect()
     machine = None
     if got:
         got.sort(key=lambda r: (r["label"], bytes(r["at"]), bytes(r["x"])))
@@ -161,7 +161,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, text_col: str = "text", id_
                 s.append(m.score(texts) if m is not None else np.full(len(texts), 0.5))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(s))], ["doc_id", "score"])
 
-    out = d.mapInArrow(scored, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
+    out = d.mapInArrow(lean(scored), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

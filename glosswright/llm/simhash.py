@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import cut, documents, join_hot
+from .common import cut, documents, join_hot, lean
 from .components import components
 
 SEED = 42
@@ -65,7 +65,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
 
     d = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(hashed, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
+    return d.mapInArrow(lean(hashed), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def covering_masks(radius: int, family: int = 0) -> list[int]:
@@ -129,7 +129,7 @@ def bucket_links(buckets: DataFrame, radius: int, dense: int) -> DataFrame:
         yield packed(settle())
 
     # the 64-bit key stands for (table, kept bits): should two keys ever share it, forest still compares in full
-    return buckets.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(linked, "a long, b long, k long")
+    return buckets.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(lean(linked), "a long, b long, k long")
 
 
 def links_within(fps: DataFrame, radius: int = 3, dense: int = 2048) -> DataFrame:

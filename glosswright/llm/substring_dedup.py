@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import cut, documents, sha256_text
+from .common import cut, documents, lean, sha256_text
 
 L5, L10, L20 = 5, 10, 20
 WIDE = L20 - L5  # an anchor starts 0 to 15 words after its window
@@ -211,7 +211,7 @@ def count_heavy(batches):
 
 def heavy_keys(d: DataFrame) -> DataFrame:
     """h5 and half of every key with at least 1/SHARE of all contexts; at most LOCAL_SHARE keys, whatever the input."""
-    counts = cut(d.mapInArrow(count_heavy, "h5 long, half long, n long").groupBy("h5", "half").agg(F.sum("n").alias("n")))
+    counts = cut(d.mapInArrow(lean(count_heavy), "h5 long, half long, n long").groupBy("h5", "half").agg(F.sum("n").alias("n")))
     total = counts.filter("half = -1").agg(F.sum("n")).first()[0] or 0
     # a share of 1/SHARE less the part that batches leave out
     least = total / SHARE - total / LOCAL_SHARE
