@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as T
-from glosswright.operators import drafting, evaluation, guards, judging, morphology, retrieval, terms
+from glosswright.operators import drafting, evaluation, guards, index, judging, morphology, terms
 from glosswright.plans import bindings as B
 from glosswright.session import table, workspace
 from glosswright.sources import corpus, stores
@@ -324,9 +324,7 @@ def lookup_response(spark, sf_dir):
 @query
 def search_tm(spark, sf_dir):
     """Three signals fused, with each signal's own rank; a document's or an item's vector is the one with its id."""
-    docs = table(spark, sf_dir, "documents")
-    q = B.questions(spark, sf_dir)
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    dense = retrieval.dense_scores(v.join(docs.select("doc_id"), F.col("vec_id") == F.col("doc_id")), v.join(q, F.col("vec_id") == F.col("query_id")))
-    signals = {"bm25": retrieval.bm25(docs, q), "char": retrieval.char_tfidf(docs, q), "dense": dense}
-    return retrieval.search(docs, q, signals, 5)
+    docs, v = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = B.questions(spark, sf_dir).join(v.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
+    ix = index.open_index(spark).build(docs, vectors=v.withColumnRenamed("vec_id", "doc_id"))
+    return ix.search(q, 5).select("query_id", "doc_id", "score", "rank", "bm25_rank", "char_rank", "dense_rank")

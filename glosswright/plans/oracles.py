@@ -159,10 +159,10 @@ def _top(source: str, k: int = 5) -> str:
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM {source}) WHERE rank < {k}"""
 
 
-def _full(source: str) -> str:
+def _full(source: str, depth: int | None = 200) -> str:
     return f"""(SELECT query_id, doc_id, rank FROM (SELECT q.query_id, d.doc_id,
       row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(s.score, 0) DESC, d.doc_id) - 1 AS rank
-      FROM (SELECT item_id AS query_id FROM benchmark) q CROSS JOIN documents d LEFT JOIN {source} s ON s.query_id = q.query_id AND s.doc_id = d.doc_id) WHERE rank < 200)"""
+      FROM (SELECT item_id AS query_id FROM benchmark) q CROSS JOIN documents d LEFT JOIN {source} s ON s.query_id = q.query_id AND s.doc_id = d.doc_id){f" WHERE rank < {depth}" if depth else ""})"""
 
 
 FIELDS = f"""fc AS (SELECT p_partkey AS id, {B.FIELD_EN} AS en_text, {B.FIELD_FLAVOR} AS en_flavor FROM part),
@@ -240,6 +240,11 @@ ORACLES = {
     "rrf_topk": f"""WITH {BM25}, {CHAR}, u AS (SELECT 0 AS signal, * FROM {_full('bm')} UNION ALL SELECT 1, * FROM {_full('ch')}),
       f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS score, min((signal, rank)) AS first FROM u GROUP BY ALL)
       SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) - 1 AS rank FROM f) WHERE rank < 5""",
+    "index_appended": f"""WITH {BM25}, {CHAR}, rb AS {_full('bm', None)}, rc AS {_full('ch', None)}, u AS (SELECT 0 AS signal, * FROM rb WHERE rank < 200 UNION ALL SELECT 1, * FROM rc WHERE rank < 200),
+      f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS score, min((signal, rank)) AS first FROM u GROUP BY ALL),
+      t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) - 1 AS rank FROM f)
+      SELECT t.query_id, t.doc_id, t.rank, rb.rank AS bm25_rank, rc.rank AS char_rank, md5(coalesce(text, '')) AS text, lang
+      FROM t JOIN rb USING (query_id, doc_id) JOIN rc USING (query_id, doc_id) JOIN documents USING (doc_id) WHERE t.rank < 3""",
     "tm_threshold_p20": """WITH r AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem)
       SELECT max(v) FILTER (i = greatest(0, least(floor(20.0 / 100 * n), n - 1))) AS threshold, max(n) AS n, min(v) AS lowest, max(v) AS highest, median(v) AS median FROM r""",
     "split_holdout": "SELECT p_partkey, row_number() OVER (ORDER BY (p_partkey * 2654435761) % 1000003, p_partkey) <= 100 AS held FROM part",

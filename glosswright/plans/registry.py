@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as T
-from glosswright.operators import distance, drafting, evaluation, guards, judging, patterns, retrieval, terms
+from glosswright.operators import distance, drafting, evaluation, guards, index, judging, patterns, retrieval, terms
 from glosswright.plans import bindings as B
 from glosswright.plans.oracles import ORACLES
 from glosswright.session import table
@@ -170,22 +170,22 @@ def hitl_triggers(spark, sf_dir):
     return t.select("id", _lines("reasons").alias("reasons"), "should_interrupt", _lines("recording_terms").alias("recording_terms"))
 
 
-def _bm25(spark, sf_dir):
-    return retrieval.bm25(table(spark, sf_dir, "documents"), B.questions(spark, sf_dir))
+def _index(spark, sf_dir, *signals):
+    return index.open_index(spark, *signals).build(table(spark, sf_dir, "documents"))
 
 
-def _char(spark, sf_dir):
-    return retrieval.char_tfidf(table(spark, sf_dir, "documents"), B.questions(spark, sf_dir))
+def _first(ix, signal, q, k):
+    return retrieval.top_k(ix.top(signal, q, k), k).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
 def bm25_topk(spark, sf_dir):
-    return retrieval.top_k(_bm25(spark, sf_dir), 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _first(_index(spark, sf_dir, "bm25"), "bm25", B.questions(spark, sf_dir), 5)
 
 
 @query
 def char_tfidf_topk(spark, sf_dir):
-    return retrieval.top_k(_char(spark, sf_dir), 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _first(_index(spark, sf_dir, "char"), "char", B.questions(spark, sf_dir), 5)
 
 
 @query
@@ -196,11 +196,20 @@ def dense_topk(spark, sf_dir):
 
 @query
 def rrf_topk(spark, sf_dir):
-    docs, q = table(spark, sf_dir, "documents"), B.questions(spark, sf_dir)
-    lists = [retrieval.full_ranking(retrieval.kept(s), docs, q) for s in (_bm25(spark, sf_dir), _char(spark, sf_dir))]
+    ix, q = _index(spark, sf_dir), B.questions(spark, sf_dir)
+    lists = [retrieval.full_ranking(ix.top(signal, q, retrieval.RRF_DEPTH), ix.documents(), q) for signal in ix.signals]
     return retrieval.fuse(lists, 5)
 
 
+@query
+def index_appended(spark, sf_dir):
+    """An index built of half of the documents and appended the rest: hits with their texts, as if built at once."""
+    docs, q = table(spark, sf_dir, "documents"), B.questions(spark, sf_dir)
+    odd = F.coalesce(F.pmod("doc_id", F.lit(2)) == 1, F.lit(False))
+    ix = index.open_index(spark).build(docs.filter(~odd)).append(docs.filter(odd))
+    return ix.search(q, 3).select("query_id", "doc_id", "rank", "bm25_rank", "char_rank", F.md5(F.coalesce("row.text", F.lit(""))).alias("text"), "row.lang")
+
+
 @query
 def tm_threshold_p20(spark, sf_dir):
     return evaluation.percentile_cut(table(spark, sf_dir, "lineitem"), "l_extendedprice", 20.0)

@@ -58,7 +58,7 @@ def code_to_card(prints: DataFrame) -> DataFrame:
 
 def bilingual_keywords(en: DataFrame, ko: DataFrame, codes: DataFrame) -> DataFrame:
     """(card_id, en_keywords, ko_keywords): of each card's codes with keywords in both languages the lowest."""
-    words = lambda c: F.transform(F.split(c, " - "), lambda w: F.regexp_replace(w, r"^\s+|\s+$", ""))
+    words = lambda c: F.transform(F.split(c, " - "), lambda w: T.squeeze_ends(w))
     j = en.select("code", words(F.col("keywords")).alias("en_keywords")).join(ko.select("code", words(F.col("keywords")).alias("ko_keywords")), "code").join(codes, "code")
     first = W.partitionBy("card_id").orderBy("code")
     return j.withColumn("n", F.row_number().over(first)).filter("n = 1").select("card_id", "en_keywords", "ko_keywords")
