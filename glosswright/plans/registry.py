@@ -197,8 +197,7 @@ def dense_topk(spark, sf_dir):
 @query
 def rrf_topk(spark, sf_dir):
     ix, q = _index(spark, sf_dir), B.questions(spark, sf_dir)
-    lists = [retrieval.full_ranking(ix.top(signal, q, retrieval.RRF_DEPTH), ix.documents(), q) for signal in ix.signals]
-    return retrieval.fuse(lists, 5)
+    return retrieval.fuse(list(ix.rankings(q, list(ix.signals)).values()), 5)
 
 
 @query
