@@ -171,8 +171,11 @@ def encode_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / chunk)).cast("int")
     one = d.filter(F.coalesce(n, F.lit(1)) == 1).mapInArrow(lean(encoded), schema)
-    long = d.filter(n > 1).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text").mapInArrow(lean(dealt), f"key long, doc_id {id_type}, i int, n int, text string")
-    long = long.repartition("key", "i").mapInArrow(lean(bounded), f"key long, doc_id {id_type}, i int, text string, ends array<int>")
+    # rows meet again by a SHA-256 of id and text, so only equal rows share a key
+    name = F.coalesce(F.concat(F.lit("1"), F.col("doc_id").cast("string")), F.lit("0"))
+    key = F.sha2(F.concat(name, F.lit("\0"), F.col("text")), 256)
+    long = d.filter(n > 1).select(key.alias("key"), "doc_id", "text").mapInArrow(lean(dealt), f"key string, doc_id {id_type}, i int, n int, text string")
+    long = long.repartition("key", "i").mapInArrow(lean(bounded), f"key string, doc_id {id_type}, i int, text string, ends array<int>")
     return one.unionByName(long.groupBy("key").applyInArrow(joined, schema))
 
 

@@ -58,14 +58,14 @@ def keep_first(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     """The rows of df that exact_dedup keeps, with all their columns, repeated rows once."""
     from pyspark.sql import Window as W
 
-    winners = cut(exact_dedup(df, text_col, id_col).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest")))
+    winners = cut(exact_dedup(df, text_col, id_col).filter("kept").select("doc_id", "digest"))
     kept = cut(winners.distinct())
-    rows = df.withColumn("_keep_row_digest", sha256(normalised(text_col)))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_keep_row_digest") == F.col("_keep_digest")), "left_semi")
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), sha256(normalised(text_col)).alias("row_digest"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("row_digest") == F.col("digest")), "left_semi")
     if winners.count() == kept.count():  # no row repeats a winner, so the texts need no second shuffle
-        return rows.select(*df.columns)
-    w = W.partitionBy(id_col, "_keep_row_digest").orderBy(F.lit(0))
-    return rows.withColumn("_keep_n", F.row_number().over(w)).filter("_keep_n = 1").select(*df.columns)
+        return rows.select("row.*")
+    w = W.partitionBy("id", "row_digest").orderBy(F.lit(0))
+    return rows.withColumn("n", F.row_number().over(w)).filter("n = 1").select("row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,22 +111,22 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The mix itself, with the columns of df: a row for each whole turn of a document, and its head for the rest."""
     mix = mix_rows(df, text_col, id_col, source_col).filter("size > 0")
-    mix = mix.select(F.col("doc_id").alias("_mix_id"), F.col("nosrc").alias("_mix_nosrc"), F.col("src").alias("_mix_src"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
+    mix = mix.select(*[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "nosrc", "src", "size", "taken")])
     # rows of one id, source and size are paired off one by one; all are numbered, also those of which nothing is taken
     nth = lambda by, *order: F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    mix = mix.withColumn("_mix_n", nth(["_mix_id", "_mix_nosrc", "_mix_src", "_mix_size"], F.desc("_mix_taken"))).filter("_mix_taken > 0")
+    mix = mix.withColumn("mix_n", nth(["mix_doc_id", "mix_nosrc", "mix_src", "mix_size"], F.desc("mix_taken"))).filter("mix_taken > 0")
     nosrc, src = _source(source_col)
-    rows = df.withColumn("_mix_words", F.coalesce(n_words(F.col(text_col)), F.lit(0).cast("long"))).filter("_mix_words > 0")
-    rows = rows.withColumn("_row_nosrc", nosrc).withColumn("_row_src", src)
-    rows = rows.withColumn("_mix_row", nth([id_col, "_row_nosrc", "_row_src", "_mix_words"], F.xxhash64(text_col)))
-    same = [("_row_nosrc", "_mix_nosrc"), ("_row_src", "_mix_src"), ("_mix_words", "_mix_size"), ("_mix_row", "_mix_n")]
-    rows = rows.join(mix, reduce(lambda x, y: x & y, [F.col(a) == F.col(b) for a, b in same], F.col(id_col).eqNullSafe(F.col("_mix_id"))))
-    whole = F.floor(F.col("_mix_taken") / F.col("_mix_size")).cast("int")
-    part = F.col("_mix_taken") % F.col("_mix_size")
-    takes = F.concat(F.array_repeat(F.col("_mix_size"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("_mix_take", F.explode(takes))
-    head = F.when(F.col("_mix_take") == F.col("_mix_size"), F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_mix_take")))
-    return rows.withColumn(text_col, head).select(*df.columns)
+    text = F.col("row")[text_col]
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), nosrc.alias("nosrc"), src.alias("src"), F.coalesce(n_words(F.col(text_col)), F.lit(0).cast("long")).alias("words")).filter("words > 0")
+    rows = rows.withColumn("n", nth(["id", "nosrc", "src", "words"], F.xxhash64(text)))
+    same = [("nosrc", "mix_nosrc"), ("src", "mix_src"), ("words", "mix_size"), ("n", "mix_n")]
+    rows = rows.join(mix, reduce(lambda x, y: x & y, [F.col(a) == F.col(b) for a, b in same], F.col("id").eqNullSafe(F.col("mix_doc_id"))))
+    whole = F.floor(F.col("mix_taken") / F.col("mix_size")).cast("int")
+    part = F.col("mix_taken") % F.col("mix_size")
+    takes = F.concat(F.array_repeat(F.col("mix_size"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("take", F.explode(takes))
+    head = F.when(F.col("take") == F.col("mix_size"), text).otherwise(first_words(text, F.col("take")))
+    return rows.select(*[(head if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,16 +136,19 @@ def quality_scores(df: DataFrame, labels: DataFrame, text_col: str = "text", id_
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("doc_id", folds, fold)).distinct()
     order = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30))
     # at most `sample` ids and labels: that bounds what is broadcast to find their texts
-    picked = rows.withColumn("o", order).orderBy("o", "doc_id", "label").limit(sample).select("doc_id", "label")
+    picked = rows.withColumn("o", order).orderBy("o", "doc_id", "label").limit(sample).select("doc_id", "label", "o")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [(*features(t.as_py()), y) for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True)]
             cols = [pa.array([r[0].tobytes() for r in out], pa.binary()), pa.array([r[1].tobytes() for r in out], pa.binary()), pa.array([r[2] for r in out], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["at", "x", "label"])
+            yield pa.RecordBatch.from_arrays([*cols, *b.columns[2:]], ["at", "x", "label", "o", "doc_id"])
 
     d = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    got = d.join(F.broadcast(picked), "doc_id").select("text", "label").mapInArrow(lean(made), "at binary, x binary, label int").limit(4 * sample).collect()
+    id_type = d.schema["doc_id"].dataType.simpleString()
+    got = d.join(F.broadcast(picked), "doc_id").select("text", "label", "o", "doc_id").mapInArrow(lean(made), f"at binary, x binary, label int, o long, doc_id {id_type}")
+    # ids may repeat with other texts: of all their rows the first `sample` in one order, whatever the partitions
+    got = got.orderBy("o", "doc_id", "label", "at", "x").limit(sample).collect()
     machine = None
     if got:
         got.sort(key=lambda r: (r["label"], bytes(r["at"]), bytes(r["x"])))
@@ -161,7 +164,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, text_col: str = "text", id_
                 s.append(m.score(texts) if m is not None else np.full(len(texts), 0.5))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(s))], ["doc_id", "score"])
 
-    out = d.mapInArrow(lean(scored), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
+    out = d.mapInArrow(lean(scored), f"doc_id {id_type}, score double")
     return out.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -168,8 +168,8 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", radi
     if similarity is not None:
         return near_copies.keep_one(df, text_col, id_col, similarity)
     found = near_dedup(df, text_col, id_col, radius, width).filter("doc_id <=> component_id")
-    kept = found.select(F.col("doc_id").alias("_near_id")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_near_id")), "left_semi")
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
+    return rows.join(found.select("doc_id").distinct(), F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
