@@ -124,11 +124,11 @@ def runs(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(rf"(?s){W}+|{W.replace('[', '[^', 1)}"), F.lit(0)))
 
 
-def lead(term: Column) -> Column:
-    """What every text that holds the term as a whole phrase has among its runs: the term's first word run or, of a term
+def anchors(term: Column) -> Column:
+    """What every text that holds the term as a whole phrase has among its runs: the term's word runs or, of a term
     without any, its first character."""
-    word = F.regexp_extract(F.lower(term), f"{W}+", 0)
-    return F.when(word != "", word).otherwise(F.substring(F.lower(term), 1, 1))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(term), F.lit(f"{W}+"), F.lit(0)))
+    return F.when(F.size(words) > 0, words).otherwise(F.array(F.substring(F.lower(term), 1, 1)))
 
 
 def has_phrase(text: Column, term: Column) -> Column:

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as T
-from glosswright.operators import guards
+from glosswright.operators import guards, selection
 
 PASS, FAIL, UNREACHABLE = "PASS", "FAIL", "UNREACHABLE"
+# ---- fixed values ---------------------------------------------------------------------------------------------------
 CAUSES = ("tm_search_failure", "guard_rejected_in_review_queue", "approval_incomplete", "model_invocation_failure")
-PARTS = 64
 G1_LEAST, G2_LEAST, G3_FACTOR = 0.95, 1.0, 0.70
 ECHO_FLOOR, RULE_TARGET, FLAVOR_TARGET = 0.05, 2.5, 2.0
+# ---- end of fixed values --------------------------------------------------------------------------------------------
 
 
 def _share(a: Column, b: Column, empty: float) -> Column:
@@ -72,9 +73,11 @@ def gate2(pairs: DataFrame) -> DataFrame:
 
 
 def gate3(distances: DataFrame, threshold: Column, column: str = "distance") -> DataFrame:
-    """One row: median, mean, lowest and highest distance (0 for none), passed if the median is at most the threshold."""
+    """One row: median, mean, lowest and highest distance (0 for none), passed if the median is at most the threshold. The
+    median is selected by jobs of its own (see selection)."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    g = distances.agg(zero(F.median(column)).alias("median"), zero(F.avg(column)).alias("mean"), zero(F.min(column)).alias("lowest"), zero(F.max(column)).alias("highest"))
+    median = selection.medians(distances, column).get(None)
+    g = distances.agg(zero(F.lit(median).cast("double")).alias("median"), zero(F.avg(column)).alias("mean"), zero(F.min(column)).alias("lowest"), zero(F.max(column)).alias("highest"))
     return g.withColumn("passed", F.col("median") <= threshold)
 
 
@@ -83,23 +86,14 @@ def gate3_threshold(baseline_median: Column, factor: float = G3_FACTOR) -> Colum
 
 
 def percentile_cut(values: DataFrame, column: str, p: float = 20.0) -> DataFrame:
-    """One row: threshold (the value at index floor(p / 100 * n), clamped, in order), lowest, highest, median, n.
-
-    Equal values are counted first and dealt to PARTS ranges of about equal counts; the ranges' counts tell in which the
-    index lies, and only that one's distinct values are ranked."""
-    from pyspark.sql import Window as W
-
-    stats = values.agg(F.count(column).alias("n"), F.min(column).alias("lowest"), F.max(column).alias("highest"), F.median(column).alias("median"), F.percentile_approx(column, [i / PARTS for i in range(1, PARTS)]).alias("_cuts"))
-    one = F.broadcast(stats)  # one row
-    place = F.size(F.filter(F.coalesce("_cuts", F.array().cast(stats.schema["_cuts"].dataType)), lambda x: x <= F.col("v")))
-    each = values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c")).crossJoin(one.select("_cuts")).select("v", "c", place.alias("part"))
-    parts = each.groupBy("part").agg(F.sum("c").alias("c"))  # at most PARTS rows
-    parts = parts.select("part", (F.sum("c").over(W.orderBy("part")) - F.col("c")).alias("before"), F.sum("c").over(W.orderBy("part")).alias("upto"))
-    index = F.greatest(F.lit(0), F.least(F.floor(F.lit(p) / 100 * F.col("n")), F.col("n") - 1))
-    hit = parts.crossJoin(one.select("n")).filter((F.col("before") <= index) & (index < F.col("upto"))).select("part", "before", index.alias("i"))
-    run = each.join(F.broadcast(hit), "part").withColumn("upto", F.col("before") + F.sum("c").over(W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)))
-    at = run.filter(F.col("upto") > F.col("i")).agg(F.min("v").alias("threshold"))  # one row
-    return at.crossJoin(stats.drop("_cuts"))
+    """One row: threshold (the value at index floor(p / 100 * n), clamped, in order), lowest, highest, median, n. Selecting
+    runs jobs; without a value all but n are null."""
+    schema = "threshold double, n long, lowest double, highest double, median double"
+    kind = values.schema[column].dataType.simpleString()
+    got = selection.at_places(values, column, lambda n: [int(p / 100 * n), *selection.middle(n)])
+    n, lowest, highest, at = got.get(None, (0, None, None, [None] * 3))
+    row = [(at[0], n, lowest, highest, selection.mean_of(at[1:]) if n else None)]
+    return values.sparkSession.createDataFrame(row, schema).withColumns({c: F.col(c).cast(kind) for c in ("threshold", "lowest", "highest")})
 
 
 def ceiling(rows: DataFrame) -> DataFrame:
@@ -181,10 +175,11 @@ def delivered(cards: DataFrame) -> DataFrame:
     return g.withColumn("throughput", _share(F.col("delivered"), F.col("total"), 0.0))
 
 
-def pending(records: DataFrame) -> DataFrame:
-    """One row: cards, those interrupted and not approved automatically, and their share."""
-    wait = F.when(F.col("interrupted") & ~F.coalesce("auto_approved", F.lit(False)), F.col("card_id"))
-    g = records.agg(F.countDistinct("card_id").alias("n_cards"), F.countDistinct(wait).alias("n_pending"))
+def pending(cards: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: how many cards (id) there are, with or without records, how many of them have a field that is interrupted
+    and was not approved automatically, and their share."""
+    wait = records.filter(F.coalesce("interrupted", F.lit(False)) & ~F.coalesce("auto_approved", F.lit(False))).select(F.col("card_id").alias("id"), F.lit(True).alias("waits")).distinct()
+    g = cards.select("id").join(wait, "id", "left").agg(F.count("*").alias("n_cards"), _n(F.col("waits")).alias("n_pending"))
     return g.withColumn("ratio", _share(F.col("n_pending"), F.col("n_cards"), 0.0))
 
 
@@ -199,9 +194,10 @@ def per_model(records: DataFrame, cards: DataFrame) -> DataFrame:
         of += [_n(F.col("passed")).alias("n_passed"), F.avg(F.col("passed").cast("double")).alias("preservation")]
     if "n_checks" in cards.columns:
         of.append(F.try_divide(F.sum("n_checks") - F.sum("n_violations"), F.sum("n_checks")).alias("compliance"))
-    if "distance" in cards.columns:
-        of.append(F.median("distance").alias("median_distance"))
     out = got.groupBy("model_id").agg(*of)
+    if "distance" in cards.columns:
+        medians = records.sparkSession.createDataFrame(list(selection.medians(got, "distance", "model_id").items()), "model_id string, median_distance double")
+        out = out.join(F.broadcast(medians), "model_id", "left")  # a row for each model
     if {"draft_ko", "top_hit"} <= set(records.columns):
         flat = lambda c: T.squeeze(F.coalesce(F.col(c), F.lit("")))
         live = F.col("top_hit").isNotNull() & (flat("draft_ko") != "")
@@ -227,7 +223,7 @@ def observations(scores: DataFrame, targets: tuple[float, float] = (RULE_TARGET,
     """One row: count, mean and median of rule and flavor scores (0 for none); null flavors do not count, and a target
     is only met by a score that was measured."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    g = scores.agg(*[f for c in ("rule", "flavor") for f in (F.count(f"{c}_score").alias(f"{c}_n"), zero(F.avg(f"{c}_score")).alias(f"{c}_mean"), zero(F.median(f"{c}_score")).alias(f"{c}_median"))])
+    g = scores.agg(*[f for c in ("rule", "flavor") for f in (F.count(f"{c}_score").alias(f"{c}_n"), zero(F.avg(f"{c}_score")).alias(f"{c}_mean"), zero(F.lit(selection.medians(scores, f"{c}_score").get(None)).cast("double")).alias(f"{c}_median"))])
     for c, target in zip(("rule", "flavor"), targets, strict=True):
         g = g.withColumn(f"{c}_meets", (F.col(f"{c}_n") > 0) & (F.col(f"{c}_mean") >= target))
     return g

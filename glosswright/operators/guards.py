@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as T
+from glosswright.session import workspace
 
 # ---- fixed values ---------------------------------------------------------------------------------------------------
 STOP_WORDS = """
@@ -41,16 +42,28 @@ def flat_glossary(sections: DataFrame) -> DataFrame:
     return g.withColumn("n", F.row_number().over(first)).filter(F.col("n") == 1).select("en", "ko", "source")
 
 
+def anchored(terms: DataFrame, term_col: str, occurs: DataFrame) -> DataFrame:
+    """terms with _anchor: of what every text that holds the term has among its runs, the one that fewest texts have.
+    occurs: (_anchor, n) of runs; one that is not there occurs nowhere."""
+    parts = terms.select(F.col(term_col).alias("_term")).distinct().select("_term", F.explode(T.anchors(F.col("_term"))).alias("_anchor"))
+    found = parts.join(occurs, "_anchor", "left").groupBy("_term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("_anchor").alias("a"))).alias("m"))
+    return terms.join(found.select("_term", F.col("m.a").alias("_anchor")), F.col(term_col) == F.col("_term")).drop("_term")
+
+
 def phrase_hits(texts: DataFrame, terms: DataFrame, text_col: str = "en_text", term_col: str = "en", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, `keep` columns and the columns of every term (distinct rows) that stands in the text as a whole phrase.
 
-    Texts and terms meet by the term's first word run (a term without one by its first character), so no term is tried
-    on every text; the exact test follows. Only ids and hashes take part in that join; its few rows then find the texts
-    by id and hash, so ids may repeat."""
+    Texts and terms meet by the term's rarest word run by the number of texts that have it (a term without one by its
+    first character), so neither a term nor a text meets more than what that run brings; the exact test follows. Runs of
+    texts that are a run of some term are written to the workspace once (a job), counted and joined. Only ids and hashes
+    take part in that join; its few rows then find the texts by id and hash, so ids may repeat."""
     cols = ["id", text_col, *[c for c in keep if c != text_col]]
     rows = texts.select(*cols, F.xxhash64(*cols).alias("_row"))
-    by_lead = terms.withColumn("_lead", T.lead(F.col(term_col)))
-    met = rows.select("id", "_row", F.explode(T.runs(F.col(text_col))).alias("_lead")).join(by_lead, "_lead").drop("_lead").distinct()
+    wanted = terms.select(F.explode(T.anchors(F.col(term_col))).alias("_anchor")).distinct()
+    path = workspace(texts.sparkSession, "runs")
+    rows.select("id", "_row", F.explode(T.runs(F.col(text_col))).alias("_anchor")).join(wanted, "_anchor", "left_semi").write.parquet(path)
+    runs = texts.sparkSession.read.parquet(path)
+    met = runs.join(anchored(terms, term_col, runs.groupBy("_anchor").agg(F.count("*").alias("n"))), "_anchor").drop("_anchor").distinct()
     same = rows["id"].eqNullSafe(F.col("_id")) & (rows["_row"] == F.col("_of"))
     hits = rows.join(met.withColumnsRenamed({"id": "_id", "_row": "_of"}), same).drop("_id", "_of", "_row")
     inside = F.contains(F.lower(F.col(text_col)), F.lower(F.col(term_col)))  # cheap, before a pattern is made

@@ -199,13 +199,22 @@ def _down(part):
     raise RuntimeError("a judged pair was asked for again")
 
 
+def _picky(part):
+    """Fails on some pairs, and so on every chunk that holds one."""
+    if any(e.startswith("b") for e, _, _ in part):
+        raise RuntimeError("a pair that cannot be judged")
+    return [(e, k, s["cooccurrence"] % 2 == 0, "by count") for e, k, s in part if not e.startswith("a")]
+
+
 @query
 def judged_store(spark, sf_dir):
-    """Judged in two appended parts; what is judged is not asked again, so a judge that is down changes nothing."""
+    """Judged with the pairs' scores by a judge that fails on some; what is judged is not asked again, so that one that is
+    down changes nothing; then some pairs are judged anew, and their last judgment counts."""
     path = workspace(spark, "judgments")
-    c = table(spark, sf_dir, "part").selectExpr("p_name AS en_term", "p_type AS ko_term").distinct()
-    judging.judge_and_keep(c, decide, "now", path, rounds=2)
-    return judging.judge_and_keep(c, _down, "now", path).select("en_term", "ko_term", "accepted")
+    c = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("en_term"), F.col("p_type").alias("ko_term")).agg(F.sum("p_size").alias("cooccurrence"))
+    judging.judge_and_keep(c, _picky, "now", path, scored=True)
+    judging.judge_and_keep(c, _down, "now", path)
+    return judging.judge_and_keep(c.filter("cooccurrence % 5 = 0"), decide, "now", path, again=True).select("en_term", "ko_term", "accepted", "reason")
 
 
 @query

@@ -252,8 +252,8 @@ ORACLES = {
     "card_synthesis": f"WITH {OUTCOMES} SELECT * FROM syn",
     "empty_causes": f"WITH {OUTCOMES} SELECT " + ", ".join(f"count(*) FILTER (cause = '{c}') AS {c}" for c in ("tm_search_failure", "guard_rejected_in_review_queue", "approval_incomplete", "model_invocation_failure")) + " FROM oc",
     "delivered_throughput": f"WITH {OUTCOMES} SELECT count(*) AS total, count(*) FILTER (card_prediction <> '') AS delivered, round(count(*) FILTER (card_prediction <> '') / count(*), 9) AS throughput FROM syn",
-    "pending_ratio": f"""WITH {OUTCOMES} SELECT count(DISTINCT card_id) AS n_cards, count(DISTINCT card_id) FILTER (interrupted AND card_id % 3 <> 0) AS n_pending,
-      round(count(DISTINCT card_id) FILTER (interrupted AND card_id % 3 <> 0) / count(DISTINCT card_id), 9) AS ratio FROM rec""",
+    "pending_ratio": f"""WITH {OUTCOMES} SELECT count(*) AS n_cards, count(w.card_id) AS n_pending, round(count(w.card_id) / count(*), 9) AS ratio
+      FROM fc LEFT JOIN (SELECT DISTINCT card_id FROM rec WHERE interrupted AND card_id % 3 <> 0) w ON w.card_id = fc.id""",
     "echo_gate": """WITH e AS (SELECT p_partkey % 9 = 0 OR p_name = p_type AS echo, p_partkey % 8 = 0 AND (p_partkey % 9 <> 0 OR p_name = p_type) AS same FROM part WHERE p_partkey % 9 = 0 OR p_partkey % 10 <> 0),
       g AS (SELECT count(*) AS n_with_hits, count(*) FILTER (echo) AS n_echo, count(*) FILTER (same) AS n_coincidence FROM e)
       SELECT *, round(n_echo / n_with_hits, 9) AS rate, round(greatest(0.05, n_coincidence / n_with_hits), 9) AS threshold, n_echo / n_with_hits <= greatest(0.05, n_coincidence / n_with_hits) AS passed FROM g""",
@@ -317,7 +317,9 @@ ORACLES = {
       p_partkey % 2 = 0 AND p_name <> p_type AS modified, CASE WHEN p_partkey % 4 = 0 THEN 'new_term' ELSE 'rule_violation' END AS reasons FROM part WHERE p_partkey % 3 = 0""",
     "new_term_store": """WITH a AS (SELECT * FROM part WHERE p_partkey % 12 = 0) SELECT p_brand AS en_term, CASE WHEN p_partkey % 8 = 0 THEN p_name ELSE '' END AS ko_rendering, CAST(p_partkey AS VARCHAR) AS source_card_id, 'text' AS source_field, p_name AS approved_ko_context FROM a
       UNION ALL SELECT p_type, '', CAST(p_partkey AS VARCHAR), 'text', p_name FROM a""",
-    "judged_store": "SELECT DISTINCT p_name AS en_term, p_type AS ko_term, length(p_name) % 2 = 0 AS accepted FROM part WHERE p_name NOT LIKE 'a%'",
+    "judged_store": """WITH c AS (SELECT p_name AS en_term, p_type AS ko_term, sum(p_size) AS n FROM part GROUP BY ALL)
+      SELECT en_term, ko_term, length(en_term) % 2 = 0 AS accepted, 'by length' AS reason FROM c WHERE en_term NOT LIKE 'a%' AND n % 5 = 0
+      UNION ALL SELECT en_term, ko_term, n % 2 = 0, 'by count' FROM c WHERE en_term NOT LIKE 'a%' AND en_term NOT LIKE 'b%' AND n % 5 <> 0""",
     "judged_counts": "SELECT count(*) FILTER (e NOT LIKE 'a%' AND length(e) % 2 = 0) AS accepted, count(*) FILTER (e NOT LIKE 'a%' AND length(e) % 2 = 1) AS rejected, count(*) FILTER (e LIKE 'a%') AS dropped FROM (SELECT DISTINCT p_name AS e, p_type FROM part)",
     "draft_records": f"""WITH {FIELDS}, {GLOSSARY}, rc AS (SELECT card_id || ':' || field AS id, text AS en_text, card_id, field, CASE field WHEN 'text' THEN 'rule' ELSE 'flavor' END AS route FROM ex), {_new_terms('rc')},
       t AS (SELECT id, string_agg(en, '|' ORDER BY en) AS terms, count(*) FILTER (NOT contains(upper(en_text), ko)) AS bad FROM rc JOIN gl ON {_phrase('en_text', 'en')} GROUP BY id),
@@ -338,7 +340,7 @@ ORACLES = {
       g AS (SELECT id, count(*) AS c, md5(string_agg(n, ' ' ORDER BY i)) AS m FROM n WHERE n <> '' GROUP BY id)
       SELECT d.id, coalesce(c, 0) AS n_tokens, coalesce(m, md5('')) AS tokens FROM d LEFT JOIN g ON g.id = d.id""",
     "morphology_gold": r"""WITH n AS (SELECT p_partkey AS id, list_transform(list_filter(string_split(p_name, ' '), lambda x: length(x) <> 2), lambda x: CASE WHEN x LIKE '%en' THEN x || '다' ELSE x END) AS n FROM part)
-      SELECT id, array_to_string(list_concat(n, ['[credit]en다', 'ABC', '12']), ' ') AS norm FROM n""",
+      SELECT id, array_to_string(list_concat(n, ['[credit]', 'ABC', '12']), ' ') AS norm FROM n""",
     "matched_pairs": "SELECT p_partkey AS id, p_name AS prediction, p_type AS reference FROM part",
     "record_references": f"""WITH rec AS ({B.records_sql('rule')} UNION ALL {B.records_sql('flavor')})
       SELECT card_id, CASE route WHEN 'rule' THEN 'text' ELSE 'flavor' END AS field, route, CASE WHEN card_id % 7 = 0 THEN '' WHEN route = 'rule' THEN p_type || ' x' WHEN card_id % 2 = 0 THEN p_brand ELSE '' END AS ref_ko FROM rec JOIN part ON p_partkey = card_id""",
@@ -364,6 +366,12 @@ ORACLES = {
         count(*) FILTER (reach = 'official_excluded') AS official_excluded, count(*) FILTER (reach = 'over_max_n') AS over_max_n, count(*) FILTER (reach = 'below_min_cooccur') AS below_min_cooccur, count(*) FILTER (reach = 'below_rank_cut') AS below_rank_cut FROM sc)
       SELECT *, round(coalesce(found / nullif(scored, 0), 0.0), 9) AS recall, round(coalesce(ko_correct / nullif(found, 0), 0.0), 9) AS ko_accuracy FROM g""",
     "candidates_in_order": f"WITH {CANDIDATES}, o AS (SELECT en_term, ko_term, row_number() OVER (ORDER BY dice DESC, cooccurrence DESC, en_term, ko_term) AS place FROM capped) SELECT * FROM o WHERE place <= 100",
+    "guarded_stream": f"""WITH {CARDS}, rc AS (SELECT *, 'rule' AS route FROM cards), {GLOSSARY}, {_new_terms('rc')}, {FIDELITY},
+      gv AS (SELECT DISTINCT id FROM cards JOIN gl ON {_phrase('en_text', 'en')} WHERE NOT contains({TIGHT.format('ko_text')}, {TIGHT.format('ko')})),
+      inj AS (SELECT id FROM cards WHERE """ + " OR ".join(f"regexp_matches({c}, '(?i)(?:{rx})')" for c in ("en_text", "ko_text") for rx in INJECTIONS) + """),
+      r AS (SELECT array_to_string(list_filter([CASE WHEN id IN (FROM inj) THEN 'injection' END, CASE WHEN id IN (SELECT id FROM nt WHERE blocking) THEN 'new_term' END,
+        CASE WHEN id IN (FROM gv) OR id IN (SELECT id FROM fid) THEN 'rule_violation' END], lambda x: x IS NOT NULL), '|') AS reasons FROM cards)
+      SELECT reasons, count(*) AS n FROM r GROUP BY reasons""",
     "event_stream": "SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS hour, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL",
     "approved_stream": "SELECT CASE WHEN p_size % 2 = 0 THEN 'text' ELSE 'flavor' END AS field, p_partkey % 2 = 0 AND p_brand <> p_type AS modified, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL",
 }

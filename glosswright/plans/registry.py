@@ -243,7 +243,7 @@ def delivered_throughput(spark, sf_dir):
 @query
 def pending_ratio(spark, sf_dir):
     r = B.records(spark, sf_dir).withColumn("auto_approved", F.when(F.col("card_id") % 3 == 0, True))
-    return evaluation.pending(r).withColumn("ratio", F.round("ratio", 9))
+    return evaluation.pending(B.field_cards(spark, sf_dir), r).withColumn("ratio", F.round("ratio", 9))
 
 
 @query

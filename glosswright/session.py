@@ -28,11 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder; only a session without one gets a temporary folder."""
+    """A new folder below the shared checkpoint folder; only a local session without one gets a
+    temporary folder."""
     import tempfile
     import uuid
 
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glosswright-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glosswright-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

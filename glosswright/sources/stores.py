@@ -14,7 +14,7 @@ HIT = "struct<id:string,en_text:string,ko_text:string,score:double>"
 TERM = "struct<en:string,ko:string,source:string,llm_judged:boolean>"
 VIOLATION = "struct<guard:string,detail:string>"
 SCHEMAS = {
-    "judgments": "en_term string, ko_term string, accepted boolean, reason string, prompt_fingerprint string",
+    "judgments": "en_term string, ko_term string, accepted boolean, reason string, prompt_fingerprint string, seq long",
     "approved": "card_id string, field string, route string, en_text string, ko_draft string, approved_ko string, approved_at string, modified boolean, interrupt_reasons array<string>",
     "new_terms": "en_term string, ko_rendering string, source_card_id string, source_field string, approved_ko_context string, submitted_at string",
     "conflicts": "en_term string, ko_variants array<string>, source_card_ids map<string,array<string>>, source string",
@@ -27,7 +27,7 @@ SCHEMAS = {
 def read(spark: SparkSession, name: str, path: str, whole_file: bool = False) -> DataFrame:
     """A store by name; blank and broken lines are dropped, a missing path is an empty store."""
     try:
-        d = spark.read.text(path, wholetext=whole_file)
+        d = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=whole_file)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -221,8 +221,10 @@ def test_morphology(spark):
         return table.get(word) or [(w, "SL") for w in word.replace("을", " ").split()]
 
     plain = {"설치할": "설치", "레즈할": "레즈", "뽑는다": "뽑다", "당신의": "", "2[credit]을": "2[credit]", "[a](B)": "[a](B)", "[x]s": "[x]s"}
-    assert {w: morphology.normalise_word(w, tag) for w in plain} == plain
-    assert [morphology._name(i)[3:] for i in (0, 25, 26, 27, 701, 702)] == ["a", "z", "aa", "ab", "zz", "aaa"]
+    words = spark.createDataFrame([(w,) for w in [*plain, None, ""]], "word string")
+    norms = lambda **how: {r["word"]: r["norm"] for r in morphology.dictionary(words, tag, **how).collect() if r["word"]}
+    assert norms() == plain
+    assert norms(registered=["당신의", "당신", ""]) == plain | {"당신의": "당신의"}  # the longest registered word stays
     df = spark.createDataFrame([(1, "당신의 설치할, 뽑는다."), (2, None), (3, "")], "id int, t string")
     assert {r["id"]: r["norm_tokens"] for r in morphology.normalised(df, "t", tag).collect()} == {1: ["설치", "뽑다"], 2: [], 3: []}
 
@@ -231,7 +233,7 @@ def test_judgments_survive_a_failure(spark, tmp_path):
     c = spark.createDataFrame([(f"t{i}", "k") for i in range(20)], "en_term string, ko_term string")
     path = str(tmp_path / "judged")
     good = lambda part: [(e, k, True, "r") for e, k in part if e != "t3"]
-    first = judging.judge_and_keep(c.filter("en_term < 't15'"), good, "fp", path, rounds=3)
+    first = judging.judge_and_keep(c.filter("en_term < 't15'"), good, "fp", path, chunk=2, parallelism=2)
     n = first.count()
     asked = spark.sparkContext.accumulator(0)
 
