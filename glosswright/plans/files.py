@@ -114,6 +114,17 @@ def predictions_scan(spark, sf_dir):
     return stores.predictions(spark, path)
 
 
+@query
+def predictions_matched(spark, sf_dir):
+    """A file of predictions and one of references, a line for each order, matched by the lines' places."""
+    o, got = table(spark, sf_dir, "orders"), []
+    for name, value in (("prediction", "CONCAT(o_orderpriority, ' ', o_orderkey)"), ("reference", "CAST(o_orderkey AS STRING)")):
+        path = workspace(spark, name)
+        o.repartition(1).sortWithinPartitions("o_orderkey", "o_orderpriority").selectExpr(f"{value} AS value").write.text(path)  # one file
+        got.append(stores.predictions(spark, path).withColumnRenamed("prediction", name))
+    return evaluation.checked_pairs(*got, key="pos").select("pos", "prediction", "reference")
+
+
 @query
 def split_sink(spark, sf_dir):
     path = workspace(spark, "split")

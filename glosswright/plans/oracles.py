@@ -303,6 +303,7 @@ ORACLES = {
     "draft_scan": f"WITH rec AS ({B.records_sql('rule')} UNION ALL {B.records_sql('flavor')}) SELECT route, interrupted, count(*) AS n, count(draft_ko) AS n_drafts, sum(card_id)::BIGINT AS ids FROM rec GROUP BY ALL",
     "run_header": "SELECT 'real' AS run_mode, 'm1' AS primary_model_id, false AS mixed_run",
     "predictions_scan": "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name END AS prediction FROM nation",
+    "predictions_matched": "SELECT row_number() OVER (ORDER BY o_orderkey, o_orderpriority) - 1 AS pos, o_orderpriority || ' ' || o_orderkey AS prediction, CAST(o_orderkey AS VARCHAR) AS reference FROM orders",
     "split_sink": "SELECT p_partkey, p_name, CASE WHEN row_number() OVER (ORDER BY (p_partkey * 2654435761) % 1000003, p_partkey) <= 100 THEN 'hold_out' ELSE 'train' END AS side FROM part",
     "conflict_union": f"""WITH {KW_CONFLICTS}, n AS (SELECT en_term, count(*) AS n_with_ids, sum(len(card_ids))::BIGINT AS n_ids FROM kw GROUP BY en_term)
       SELECT kc.en_term, array_to_string(v, '|') AS ko_variants, n_with_ids, n_ids, 'subtype' AS source FROM kc JOIN n USING (en_term) WHERE len(v) > 1

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -61,12 +62,22 @@ def run_header(spark: SparkSession, path: str) -> DataFrame:
     return first.filter("h.kind = 'run_pipeline_header'").select("h.run_mode", "h.primary_model_id", "h.mixed_run")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, pos, value): the lines of each file with their 0-based places. Files are read in splits; a line's place is its
+    place in the split and the number of lines in the splits before, of which there is a row each."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"), "value")
+    splits = lines.groupBy("file", "split").agg(F.min("n").alias("first"), F.count("*").alias("size"))
+    before = F.sum("size").over(W.partitionBy("file").orderBy("split")) - F.col("size")
+    splits = splits.select("file", "split", "first", before.alias("before"))
+    return lines.join(splits, ["file", "split"]).select("file", (F.col("before") + F.col("n") - F.col("first")).alias("pos"), "value")
+
+
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, prediction) of a JSON array of strings or of a file of lines, in order. Places are within one file, so a file
-    is read whole."""
+    """(pos, prediction) of a JSON array of strings, which has no splits and is read whole, or of a file of lines."""
+    if not path.endswith(".json"):
+        return numbered_lines(spark, path).select("pos", F.col("value").alias("prediction"))
     whole = spark.read.text(path, wholetext=True)
-    items = F.from_json("value", "array<string>") if path.endswith(".json") else F.split(F.regexp_replace("value", r"\n\z", ""), "\n")
-    return whole.select(F.posexplode(items).alias("pos", "prediction")).select(F.col("pos").cast("long").alias("pos"), "prediction")
+    return whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "prediction")).select(F.col("pos").cast("long").alias("pos"), "prediction")
 
 
 def glossary_asset(official: DataFrame, subtype: DataFrame, extracted: DataFrame, scores: DataFrame, judged: DataFrame | None = None, llm_judged: bool = False) -> DataFrame:

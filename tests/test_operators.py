@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosswright.operators import distance, drafting, evaluation, guards, judging, patterns, retrieval, terms
+from tests import scoring
 
 PAIR = "id long, en_text string, ko_text string"
 
@@ -251,13 +252,13 @@ def test_hybrid_search_ranks(spark):
     q = spark.createDataFrame([(1,)], "query_id int")
     a = spark.createDataFrame([(1, 5, 0.9), (1, 2, 0.4)], "query_id int, doc_id int, score double")
     b = spark.createDataFrame([(1, 0, -0.5), (1, 5, 0.1), (1, 7, -0.1)], a.schema)
-    got = {r["doc_id"]: (r["rank"], r["a_rank"], r["b_rank"]) for r in retrieval.search(docs, q, {"a": a, "b": b}, 20).collect()}
+    got = {r["doc_id"]: (r["rank"], r["a_rank"], r["b_rank"]) for r in scoring.search(docs, q, {"a": a, "b": b}, 20).collect()}
     order_a, order_b = [5, 2, 0, 1, 3, 4, 6, 7], [5, 1, 2, 3, 4, 6, 7, 0]
     assert {d: x[1:] for d, x in got.items()} == {d: (order_a.index(d), order_b.index(d)) for d in range(8)}
     fused = sorted(range(8), key=lambda d: (-sum(1 / (61 + o.index(d)) for o in (order_a, order_b)), order_a.index(d)))
     assert [d for d, x in sorted(got.items(), key=lambda x: x[1][0])] == fused
     with pytest.raises(RuntimeError):
-        retrieval.search(docs, q, {}, 5)
+        scoring.search(docs, q, {}, 5)
 
 
 def test_echo_and_observations(spark):

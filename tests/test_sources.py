@@ -102,3 +102,20 @@ def test_guarded_stream(spark, tmp_path):
     s = streams.follow(spark, f"{tmp_path}/in", "id long, t string")
     streams.guarded(s, check, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert [r["id"] for r in spark.read.json(f"{tmp_path}/out/review").collect()] == [2]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Files of many splits: each line has its place in its file."""
+    want = {}
+    for name, n in (("a.txt", 5000), ("b.txt", 3), ("c.txt", 0), ("d.txt", 1200)):
+        lines = [f"{name} {i}" if i % 7 else "" for i in range(n)]
+        (tmp_path / name).write_text("".join(f"{x}\n" for x in lines))
+        want |= {(name, i): x for i, x in enumerate(lines)}
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = stores.numbered_lines(spark, str(tmp_path))
+        assert {(r["file"].rsplit("/", 1)[1], r["pos"]): r["value"] for r in got.collect()} == want
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
