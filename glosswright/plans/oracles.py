@@ -374,5 +374,7 @@ ORACLES = {
         CASE WHEN id IN (FROM gv) OR id IN (SELECT id FROM fid) THEN 'rule_violation' END], lambda x: x IS NOT NULL), '|') AS reasons FROM cards)
       SELECT reasons, count(*) AS n FROM r GROUP BY reasons""",
     "event_stream": "SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS hour, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL",
+    "awaited_stream": """SELECT CASE WHEN p_size % 2 = 0 THEN 'text' ELSE 'flavor' END AS field, CASE WHEN p_partkey % 3 <> 0 OR p_partkey % 5 = 0 THEN 'approval_incomplete'
+      WHEN p_partkey % 2 = 0 AND p_brand <> p_type THEN 'modified' ELSE 'approved' END AS outcome, count(*) AS n FROM part GROUP BY ALL""",
     "approved_stream": "SELECT CASE WHEN p_size % 2 = 0 THEN 'text' ELSE 'flavor' END AS field, p_partkey % 2 = 0 AND p_brand <> p_type AS modified, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL",
 }

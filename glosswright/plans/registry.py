@@ -432,6 +432,13 @@ def approved_stream(spark, sf_dir):
     return flows.approvals(spark, sf_dir)
 
 
+@query
+def awaited_stream(spark, sf_dir):
+    from glosswright.streaming import flows
+
+    return flows.awaited_reviews(spark, sf_dir)
+
+
 @query
 def guarded_stream(spark, sf_dir):
     from glosswright.streaming import flows

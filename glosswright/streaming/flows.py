@@ -44,3 +44,24 @@ def guarded_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     stores.guarded(stream, lambda b: drafting.validate(b, g), f"{at}/out", f"{at}/checkpoint").awaitTermination()
     d = spark.read.schema("id long, reasons array<string>").json(f"{at}/out/drafts")
     return d.groupBy(F.array_join("reasons", "|").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+def awaited_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interrupts and decisions as two streams, in either order of arrival: what became of each interrupt, counted."""
+    at, start = workspace(spark, "awaited"), "TIMESTAMP'2024-01-01 00:00:00'"
+    p = table(spark, sf_dir, "part")
+    seconds = "make_interval(0, 0, 0, 0, 0, 0, {})"
+    queue = p.selectExpr("p_partkey AS id", "p_partkey AS card_id", "CASE WHEN p_size % 2 = 0 THEN 'text' ELSE 'flavor' END AS field", "'rule' AS route", "p_name AS en_text", "p_type AS draft_ko", "CAST(array() AS array<struct<en:string,ko_rendering:string>>) AS new_terms",
+                         "CAST(array() AS array<struct<guard:string>>) AS guard_violations", f"{start} + {seconds.format('p_partkey % 600')} AS queued_at")
+    gap = "CASE WHEN p_partkey % 5 = 0 THEN 7200 WHEN p_partkey % 2 = 0 THEN 300 ELSE -300 END"  # too late, after, before
+    decisions = p.filter("p_partkey % 3 = 0").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS approved_ko", "map('x', 'y') AS term_renderings", f"{start} + {seconds.format(f'p_partkey % 600 + {gap}')} AS decided_at")
+    # of each kind two folders of files and then a row far ahead, which lets time pass; decisions first
+    for name, rows, time in (("decisions", decisions, "decided_at"), ("queue", queue, "queued_at")):
+        for part in ("id % 2 = 1", "id % 2 = 0"):
+            rows.filter(part).repartition(2).write.mode("append").json(f"{at}/{name}")
+        rows.limit(1).withColumns({"id": F.lit(-1).cast("long"), time: F.expr(f"{start} + INTERVAL 2 DAYS")}).write.mode("append").json(f"{at}/{name}")
+    read = lambda name, rows: stores.follow(spark, f"{at}/{name}", rows.schema, files_per_batch=2)
+    stores.awaited(read("queue", queue), read("decisions", decisions), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    approved = spark.read.schema("id long, field string, modified boolean").json(f"{at}/out/approved").withColumn("outcome", F.when(F.col("modified"), "modified").otherwise("approved"))
+    late = spark.read.schema("id long, field string, empty_cause string").json(f"{at}/out/unanswered").withColumnRenamed("empty_cause", "outcome")
+    return approved.select("id", "field", "outcome").unionByName(late.select("id", "field", "outcome")).filter("id >= 0").groupBy("field", "outcome").agg(F.count("*").alias("n"))
