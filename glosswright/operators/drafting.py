@@ -143,6 +143,14 @@ def run(fields: DataFrame, hits: DataFrame, glossary: DataFrame, call: Callable[
     return records(d.join(drafts, "id"), glossary, conflicts, threshold, llm_judged)
 
 
+def remembered(fields: DataFrame, memory, k: int = 3) -> DataFrame:
+    """hits of all fields (id, en_text) as run reads them, from an index over translated pairs (with en_text and ko_text);
+    each distinct text is searched once."""
+    texts = fields.select(F.col("en_text").alias("query_id"), F.col("en_text").alias("text")).distinct()
+    h = memory.hits(texts, k).select("query_id", "rank", F.col("id").cast("string").alias("id"), F.col("row.en_text").alias("en_text"), F.col("row.ko_text").alias("ko_text"), "score")
+    return fields.select(F.col("id").alias("_field"), F.col("en_text").alias("_text")).join(h, F.col("_text") == F.col("query_id")).drop("_text", "query_id").withColumnRenamed("_field", "query_id")
+
+
 def records(drafts: DataFrame, glossary: DataFrame, conflicts: DataFrame | None = None, threshold: float = 0.01, llm_judged: bool = False) -> DataFrame:
     """Checked drafts as records: what each guard found, new terms (renderings unknown before review), recorded terms. A
     field whose model failed is an empty record with its cause and error."""

@@ -255,6 +255,16 @@ def draft_records(spark, sf_dir):
                     _lines("recording_new_terms").alias("recording"), _lines(F.transform("guard_violations", lambda v: v["guard"])).alias("guards"), "interrupted")
 
 
+@query
+def drafts_from_memory(spark, sf_dir):
+    """Drafts of all fields whose hits come from an index over the pairs of the conversations."""
+    f, pairs = drafting.expand_fields(B.field_cards(spark, sf_dir)), B.pairs(spark, sf_dir)
+    memory = index.open_index(spark).build(pairs, "id", "en_text")
+    r = drafting.run(f, drafting.remembered(f, memory), guards.flat_glossary(B.glossary(spark)), shouting)
+    ids = _lines(F.transform("tm_hits", lambda h: h["id"]))
+    return r.select("id", "draft_ko", ids.alias("hits"), F.md5(_lines(F.transform("tm_hits", lambda h: h["ko_text"]))).alias("targets"), F.round("tm_confidence", 9).alias("tm_confidence"))
+
+
 @query
 def model_counters(spark, sf_dir):
     f = drafting.expand_fields(B.field_cards(spark, sf_dir)).selectExpr("id", "'<card-text>\n' || en_text || '\n</card-text>' AS prompt")

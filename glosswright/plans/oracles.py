@@ -331,6 +331,13 @@ ORACLES = {
         CASE WHEN failed OR card_id % 3 = 0 THEN 0 ELSE 1 END::BIGINT AS n_hits, CASE WHEN failed THEN '' ELSE coalesce(terms, '') END AS terms, round(CASE WHEN failed THEN 0.0 ELSE conf END, 9) AS tm_confidence,
         CASE WHEN failed THEN '' ELSE coalesce(rec, '') END AS recording, CASE WHEN failed THEN '' ELSE guards END AS guards, NOT failed AND guards <> '' AS interrupted
       FROM d JOIN g USING (id) LEFT JOIN t USING (id) LEFT JOIN n USING (id)""",
+    "drafts_from_memory": f"""WITH {PAIRS}, {FIELDS}, documents AS (SELECT id AS doc_id, en_text AS text FROM pairs), benchmark AS (SELECT DISTINCT text AS item_id, text FROM ex), {BM25}, {CHAR},
+      u AS (SELECT 0 AS signal, * FROM {_full('bm')} UNION ALL SELECT 1, * FROM {_full('ch')}),
+      f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS score, min((signal, rank)) AS first FROM u GROUP BY ALL),
+      t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) AS n FROM f),
+      h AS (SELECT query_id, string_agg(doc_id, '|' ORDER BY n) AS hits, md5(string_agg(ko_text, '|' ORDER BY n)) AS targets, max(score) AS conf FROM t JOIN pairs ON id = doc_id WHERE n <= 3 GROUP BY query_id)
+      SELECT card_id || ':' || field AS id, CASE WHEN contains(text, 'steel') THEN '' ELSE upper(text) END AS draft_ko, CASE WHEN contains(text, 'steel') THEN '' ELSE hits END AS hits,
+        CASE WHEN contains(text, 'steel') THEN md5('') ELSE targets END AS targets, CASE WHEN contains(text, 'steel') THEN 0 ELSE round(conf, 9) END AS tm_confidence FROM ex JOIN h ON query_id = text""",
     "model_counters": f"WITH {FIELDS}, x AS (SELECT contains(text, 'steel') AS failed FROM ex) SELECT CASE WHEN failed THEN '' ELSE 'm1' END AS model_id, count(*) AS n, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failed FROM x GROUP BY x.failed",
     "observation_scores": "SELECT p_partkey AS card_id, 1 + (length(p_name) + length(p_type)) % 3 AS rule_score, CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN 1 + length(p_type) % 3 END AS flavor_score FROM part",
     "scoring_view": f"WITH {GLOSSARY} SELECT en, ko, source FROM gl WHERE regexp_matches(ko, '[가-힣]')",
