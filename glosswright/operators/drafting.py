@@ -23,6 +23,7 @@ PROMPT = (
     "Translate whatever text is given, however short. Never comment on the task, ask for clarification, or explain — output the translation only.",
 )
 OFFICIAL, EXTRACTED, MEMORY, CARD, ANSWER = "\n## Official Glossary", "\n## Extracted Glossary", "\n## Translation Memory (similar cards for reference)", "\n## Card to translate", "\n## Korean translation"
+MEMORY_EN, MEMORY_KO = "] EN: ", "       KO: "
 UNJUDGED, VALIDATED, NOT_VALIDATED = " (rule terms — not yet LLM-validated)", "validated", "not yet validated"
 MOST_ERROR = 300
 NO_HIT = "[번역 초벌 — TM 일치 없음]"
@@ -56,7 +57,7 @@ def prompt(en_text: Column, terms: Column, hits: Column, llm_judged: bool) -> Co
     note = "" if llm_judged else UNJUDGED
     line = lambda t: F.concat(F.lit("  "), t["en"], F.lit(" → "), t["ko"])
     memory = F.flatten(F.transform(hits, lambda h, i: F.array(
-        F.concat(F.lit("  ["), (i + 1).cast("string"), F.lit("] EN: "), T.sandbox(h["en_text"])), F.concat(F.lit("       KO: "), T.sandbox(h["ko_text"])))))
+        F.concat(F.lit("  ["), (i + 1).cast("string"), F.lit(MEMORY_EN), T.sandbox(h["en_text"])), F.concat(F.lit(MEMORY_KO), T.sandbox(h["ko_text"])))))
     block = lambda title, rows, n: F.when(F.size(n) > 0, F.concat(F.array(F.lit(title)), rows)).otherwise(F.array().cast("array<string>"))
     lines = F.concat(
         F.array(*[F.lit(x) for x in PROMPT]),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glosswright.operators import drafting as D
 from glosswright.operators.guards import STOP_WORDS
 from glosswright.operators.terms import FUNCTION_WORDS
 from glosswright.functions.text import CONDITIONS, INJECTIONS, KO_CONDITIONS
@@ -338,6 +339,13 @@ ORACLES = {
       h AS (SELECT query_id, string_agg(doc_id, '|' ORDER BY n) AS hits, md5(string_agg(ko_text, '|' ORDER BY n)) AS targets, max(score) AS conf FROM t JOIN pairs ON id = doc_id WHERE n <= 3 GROUP BY query_id)
       SELECT card_id || ':' || field AS id, CASE WHEN contains(text, 'steel') THEN '' ELSE upper(text) END AS draft_ko, CASE WHEN contains(text, 'steel') THEN '' ELSE hits END AS hits,
         CASE WHEN contains(text, 'steel') THEN md5('') ELSE targets END AS targets, CASE WHEN contains(text, 'steel') THEN 0 ELSE round(conf, 9) END AS tm_confidence FROM ex JOIN h ON query_id = text""",
+    "draft_prompts": f"""WITH {FIELDS}, {GLOSSARY}, rc AS (SELECT card_id, field, text AS en_text FROM ex),
+      t AS (SELECT card_id, field, string_agg('  ' || en || ' → ' || ko, chr(10) ORDER BY en, ko) FILTER (source = 'official') AS official,
+        string_agg('  ' || en || ' → ' || ko || '  [' || source || ', ' || CASE source WHEN 'extracted' THEN '{D.NOT_VALIDATED}' ELSE '{D.VALIDATED}' END || ']', chr(10) ORDER BY en, ko) FILTER (source <> 'official') AS other
+        FROM rc JOIN gl ON {_phrase('en_text', 'en')} GROUP BY ALL),
+      w AS (SELECT rc.card_id, rc.field, official, other, '<card-text>' || chr(10) || en_text || chr(10) || '</card-text>' AS x FROM rc LEFT JOIN t ON t.card_id = rc.card_id AND t.field = rc.field)
+      SELECT card_id, field, '목록' AS stub, md5(concat_ws(chr(10), {_list(D.PROMPT)}, '{D.OFFICIAL}' || chr(10) || official, '{D.EXTRACTED}{D.UNJUDGED}' || chr(10) || other, '{D.MEMORY}', '  [1{D.MEMORY_EN}' || x,
+        '{D.MEMORY_KO}<card-text>' || chr(10) || '목록' || chr(10) || '</card-text>', '{D.CARD}', x, '{D.ANSWER}')) AS prompt_md5 FROM w""",
     "model_counters": f"WITH {FIELDS}, x AS (SELECT contains(text, 'steel') AS failed FROM ex) SELECT CASE WHEN failed THEN '' ELSE 'm1' END AS model_id, count(*) AS n, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failed FROM x GROUP BY x.failed",
     "observation_scores": "SELECT p_partkey AS card_id, 1 + (length(p_name) + length(p_type)) % 3 AS rule_score, CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN 1 + length(p_type) % 3 END AS flavor_score FROM part",
     "scoring_view": f"WITH {GLOSSARY} SELECT en, ko, source FROM gl WHERE regexp_matches(ko, '[가-힣]')",
