@@ -37,8 +37,9 @@ def counted_pairs(rows: DataFrame, least: int, pairs_a_task: int = PAIRS) -> Dat
     """(e, k, cooccurrence) of at least `least`, from rows (es, ks) of distinct hashes.
 
     Pairs are dealt to a square of buckets by both hashes, so a row sends each side once per column or row of the square,
-    never its pairs. A bucket has its pairs whole: they are counted there, in steps, and only frequent ones leave it. The
-    more pairs there are, the more buckets, so neither a long row nor a frequent term is one task's work."""
+    never its pairs. A bucket has its pairs whole: they are counted there, in steps whose counts are added up whenever they
+    have grown, and only frequent ones leave it. The more pairs there are, the more buckets, so a long row or a frequent term
+    is spread; one pair that stands in very many rows is counted in its bucket, in memory that does not grow with them."""
     import numpy as np
     import pyarrow as pa
 
@@ -55,18 +56,21 @@ def counted_pairs(rows: DataFrame, least: int, pairs_a_task: int = PAIRS) -> Dat
         c, n = np.unique(np.concatenate(codes), return_counts=True)
         return ue[c // len(uk)], uk[c % len(uk)], n
 
+    def added(parts: list[tuple]) -> tuple:
+        """Counts of the same pair added up."""
+        e, k, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+        order = np.lexsort((k, e))
+        e, k, n = e[order], k[order], n[order]
+        first = np.flatnonzero(np.append(True, (e[1:] != e[:-1]) | (k[1:] != k[:-1]))) if len(e) else np.zeros(0, np.int64)
+        return e[first], k[first], np.add.reduceat(n, first) if len(e) else n
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, es, ks, size, done = None, [], [], 0, []
 
         def settled() -> pa.RecordBatch:
-            parts = done + ([steps(es, ks)] if es else [])
-            e, k, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
-            order = np.lexsort((k, e))
-            e, k, n = e[order], k[order], n[order]
-            first = np.flatnonzero(np.append(True, (e[1:] != e[:-1]) | (k[1:] != k[:-1]))) if len(e) else np.zeros(0, np.int64)
-            n = np.add.reduceat(n, first) if len(e) else n
+            e, k, n = added(done + ([steps(es, ks)] if es else []))
             ok = n >= least
-            return pa.RecordBatch.from_arrays([pa.array(e[first][ok]), pa.array(k[first][ok]), pa.array(n[ok])], ["e", "k", "cooccurrence"])
+            return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (e, k, n)], ["e", "k", "cooccurrence"])
 
         for b in batches:
             for at, e, k in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
@@ -79,6 +83,8 @@ def counted_pairs(rows: DataFrame, least: int, pairs_a_task: int = PAIRS) -> Dat
                 if size >= STEP:
                     done.append(steps(es, ks))
                     es, ks, size = [], [], 0
+                    if sum(len(p[0]) for p in done[1:]) > max(STEP, len(done[0][0])):
+                        done = [added(done)]
         yield settled()
 
     places = F.sequence(F.lit(0), F.lit(side - 1))

@@ -188,12 +188,13 @@ def test_verdict_without_ceilings_or_echo(spark):
     assert [r["final"] for r in evaluation.final_verdict(runs).collect()] == [True, False, True, False, False, False]
 
 
-def test_counted_pairs_in_any_square(spark):
+def test_counted_pairs_in_any_square(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(sorted({rng.randrange(-30, 30) for _ in range(rng.randrange(1, 20))}), sorted({rng.randrange(-30, 30) for _ in range(rng.randrange(1, 20))})) for _ in range(40)]
     want = Counter((e, k) for es, ks in rows for e in es for k in ks)
     df = spark.createDataFrame(rows, "es array<long>, ks array<long>")
-    for size in (10, 300, 10**6):
+    for size, step in ((10, terms.STEP), (300, 1), (10**6, 5)):
+        monkeypatch.setattr(terms, "STEP", step)
         got = terms.counted_pairs(df, 3, pairs_a_task=size).collect()
         assert {(r["e"], r["k"]): r["cooccurrence"] for r in got} == {p: n for p, n in want.items() if n >= 3} and len(got) == len({(r["e"], r["k"]) for r in got})
     assert terms.counted_pairs(df.limit(0), 1).count() == 0
