@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as T
-from glosswright.operators import drafting, evaluation, guards, index, judging, morphology, terms
+from glosswright.operators import drafting, evaluation, guards, index, judging, morphology, patterns, terms
 from glosswright.plans import bindings as B
 from glosswright.session import table, workspace
 from glosswright.sources import corpus, stores
@@ -23,17 +23,13 @@ def _lines(c):
     return F.array_join(c, "|")
 
 
-def arrays(rows: DataFrame, path: str, files: int = 8) -> str:
-    """Rows as files of one JSON array each."""
-    key = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
-    rows.groupBy(key.alias("_f")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).select("value").write.text(path, lineSep="\n")
-    return path
+FILE_ROWS = 5000
 
 
 def _each(spark: SparkSession, rows: DataFrame, name: str) -> str:
-    """As arrays, but a file per task, as Spark's reader takes one JSON value a file."""
+    """Rows as files of one JSON array each, of about FILE_ROWS rows, as Spark's reader takes one JSON value a file."""
     path = workspace(spark, name)
-    key = F.pmod(F.xxhash64(*rows.columns), F.lit(4))
+    key = F.pmod(F.xxhash64(*rows.columns), F.lit(max(1, -(-rows.count() // FILE_ROWS))))
     got = rows.groupBy(key.alias("_f")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
     got.write.partitionBy("_f").text(path)
     return path
@@ -164,11 +160,12 @@ def asset_sink(spark, sf_dir):
     official = table(spark, sf_dir, "nation").selectExpr("lower(n_name) AS id", "n_name AS name")
     found, gold = subtype.select(F.col("en_term").alias("term")), table(spark, sf_dir, "part").selectExpr("split(p_name, ' ')[0] AS term")
     g = stores.glossary_asset(official, subtype, rule, terms.extraction_scores(found, gold))
-    none = spark.createDataFrame([], "en_template string, ko_template string, count long")
-    stores.write_assets(g, none, terms.all_conflicts(subtype, rule), path)
+    found = patterns.extract(B.cards(spark, sf_dir).withColumn("ko_text", F.concat("ko_text", F.lit(". ok"))), least=3)
+    stores.write_assets(g, found.select("en_template", "ko_template", "count"), terms.all_conflicts(subtype, rule), path)
     counts = "struct<official:long,subtype_extracted:long,extracted:long,subtype_conflicts_held_back:long,conflicts_held_back:long>"
     r = spark.read.schema(f"official map<string,string>, counts {counts}, subtype_evaluation struct<tp:long,fp:long,fn:long>, llm_judged boolean").json(f"{path}/glossary")
-    return r.select(F.col("counts.official").alias("n_official"), F.size("official").cast("long").alias("n_map"), F.col("counts.subtype_extracted").alias("n_subtype"), F.col("counts.extracted").alias("n_extracted"),
+    kept = spark.read.schema("en_template string, ko_template string, count long").json(f"{path}/patterns").agg(F.count("*").alias("n_patterns"), F.sum("count").alias("n_sentences"))
+    return r.crossJoin(F.broadcast(kept)).select("n_patterns", "n_sentences", F.col("counts.official").alias("n_official"), F.size("official").cast("long").alias("n_map"), F.col("counts.subtype_extracted").alias("n_subtype"), F.col("counts.extracted").alias("n_extracted"),
                     F.col("counts.subtype_conflicts_held_back").alias("held_subtype"), F.col("counts.conflicts_held_back").alias("held"), "subtype_evaluation.tp", "subtype_evaluation.fp", "subtype_evaluation.fn", "llm_judged")
 
 

@@ -311,10 +311,10 @@ ORACLES = {
       UNION ALL SELECT lower(p_brand), string_agg(DISTINCT p_type, '|' ORDER BY p_type), 0, 0, 'rule' FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1""",
     "keyword_counts": """WITH k AS (SELECT len(string_split(p_name, ' ')) AS e, CASE WHEN p_partkey % 2 = 0 THEN list_append(string_split(p_type, ' '), 'PLUS') ELSE string_split(p_type, ' ') END AS k FROM part)
       SELECT count(*) AS with_keywords, count(*) FILTER (e <> len(k)) AS skipped_mismatch, coalesce(sum(len(list_filter(k, lambda x: x LIKE 'P%'))) FILTER (e = len(k)), 0)::BIGINT AS dropped_untranslated FROM k""",
-    "asset_sink": f"""WITH {KW_CONFLICTS}, r AS (SELECT count(DISTINCT p_type) AS n FROM part GROUP BY lower(p_brand)), g AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS t FROM part),
+    "asset_sink": f"""WITH {KW_CONFLICTS}, {CARDS}, cards2 AS (SELECT id, en_text, ko_text || '. ok' AS ko_text FROM cards), p AS ({_patterns('cards2')}), r AS (SELECT count(DISTINCT p_type) AS n FROM part GROUP BY lower(p_brand)), g AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS t FROM part),
       x AS (SELECT count(*) FILTER (en_term IS NOT NULL AND t IS NOT NULL) AS tp, count(*) FILTER (t IS NULL) AS fp, count(*) FILTER (en_term IS NULL) AS fn FROM kc FULL JOIN g ON kc.en_term = g.t)
       SELECT (SELECT count(*) FROM nation) AS n_official, (SELECT count(*) FROM nation) AS n_map, (SELECT count(*) FROM kc WHERE len(v) = 1) AS n_subtype, (SELECT count(*) FROM r WHERE n = 1) AS n_extracted,
-        (SELECT count(*) FROM kc WHERE len(v) > 1) AS held_subtype, (SELECT count(*) FROM r WHERE n > 1) AS held, tp, fp, fn, false AS llm_judged FROM x""",
+        (SELECT count(*) FROM kc WHERE len(v) > 1) AS held_subtype, (SELECT count(*) FROM r WHERE n > 1) AS held, tp, fp, fn, false AS llm_judged, (SELECT count(*) FROM p) AS n_patterns, (SELECT sum(count)::BIGINT FROM p) AS n_sentences FROM x""",
     "approved_store": """SELECT CAST(p_partkey AS VARCHAR) AS card_id, 'text' AS field, p_name AS en_text, p_type AS ko_draft, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS approved_ko,
       p_partkey % 2 = 0 AND p_name <> p_type AS modified, CASE WHEN p_partkey % 4 = 0 THEN 'new_term' ELSE 'rule_violation' END AS reasons FROM part WHERE p_partkey % 3 = 0""",
     "new_term_store": """WITH a AS (SELECT * FROM part WHERE p_partkey % 12 = 0) SELECT p_brand AS en_term, CASE WHEN p_partkey % 8 = 0 THEN p_name ELSE '' END AS ko_rendering, CAST(p_partkey AS VARCHAR) AS source_card_id, 'text' AS source_field, p_name AS approved_ko_context FROM a
