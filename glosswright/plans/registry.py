@@ -412,6 +412,31 @@ def edit_distance_stats(spark, sf_dir):
     return evaluation.gate3(distance.block_distance(p, "ko_text", "en_text"), evaluation.gate3_threshold(F.lit(0.9)))
 
 
+def _neighbours(spark, sf_dir):
+    """(hits, references): every tenth pair by a hash of its id, and the target of its nearest source among the others."""
+    p = B.pairs(spark, sf_dir)
+    held = F.pmod(F.xxhash64("id"), F.lit(10)) == 0
+    memory = index.open_index(spark, "bm25").build(p.filter(~held), "id", "en_text")
+    references = p.filter(held)
+    near = memory.hits(references.select(F.col("id").alias("query_id"), F.col("en_text").alias("text")), 1)
+    return near.select(F.col("query_id").alias("id"), F.col("row.ko_text").alias("hit_ko")), references
+
+
+@query
+def baseline_stats(spark, sf_dir):
+    """How far the nearest neighbour's target is from the reference, over all pairs that are held out."""
+    return distance.baseline_stats(*_neighbours(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("median", "mean", "lowest", "highest")})
+
+
+@query
+def gate3_of_baseline(spark, sf_dir):
+    """Drafts that say the source again, against the threshold that the baseline's median gives."""
+    hits, references = _neighbours(spark, sf_dir)
+    median = distance.baseline_stats(hits, references).first()["median"]  # one row
+    made = distance.block_distance(references, "en_text", "ko_text")
+    return evaluation.gate3(made, evaluation.gate3_threshold(F.lit(median))).withColumn("threshold", evaluation.gate3_threshold(F.lit(median))).withColumns({c: F.round(c, 9) for c in ("median", "mean", "lowest", "highest", "threshold")})
+
+
 @query
 def levenshtein_stats(spark, sf_dir):
     d = table(spark, sf_dir, "part").select("p_partkey", F.round(T.levenshtein_ratio(T.squeeze(F.col("p_name")), T.squeeze(F.lower("p_type"))), 9).alias("distance"))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glosswright.functions import text as T
+from glosswright.session import workspace
 
 # ---- fixed values ---------------------------------------------------------------------------------------------------
 GLOSSARY_CATEGORIES = ("card_subtypes", "card_types", "factions", "card_cycles", "card_sets")
@@ -100,15 +101,65 @@ def clean_corpus(en: DataFrame, ko: DataFrame, dates: DataFrame, keywords: DataF
     return out
 
 
-def seeded_split(corpus: DataFrame, hold_out: int = HOLD_OUT, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(hold-out, train) by the standard library's shuffle of the ordered ids: only ids come to the driver, as many as
-    the corpus has cards, so this is for a curated corpus; hash_split has no such bound."""
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """(the order's columns, place): 0-based places in that order, without a window over everything. Rows are sorted in ranges,
+    written once, and a row's place is its place in its range and the number of rows before that; one row a range is collected."""
+    path = workspace(rows.sparkSession, "numbered")
+    ranged = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.select(*order, F.spark_partition_id().alias("_range"), (F.monotonically_increasing_id() % (1 << 33)).alias("_nth")).write.parquet(path)
+    made, before = rows.sparkSession.read.parquet(path), [(-1, 0)]
+    for r in made.groupBy("_range").count().orderBy("_range").collect():
+        before.append((r["_range"], before[-1][1] + r["count"]))
+    starts = rows.sparkSession.createDataFrame([(b[0], a[1]) for a, b in zip(before, before[1:], strict=False)], "_range int, _start long")
+    return made.join(F.broadcast(starts), "_range").select(*order, (F.col("_start") + F.col("_nth")).alias("place"))
+
+
+def shuffled_places(n: int, heads: int, seed: int, stretch: int = 1 << 20) -> list[int]:
+    """Which of n places come first, in order, when the standard library shuffles them with this seed.
+
+    The draws of a shuffle depend on n and the seed only. They are followed backwards for the first places, a stretch at a
+    time from states of the generator kept on the way, so memory is the heads and a state a stretch; time is n draws, twice."""
     import random
 
-    ids = [r["id"] for r in corpus.select("id", "date").orderBy("date", "id").collect()]
-    random.Random(seed).shuffle(ids)
-    picked = corpus.sparkSession.createDataFrame([(i, n) for n, i in enumerate(ids[:hold_out])], "id string, pos int")
-    return corpus.join(picked, "id"), corpus.join(picked, "id", "left_anti")
+    rng, states = random.Random(seed), []
+
+    def drawn(top: int) -> list[int]:
+        out = []
+        for i in range(top, max(top - stretch, 0), -1):
+            bits = (i + 1).bit_length()
+            j = rng.getrandbits(bits)
+            while j > i:
+                j = rng.getrandbits(bits)
+            out.append(j)
+        return out
+
+    tops = list(range(n - 1, 0, -stretch))
+    for top in tops:
+        states.append(rng.getstate())
+        drawn(top)
+    at = {i: i for i in range(min(heads, n))}  # place so far -> place at the end
+    for top in reversed(tops):
+        rng.setstate(states.pop())
+        swaps = drawn(top)
+        for k in range(len(swaps) - 1, -1, -1):
+            i, j = top - k, swaps[k]
+            if i != j and (i in at or j in at):
+                a, b = at.pop(i, None), at.pop(j, None)
+                if b is not None:
+                    at[i] = b
+                if a is not None:
+                    at[j] = a
+    return [place for place, _ in sorted(at.items(), key=lambda x: x[1])]
+
+
+def seeded_split(corpus: DataFrame, hold_out: int = HOLD_OUT, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(hold-out with its place `pos`, train) by the standard library's shuffle of the ordered ids, which are unique. The driver
+    gets the number of ids and draws as often (see shuffled_places), never an id; hash_split needs no draws."""
+    places = numbered(corpus, "date", "id")
+    heads = shuffled_places(places.count(), hold_out, seed)
+    spark = corpus.sparkSession
+    held = places.join(F.broadcast(spark.createDataFrame([(p, i) for i, p in enumerate(heads)], "place long, pos int")), "place").select("id", "pos")
+    return corpus.join(F.broadcast(held), "id"), corpus.join(F.broadcast(held), "id", "left_anti")
 
 
 def hash_order(id_col: Column) -> Column:

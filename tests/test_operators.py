@@ -215,6 +215,56 @@ def test_pattern_parts(spark, monkeypatch):
     assert (r["count"], r["examples"]) == (200, [0, 1, 2])
 
 
+@pytest.mark.parametrize("cells", [1 << 29, 1 << 15])
+def test_rare_templates_stay_behind(spark, monkeypatch, cells):
+    """Rows of hashes that stand in `least` rows all pass, most others don't; with few cells more pass and nothing is lost."""
+    monkeypatch.setattr(patterns, "MOST_CELLS", cells)
+    rows = [(i, f"Word{'a' * (i % 7)} {chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{chr(97 + i // 676)}.", "가.") for i in range(9000)] + [(i, "Gain 3.", "얻는다.") for i in range(9000, 9005)]
+    rows += [(i, f"Pair {i // 2 % 2}x{chr(97 + i % 4 // 2)}.", "둘.") for i in range(9005, 9009)]
+    p = spark.createDataFrame(rows, PAIR).repartition(6)
+    t = patterns.templates(p)
+    counts = Counter((r["en_template"], r["ko_template"]) for r in t.collect())
+    passed = Counter((r["en_template"], r["ko_template"]) for r in patterns.able(t, 3, t.count(), cells).collect())
+    assert all(passed[k] == (n if n >= 3 else passed[k]) and passed[k] in (0, n) for k, n in counts.items())
+    assert sum(passed.values()) < sum(counts.values()) / (2 if cells > 1 << 20 else 1.05)
+    got = {(r["en_template"], r["ko_template"]): r["count"] for r in patterns.extract(p, least=3).collect()}
+    assert got == {k: n for k, n in counts.items() if n >= 3}
+    assert patterns.extract(p.limit(0)).count() == 0 and patterns.extract(p, least=1).count() == len(counts)
+
+
+def test_block_distance_is_the_matchers(spark):
+    """Against the standard library's matcher, with popular characters, repeats, long texts and astral ones."""
+    from difflib import SequenceMatcher
+
+    rng, alphabets = random.Random(5), ["ab", "abcdefg 가나다", "etaoin" + "".join(map(chr, range(200, 600))), "x\U0001f600y"]
+    word = lambda a, n: "".join(rng.choice(a) for _ in range(rng.randrange(n)))
+    both = []
+    for k in range(400):
+        a = rng.choice(alphabets)
+        x = word(a, rng.choice((6, 60, 500)))
+        y = "".join(c if rng.random() < 0.9 else rng.choice(a) for c in x) if k % 2 else word(a, rng.choice((6, 60, 500)))
+        both.append((k, x, y + word(a, 9)))
+    assert all(2 * distance.in_blocks(x, y) == round(SequenceMatcher(None, x, y).ratio() * (len(x) + len(y))) for _, x, y in both if x or y)
+    d = distance.block_distance(spark.createDataFrame([*both, (900, None, None), (901, "", " "), (902, "q" * 5000, "q" * 4000)], "id int, p string, r string"), "p", "r")
+    got = {r["id"]: r["distance"] for r in d.collect()}
+    flat = lambda s: " ".join(s.split())
+    assert all(got[k] == 1.0 - SequenceMatcher(None, flat(x), flat(y)).ratio() for k, x, y in both)
+    assert (got[900], got[901]) == (0.0, 0.0) and got[902] == 1.0 - 8000 / 9000
+
+
+def test_baseline(spark):
+    """Misses count 1; the threshold of gate 3 is a share of the median."""
+    from difflib import SequenceMatcher
+
+    references = spark.createDataFrame([(1, "tide"), (2, "same"), (3, "lost"), (4, None)], "id long, ko_text string")
+    hits = spark.createDataFrame([(1, "diet"), (2, "same"), (4, "")], "id long, hit_ko string")
+    r = one(distance.baseline_stats(hits, references))
+    near = 1.0 - SequenceMatcher(None, "diet", "tide").ratio()  # the neighbour comes first
+    assert (r["n"], r["lowest"], r["highest"], r["mean"], r["median"]) == (4, 0.0, 1.0, (near + 1) / 4, near / 2)
+    assert one(distance.baseline_stats(hits, references.limit(0))) == {"n": 0, "median": None, "mean": None, "lowest": None, "highest": None}
+    assert abs(one(references.limit(1).select(evaluation.gate3_threshold(F.lit(0.5)).alias("t")))["t"] - 0.35) < 1e-12
+
+
 def test_morphology(spark):
     from glosswright.operators import morphology
 

@@ -48,6 +48,15 @@ def test_splits(spark):
     random.Random(42).shuffle(ids)
     held, train = corpus.seeded_split(rows, 5)
     assert [r["id"] for r in held.orderBy("pos").collect()] == ids[:5] and {r["id"] for r in train.collect()} == set(ids[5:])
+    for n, heads, stretch in ((0, 3, 4), (1, 3, 4), (97, 10, 16), (97, 200, 1), (3000, 40, 512)):
+        want = list(range(n))
+        random.Random(n).shuffle(want)
+        assert corpus.shuffled_places(n, heads, n, stretch) == want[:heads]
+    many = spark.createDataFrame([(f"{i * 37 % 501:04d}", f"d{i % 3}") for i in range(501)], "id string, date string").repartition(9)
+    places = [(r["date"], r["id"]) for r in corpus.numbered(many, "date", "id").orderBy("place").collect()]
+    assert places == sorted((r["date"], r["id"]) for r in many.collect())
+    assert [r["place"] for r in corpus.numbered(many, "date", "id").orderBy("place").collect()] == list(range(501))
+    assert corpus.numbered(many.limit(0), "id").count() == 0
     h = corpus.hash_split(spark.range(50), 7)
     assert h.filter("held").count() == 7 and h.count() == 50
 
