@@ -102,7 +102,7 @@ CC = {
 }
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 
-#: Sentences of license texts and notices: label, pattern, keyword, score (fixed values).
+#: Sentences of license texts and notices: label, pattern, keywords (every match holds one), score (fixed values).
 SENTENCES: list[tuple[str, str, str, float]] = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby", 0.99),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies", "permission notice", 0.9),
@@ -140,10 +140,10 @@ SENTENCES: list[tuple[str, str, str, float]] = [
     ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source", 0.95),
     ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "redistributions in binary", 0.95),
     ("bsd", "this software is provided by the copyright holders and contributors as is", "copyright holders", 0.9),
-    ("bsd", "this software is provided by the regents and contributors as is (?:.{0,200} )?copyright", "regents", 0.9),
+    ("bsd", "this software is provided by the regents and contributors as is", "regents", 0.9),
     ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse", "endorse", 0.97),
     ("bsd-3-clause-clear", "no express or implied licenses to any party s patent rights are granted by this license", "patent rights", 0.97),
-    ("bsd-4-clause", "this product includes software developed by .{1,80}? (?:and its contributors )?redistribut", "product includes software", 0.8),
+    ("bsd-4-clause", "this product includes software developed by", "product includes software", 0.6),
     ("bsd-2-clause-patent", "each copyright holder and contributor hereby grants to those receiving rights under this license a perpetual", "copyright holder", 0.97),
     ("apache-1.1", "this product includes software developed by the apache software foundation", "apache software", 0.97),
     ("apache-1.1", "products derived from this software may not be called apache", "be called apache", 0.97),
@@ -153,13 +153,13 @@ SENTENCES: list[tuple[str, str, str, float]] = [
     ("apache-2.0", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", "hereby grants", 0.95),
     ("apache-2.0-llvm", "apache license v2 0 with llvm exceptions", "llvm exceptions", 0.98),
     ("gpl", "you should have received a copy of the gnu general public license along with this program", "general public", 0.95),
-    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty (?:.{0,120} )?gnu general public license", "general public", 0.9),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty", "in the hope", 0.8),
     ("gpl", "the licenses for most software are designed to take away your freedom to share and change it", "freedom to share", 0.97),
     ("gpl-2.0", "version 2 of the license only", "of the license", 0.9),
     ("gpl-2.0", "published by the free software foundation version 2", "free software", 0.9),
     ("gpl-3.0", "published by the free software foundation version 3", "free software", 0.9),
     ("gpl-3.0", "the gnu general public license is a free copyleft license for software and other kinds of works", "copyleft", 0.97),
-    ("gpl-classpath", "linking this library statically or dynamically with other modules is making a combined work (?:.{0,200} )?license", "combined work", 0.9),
+    ("gpl-classpath", "linking this library statically or dynamically with other modules is making a combined work", "combined work", 0.9),
     ("gpl-linking-exception", "as a special exception the copyright holders of this library give you permission to link this library", "special exception", 0.95),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser general", 0.97),
     ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", "lesser general", 0.95),
@@ -167,12 +167,12 @@ SENTENCES: list[tuple[str, str, str, float]] = [
     ("lgpl-3.0", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3", "lesser general", 0.97),
     ("agpl-3.0", "the gnu affero general public license is a free copyleft license for software and other kinds of works", "affero", 0.97),
     ("agpl-3.0", "you should have received a copy of the gnu affero general public license along with this program", "affero", 0.95),
-    ("agpl-3.0", "if you modify the program your modified version must prominently offer all users interacting with it remotely (?:.{0,200} )?license", "interacting with it remotely", 0.9),
+    ("agpl-3.0", "if you modify the program your modified version must prominently offer all users interacting with it remotely", "interacting with it remotely", 0.9),
     ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "free documentation", 0.97),
     ("gfdl", "with no invariant sections no front cover texts and no back cover texts a copy of the license", "invariant sections", 0.95),
     ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", "mozilla public", 0.98),
     ("mpl-1.1", "software distributed under the license is distributed on an as is basis without warranty of any kind", "as is basis", 0.6),
-    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at (?:.{0,20} )?mozilla org", "copy of the mpl", 0.98),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl", 0.98),
     ("epl-1.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", "accompanying materials", 0.98),
     ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v ?)?2 0", "accompanying materials", 0.98),
     ("epl", "the accompanying program is provided under the terms of this eclipse public license", "accompanying program", 0.97),
@@ -183,7 +183,7 @@ SENTENCES: list[tuple[str, str, str, float]] = [
     ("eupl", "this work is licensed under the eupl|licensed under the eupl", "eupl", 0.95),
     ("osl-3.0", "licensed under the open software license version 3 0", "open software", 0.98),
     ("afl-3.0", "licensed under the academic free license version 3 0", "academic free", 0.98),
-    ("artistic-1.0", "the intent of this document is to state the conditions under which a package may be copied (?:.{0,200} )?copyright", "package may be copied", 0.95),
+    ("artistic-1.0", "the intent of this document is to state the conditions under which a package may be copied", "package may be copied", 0.95),
     ("artistic", "you may redistribute it and or modify it under the same terms as perl itself", "same terms as perl", 0.9),
     ("artistic-2.0", "this license establishes the terms under which a given free software package may be copied modified distributed", "free software package", 0.97),
     ("boost-1.0", "distributed under the boost software license version 1 0", "boost software", 0.98),
@@ -192,19 +192,19 @@ SENTENCES: list[tuple[str, str, str, float]] = [
     ("cecill", "this software is governed by the cecill(?: [abc])? license", "cecill", 0.97),
     ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", "font software", 0.98),
     ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications", "commercial applications", 0.97),
-    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software (?:.{0,120} )?redistribut", "plainly marked", 0.9),
-    ("libpng", "the png reference library is supplied as is (?:.{0,80} )?copyright", "png reference", 0.9),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "plainly marked", 0.9),
+    ("libpng", "the png reference library is supplied as is", "png reference", 0.9),
     ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free", 0.9),
     ("unlicense", "for more information please refer to (?:http|https) unlicense org", "unlicense", 0.97),
     ("wtfpl-2", "you just do what the fuck you want to (?:.{0,60} )?public license", "public license", 0.97),
     ("ncsa", "permission is hereby granted free of charge (?:.{0,160} )?to deal with the software without restriction", "deal with the software", 0.95),
     ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", "openssl toolkit", 0.97),
     ("openssl", "redistributions of any form whatsoever must retain the following acknowledgment", "redistributions of any form", 0.9),
-    ("php-3.01", "this product includes php software freely available from (?:.{0,20} )?php net (?:.{0,80} )?license", "php software", 0.95),
+    ("php-3.01", "this product includes php software freely available from", "php software", 0.95),
     ("php-3.01", "this source file is subject to version 3 01 of the php license", "php license", 0.98),
     ("python-2.0", "python software foundation license version 2|psf license agreement for python", "license", 0.97),
     ("ruby", "you can redistribute it and or modify it under either the terms of the 2 clause bsdl", "2 clause bsdl", 0.97),
-    ("vim", "vim is charityware (?:.{0,120} )?(?:copyright|license|permission)", "charityware", 0.95),
+    ("vim", "vim is charityware", "charityware", 0.95),
     ("postgresql", "permission to use copy modify and distribute this software (?:.{0,60} )?without fee and without a written agreement", "written agreement", 0.95),
     ("ecl-2.0", "licensed under the educational community license version 2 0", "educational community", 0.98),
     ("upl-1.0", "the universal permissive license upl version 1 0", "universal permissive", 0.98),
@@ -212,35 +212,165 @@ SENTENCES: list[tuple[str, str, str, float]] = [
     ("mulanpsl-2.0", "licensed under mulan psl v2", "mulan psl", 0.98),
     ("busl-1.1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "non production use", 0.97),
     ("busl-1.1", "change date (?:.{0,60} )?change license", "change license", 0.7),
-    ("sspl-1.0", "if you make the functionality of the program or a modified version available to third parties as a service (?:.{0,200} )?license", "as a service", 0.9),
-    ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service (?:.{0,120} )?(?:license|copyright)", "managed service", 0.9),
+    ("sspl-1.0", "if you make the functionality of the program or a modified version available to third parties as a service", "as a service", 0.9),
+    ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service", "managed service", 0.9),
     ("commons-clause", "without limiting other conditions in the license the grant of rights under the license will not include (?:.{0,60} )?right to sell", "right to sell", 0.97),
-    ("openrail", "use based restrictions (?:.{0,120} )?license|responsible ai license", "license", 0.8),
+    ("openrail", "use based restrictions", "use based restrictions", 0.6),
+    ("openrail", "responsible ai license", "responsible ai", 0.9),
     ("llama", "meta llama [0-9](?: [0-9])? is licensed under the meta llama", "meta llama", 0.97),
     ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain", "public domain", 0.97),
     ("cc0-1.0", "to the extent possible under law .{1,80}? (?:has|have) waived all copyright", "waived all copyright", 0.97),
-    ("cc-by", "you are free to share and adapt (?:.{0,80} )?attribution (?:.{0,80} )?license", "attribution", 0.7),
+    ("cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made", "appropriate credit", 0.7),
     ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license", "same license", 0.95),
-    ("cc-by-nc", "you may not use the material for commercial purposes (?:.{0,80} )?license", "commercial purposes", 0.8),
-    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material (?:.{0,80} )?license", "modified material", 0.9),
+    ("cc-by-nc", "you may not use the material for commercial purposes", "commercial purposes", 0.8),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material", "modified material", 0.9),
     ("public-domain", "no copyright is claimed|no copyright reserved|not subject to copyright protection", "copyright", 0.85),
-    ("public-domain", "united states government work (?:.{0,120} )?public domain|public domain in the united states", "public domain", 0.85),
-    ("us-government", "this software was developed by employees of .{1,80}? pursuant to title 17 (?:.{0,200} )?copyright", "title 17", 0.85),
+    ("public-domain", "public domain in the united states", "public domain", 0.85),
+    ("us-government", "(?:a )?work of the united states government", "united states government", 0.8),
+    ("us-government", "this software was developed by employees of .{1,80}? pursuant to title 17", "title 17", 0.85),
     ("odbl-1.0", "this database is made available under the open database license", "open database", 0.98),
     ("odc-by-1.0", "made available under the open data commons attribution license", "open data commons", 0.98),
     ("pddl-1.0", "made available under the public domain dedication and license", "dedication and license", 0.98),
-    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer (?:.{0,40} )?license|beer ?ware license", "license", 0.95),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer", "meet some day", 0.95),
+    ("beerware", "beer ?ware license", "ware license", 0.95),
     ("json", "the software shall be used for good not evil", "for good", 0.95),
     ("json", "json license", "json license", 0.9),
     ("curl", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", "permission to use", 0.9),
-    ("ijg", "this software is based in part on the work of the independent jpeg group (?:.{0,40} )?(?:copyright|license|permission)", "independent jpeg", 0.9),
+    ("ijg", "this software is based in part on the work of the independent jpeg group", "independent jpeg", 0.9),
     ("freetype", "portions of this software are copyright (?:.{0,30} )?the freetype project", "freetype", 0.97),
     ("intel-acpi", "intel grants to any recipient (?:.{0,80} )?under intel s copyrights", "intel s copyrights", 0.9),
     ("proprietary", "this software is the confidential and proprietary information of", "proprietary information", 0.9),
-    ("proprietary", "no part of this (?:publication|document|work|book) may be reproduced (?:.{0,120} )?permission", "may be reproduced", 0.7),
-    ("proprietary", "you may not copy modify distribute or create derivative works (?:.{0,120} )?(?:permission|license)", "derivative works", 0.6),
+    ("proprietary", "no part of this (?:publication|document|work|book) may be reproduced", "may be reproduced", 0.6),
+    ("proprietary", "you may not copy modify distribute or create derivative works", "derivative works", 0.6),
     ("proprietary", "end user license agreement", "license agreement", 0.6),
     ("proprietary", "licensed not sold", "not sold", 0.6),
+    ("mit", "the software is furnished to do so subject to the following conditions|whom the software is furnished to do so", "software is furnished", 0.9),
+    ("mit", "to use copy modify merge publish distribute sublicense and or sell copies of the software", "merge publish distribute", 0.95),
+    ("mit-modern", "permission is hereby granted without written agreement and without license or royalty fees to use reproduce prepare derivative works", "permission is hereby", 0.95),
+    ("mit-festival", "permission is hereby granted free of charge to use and distribute this software and its documentation without restriction", "permission is hereby", 0.95),
+    ("mit-enna", "permission notice shall be included in all copies of the software and its copyright notices", "permission notice", 0.9),
+    ("mit-advertising", "except as contained in this notice the names? of .{1,60}? shall not be used in advertising or otherwise to promote the sale", "advertising", 0.97),
+    ("x11", "x window system is a trademark of", "x window system", 0.9),
+    ("ntp", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted provided that the above copyright notice appears in all copies", "permission to use", 0.97),
+    ("hpnd", "not be used in advertising or publicity pertaining to distribution of the software without specific written prior permission", "publicity pertaining", 0.95),
+    ("hpnd-sell", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", "permission to use", 0.97),
+    ("smlnj", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notice appear in all copies", "permission to use", 0.96),
+    ("tcl", "existing copyright notices are retained in all copies and that this notice is included verbatim in any distributions", "included verbatim", 0.97),
+    ("tcl", "the authors hereby grant permission to use copy modify distribute and license this software", "authors hereby grant", 0.97),
+    ("icu", "provided that the above copyright notices? and this permission notice appear in all copies of the data files or software", "data files or software", 0.97),
+    ("unicode", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", "unicode data files", 0.98),
+    ("unicode", "unicode license agreement data files and software|unicode terms of use", "unicode", 0.95),
+    ("w3c", "by obtaining using and or copying this work you the licensee agree that you have read understood and will comply", "obtaining using", 0.97),
+    ("w3c", "w3c software notice and license|w3c software and document notice", "w3c software", 0.97),
+    ("w3c", "this work is being provided by the copyright holders under the following license", "copyright holders under", 0.9),
+    ("bsd", "this software is provided by the author and contributors as is", "author and contributors", 0.9),
+    ("bsd", "this software is provided by the author as is and any express or implied warranties", "provided by the author", 0.9),
+    ("bsd", "in no event shall the (?:regents|copyright (?:holder|owner)s?|authors?) or contributors be liable for any direct indirect incidental special exemplary or consequential damages", "exemplary or consequential", 0.9),
+    ("bsd", "however caused and on any theory of liability whether in contract strict liability or tort", "theory of liability", 0.85),
+    ("bsd", "use of this source code is governed by a bsd style license that can be found in the license file", "bsd style", 0.97),
+    ("bsd-3-clause", "the name of the author may not be used to endorse or promote products derived from this software", "endorse or promote", 0.9),
+    ("bsd-3-clause-lbnl", "you are under no obligation whatsoever to provide any bug fixes patches or upgrades", "bug fixes patches", 0.97),
+    ("bsd-3-clause-no-nuclear", "software is not designed licensed or intended for use in the design construction operation or maintenance of any nuclear facility", "nuclear facility", 0.97),
+    ("bsd-4-clause-uc", "this product includes software developed by the university of california berkeley and its contributors", "university of california", 0.97),
+    ("bsd-source-code", "redistributions of source code must retain the copyright notice this list of conditions", "redistributions of source", 0.9),
+    ("bsd-protection", "bsd protection license", "bsd protection", 0.98),
+    ("apache-1.0", "redistributions of any form whatsoever must retain the following acknowledgment this product includes software developed by the apache group", "apache group", 0.97),
+    ("apache-2.0", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license", "patent license", 0.96),
+    ("apache-2.0", "you must cause any modified files to carry prominent notices stating that you changed the files", "prominent notices", 0.95),
+    ("apache-2.0", "this license does not grant permission to use the trade names trademarks service marks or product names of the licensor", "trade names", 0.95),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not write to the free software foundation", "write to the free software", 0.97),
+    ("gpl", "when we speak of free software we are referring to freedom not price", "freedom not price", 0.97),
+    ("gpl", "the precise terms and conditions for copying distribution and modification follow", "precise terms", 0.9),
+    ("gpl-2.0", "you may copy and distribute verbatim copies of the program s source code as you receive it", "verbatim copies", 0.95),
+    ("gpl-2.0", "each time you redistribute the program or any work based on the program", "work based on the program", 0.95),
+    ("gpl-3.0", "you may convey verbatim copies of the program s source code as you receive it", "convey verbatim", 0.97),
+    ("gpl-3.0", "a covered work means either the unmodified program or a work based on the program", "covered work", 0.97),
+    ("gpl-3.0", "to propagate a work means to do anything with it", "propagate a work", 0.97),
+    ("gpl-autoconf-exception", "if you distribute this file as part of a program that contains a configuration script generated by autoconf", "generated by autoconf", 0.97),
+    ("gpl-bison-exception", "you may create a larger work that contains part or all of the bison parser skeleton", "bison parser", 0.97),
+    ("gpl-gcc-exception", "gcc runtime library exception", "gcc runtime", 0.98),
+    ("gpl-openssl-exception", "permission to link the code of portions of this program with the openssl library", "openssl library", 0.97),
+    ("gpl-font-exception", "if you create a document which uses this font and embed this font or unaltered portions", "embed this font", 0.97),
+    ("lgpl", "the lesser general public license permits more lax criteria for linking other code with the library", "lax criteria", 0.97),
+    ("lgpl", "a program that contains no derivative of any portion of the library but is designed to work with the library", "no derivative of any portion", 0.97),
+    ("lgpl-3.0", "an application is any work that makes use of an interface provided by the library", "interface provided by the library", 0.95),
+    ("gfdl", "the purpose of this license is to make a manual textbook or other functional and useful document free", "manual textbook", 0.97),
+    ("gfdl", "a secondary section is a named appendix or a front matter section", "secondary section", 0.95),
+    ("mpl", "licensable means having the right to grant to the maximum extent possible", "licensable means", 0.9),
+    ("mpl-1.1", "alternatively the contents of this file may be used under the terms of", "contents of this file", 0.85),
+    ("mpl-2.0-no-copyleft-exception", "this source code form is incompatible with secondary licenses", "secondary licenses", 0.97),
+    ("npl", "the contents of this file are subject to the netscape public license", "netscape public", 0.98),
+    ("spl", "the contents of this file are subject to the sun public license", "sun public", 0.98),
+    ("apsl", "this file contains original code and or modifications of original code as defined in and that are subject to the apple public source license", "apple public source", 0.98),
+    ("apple-sample", "in consideration of your agreement to the following terms and your use installation modification or redistribution of this apple software", "apple software", 0.97),
+    ("ipl", "ibm public license", "ibm public", 0.97),
+    ("epl", "contributor means any person or entity that distributes the program", "distributes the program", 0.85),
+    ("cddl", "modifications means the source code and executable form of any of the following", "source code and executable form", 0.85),
+    ("artistic", "the copyright holder maintains some semblance of artistic control", "artistic control", 0.97),
+    ("artistic-1.0-perl", "you may otherwise modify your copy of this package in any way provided that you insert a prominent notice", "copy of this package", 0.95),
+    ("artistic-clarified", "clarified artistic license", "clarified artistic", 0.98),
+    ("ofl-1.1", "the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself", "font software", 0.95),
+    ("ofl-1.1", "this license is available with a faq at (?:http|https) scripts sil org ofl", "sil org", 0.98),
+    ("ofl", "reserved font name", "reserved font name", 0.8),
+    ("bitstream-vera", "permission is hereby granted free of charge to any person obtaining a copy of the fonts accompanying this license", "fonts accompanying", 0.97),
+    ("ubuntu-font", "ubuntu font licen[cs]e", "ubuntu font", 0.98),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", "must not be misrepresented", 0.95),
+    ("zlib", "this notice may not be removed or altered from any source distribution", "removed or altered", 0.95),
+    ("bzip2", "bzip2 and libbzip2 (?:are )?copyright|this program bzip2", "bzip2", 0.9),
+    ("infozip", "for the purposes of this copyright and license info zip is defined as", "info zip", 0.97),
+    ("libtiff", "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee provided that .{1,200}? sam leffler", "sam leffler", 0.97),
+    ("imagemagick", "imagemagick studio llc|governed by the imagemagick license", "imagemagick", 0.9),
+    ("sqlite-blessing", "may you do good and not evil may you find forgiveness for yourself and forgive others", "forgiveness for yourself", 0.98),
+    ("unlicense", "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest", "copyright interest", 0.97),
+    ("cc0-1.0", "certain owners wish to permanently relinquish those rights to a work", "permanently relinquish", 0.97),
+    ("cc0-1.0", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives", "unconditionally waives", 0.97),
+    ("cc-by", "by exercising the licensed rights you accept and agree to be bound by the terms and conditions of this creative commons attribution", "licensed rights", 0.9),
+    ("cc-by", "the licensor waives the right to collect royalties for any exercise by you of the rights granted", "collect royalties", 0.85),
+    ("cc-sampling-plus", "creative commons sampling plus", "sampling plus", 0.97),
+    ("cc-devnations", "creative commons developing nations", "developing nations", 0.97),
+    ("public-domain", "the authors? (?:has|have) placed this (?:file|work|code|software) in the public domain", "public domain", 0.95),
+    ("public-domain", "dedicates? (?:any and all copyright interest|this work) to the public domain|no known copyright restrictions", "public domain|copyright restrictions", 0.85),
+    ("us-government", "this work was prepared as an account of work sponsored by an agency of the united states government", "united states government", 0.9),
+    ("us-government", "not subject to copyright protection (?:with)?in the united states", "copyright protection", 0.9),
+    ("nist", "this software was developed at the national institute of standards and technology", "national institute of standards", 0.95),
+    ("nasa-1.3", "nasa open source agreement", "nasa open source", 0.98),
+    ("ogl-uk-3.0", "contains public sector information licensed under the open government licence", "public sector information", 0.98),
+    ("etalab-2.0", "licence ouverte (?:open licence|etalab)|licence ouverte", "licence ouverte", 0.9),
+    ("cdla-permissive", "community data license agreement permissive", "community data license", 0.98),
+    ("cdla-sharing", "community data license agreement sharing", "community data license", 0.98),
+    ("odbl-1.0", "any rights in individual contents of the database are licensed under the database contents license", "database contents", 0.97),
+    ("osm", "openstreetmap contributors", "openstreetmap contributors", 0.8),
+    ("hippocratic", "hippocratic license", "hippocratic", 0.95),
+    ("anti-996", "anti 996 license", "anti 996", 0.97),
+    ("polyform", "polyform (?:noncommercial|small business|shield|strict|internal use|free trial|perimeter) license", "polyform", 0.98),
+    ("prosperity", "prosperity public license", "prosperity public", 0.98),
+    ("parity", "parity public license", "parity public", 0.98),
+    ("confluent", "confluent community license", "confluent community", 0.98),
+    ("redis-source-available", "redis source available license", "redis source", 0.98),
+    ("timescale", "timescale license agreement", "timescale license", 0.98),
+    ("gemma", "gemma is provided under and subject to the gemma terms of use|gemma terms of use", "gemma terms", 0.97),
+    ("llama", "llama [0-9](?: [0-9])? community license agreement", "community license", 0.97),
+    ("openrail", "you agree not to use the model or derivatives of the model", "derivatives of the model", 0.9),
+    ("openrail", "bigcode open ?rail m", "bigcode", 0.97),
+    ("nvidia", "nvidia corporation and its licensors retain all intellectual property", "nvidia corporation", 0.95),
+    ("qpl", "q public license", "q public", 0.95),
+    ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code", "complete source code", 0.97),
+    ("jpl", "this software is provided as is by the california institute of technology|technology transfer at the california institute of technology", "california institute", 0.9),
+    ("cern-ohl", "cern open hardware licen[cs]e", "cern open", 0.98),
+    ("watcom", "sybase open watcom public license", "open watcom", 0.98),
+    ("naumen", "naumen public license", "naumen", 0.98),
+    ("fair", "usage of the works is permitted provided that this instrument is retained with the works", "this instrument is retained", 0.98),
+    ("fsfap", "copying and distribution of this file with or without modification are permitted in any medium without royalty", "without royalty", 0.97),
+    ("fsful", "this configure script is free software the free software foundation gives unlimited permission to copy distribute and modify it", "unlimited permission", 0.97),
+    ("gpl", "this file is free software the free software foundation gives unlimited permission", "unlimited permission", 0.5),
+    ("latex-lppl", "this work may be distributed and or modified under the conditions of the latex project public license", "latex project", 0.98),
+    ("latex-lppl", "this work has the lppl maintenance status", "lppl maintenance", 0.98),
+    ("knuth-ctan", "this file may be freely copied and distributed provided that no changes whatsoever are made", "no changes whatsoever", 0.9),
+    ("newsletr", "permission is granted to reproduce this document in whole or in part for non ?commercial", "reproduce this document", 0.8),
+    ("proprietary", "this (?:software|document|material) contains (?:trade secrets|confidential information) of", "trade secrets|confidential information", 0.8),
+    ("proprietary", "reverse engineer decompile or disassemble", "decompile or disassemble", 0.8),
+    ("proprietary", "for internal use only do not (?:copy|distribute)|not for redistribution", "internal use only|not for redistribution", 0.6),
+    ("proprietary", "for personal non ?commercial use only", "use only", 0.5),
     ("copyright-notice", "copyright (?:c )?(?:by )?[a-z][a-z0-9 ]{1,60}? [12][0-9]{3}", "copyright", 0.25),
     ("proprietary", "all rights reserved", "all rights reserved", 0.4),
     ("proprietary", "(?:confidential and proprietary|proprietary and confidential)", "proprietary", 0.8),
@@ -250,13 +380,27 @@ SENTENCES: list[tuple[str, str, str, float]] = [
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
-#: Every match of a rule holds one of these at a word's start; it is tried on the text as it is, in any case, before
-#: anything is rewritten.
-GATE = r"(?i)(?<![0-9A-Za-z\x80-\x{10FFFF}])(?:" + "|".join((
-    "licen[sc]", "spdx", "unlicense", "creative ?commons", f"cc{SEPARATOR}+(?:by|attribution)", "cc0", f"public{SEPARATOR}+domain", "permission", "redistribut", "copyright",
-    f"rights{SEPARATOR}+reserved", "proprietary", "prohibited", "verbatim", "advertising", "endorse", f"express{SEPARATOR}+or", f"free{SEPARATOR}+software",
-    "mozilla", "apache", "unencumbered", "disclaims", "openssl", f"anyone{SEPARATOR}+is{SEPARATOR}+free", f"for{SEPARATOR}+good", f"creative{SEPARATOR}+commons", f"(?:released|distributed|published|available|provided|covered){SEPARATOR}+under",
-)) + ")"
+#: Words at whose start a text becomes worth reading: every match of a family's rule holds one (fixed values).
+GENERAL = (
+    "licen[sc]", "spdx", "unlicense", "creative ?commons", "cc (?:by|attribution)", "cc0", "public domain", "permission", "redistribut", "copyright",
+    "rights reserved", "proprietary", "prohibited", "verbatim", "advertising", "endorse", "express or", "free software",
+    "mozilla", "apache", "unencumbered", "disclaims", "openssl", "anyone is free", "for good", "(?:released|distributed|published|available|provided|covered) under",
+)
+
+
+def _gate() -> str:
+    """What lets a text through, tried on it as it is, in any case, before anything is rewritten: the general words, and the
+    keywords of sentences that need hold none of them. Words stand by their first letter, so few are tried at a place."""
+    general = re.compile("|".join(f"(?<![a-z0-9]){g}" for g in GENERAL))
+    own = {k for _, _, kw, _ in SENTENCES for k in kw.split("|") if not general.search(k)}
+    by_letter: dict[str, list[str]] = {}
+    for x in (*GENERAL, *sorted(own)):
+        by_letter.setdefault(x[0], []).append(x.replace(" ?", SEPARATOR + "*").replace(" ", f"{SEPARATOR}+"))
+    branch = [x for xs in (by_letter.pop("(", []),) for x in xs] + [f"{c}(?:{'|'.join(x[1:] for x in xs)})" for c, xs in by_letter.items()]
+    return r"(?i)(?<![0-9A-Za-z\x80-\x{10FFFF}])(?:" + "|".join(branch) + ")"
+
+
+GATE = _gate()
 
 
 def _dots(words: str) -> str:
@@ -296,7 +440,7 @@ def rules() -> tuple[Rule, ...]:
             out.append(Rule(f"{label}-{_dots(v)}", f"(?:cc|creative commons) {words} {v}(?: (?:international|unported|generic|{LICENCE}))*", ("cc ", "commons"), 4, 0.97))
             out.append(Rule(f"{label}-{_dots(v)}", f"creativecommons org licenses {words} {v}", ("creativecommons",), 4, 0.97))
         out.append(Rule(label, f"(?:cc|creative commons) {words}(?: {LICENCE})?", ("cc ", "commons"), 3, 0.85))
-    out += [Rule(label, rx, (kw,), 3, score) for label, rx, kw, score in SENTENCES]
+    out += [Rule(label, rx, tuple(kw.split("|")), 3, score) for label, rx, kw, score in SENTENCES]
     out += [
         Rule("licensed", f"{LICENCE}d under [a-z0-9 ]{{2,40}}?{LICENCE}", (" under ",), 1, 0.4),
         Rule("license-mention", f"(?:see|read|refer to) (?:the )?(?:file )?{LICENCE}(?: file| txt| md)?", ("see ", "read ", "refer "), 0, 0.2),
