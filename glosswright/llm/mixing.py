@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, documents, n_words
+from .common import cut, documents, join_hot, n_words
 
-#: Up to so many rows of the source table (a name and three numbers each) are broadcast.
+#: Up to so many rows of the source table (a name and five numbers each) are broadcast.
 BROADCAST_SOURCES = 50_000
 
 
@@ -85,10 +85,15 @@ def mix_rows(df: DataFrame, text_col: str, id_col: str, source_col: str, seed: i
     whole = F.round(F.sum("target").over(W.partitionBy()) / block_words).cast("long")
     sources = sources.withColumn("g", F.lit(0)).withColumn("blocks", whole)
     sources = sainte_lague(sources, ["g"], ["nosrc", "src"], "target", "blocks", "quota")
-    sources = cut(sources.select("nosrc", "src", "source_size", "target", "quota", F.ceil(F.col("n_docs") / shard_rows).cast("long").alias("n_shards")))
-    small = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
+    sources = cut(sources.select("nosrc", "src", "source_size", "target", "quota", F.ceil(F.col("n_docs") / shard_rows).cast("long").alias("n_shards"), "n_docs"))
+    if sources.count() <= BROADCAST_SOURCES:
+        d = sizes.join(F.broadcast(sources), ["nosrc", "src"]).drop("n_docs")
+    else:  # sources with a large share of all rows are broadcast, so none is one task's work
+        key = F.struct("nosrc", "src")
+        one = sources.select(key.alias("at"), *[c for c in sources.columns if c not in ("nosrc", "src")])
+        d = join_hot(sizes.select(key.alias("at"), "doc_id", "size"), one, "at", "n_docs", sizes.count()).select("at.*", "*").drop("at", "n_docs")
     place = F.xxhash64("doc_id", F.lit(seed))
-    d = sizes.join(small, ["nosrc", "src"]).withColumn("place", place).withColumn("shard", F.pmod(F.xxhash64("place"), F.col("n_shards")))
+    d = d.withColumn("place", place).withColumn("shard", F.pmod(F.xxhash64("place"), F.col("n_shards")))
     d = cut(d.drop("n_shards"))
     shards = d.groupBy("nosrc", "src", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
     shards = sainte_lague(shards, ["nosrc", "src"], ["shard"], "shard_size", "quota", "shard_quota")

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from glosswright.llm import bpe, components, exact_dedup, language_id, license_scan, mixing, near_copies, pii, quality_model, quality_rules, simhash, substring_dedup
 
@@ -339,6 +340,35 @@ def test_license_gate(spark):
     assert [{d["label"] for d in r["detections"]} for r in got] == [{"cc-by-sa-4.0"}, {"cc-by-3.0"}, {"cc-by"}]
 
 
+def test_license_sentences_stand_alone(spark):
+    """A sentence of a license is found by itself: no other word has to follow for the text to be read."""
+    texts = [
+        "The intent of this document is to state the conditions under which a Package may be copied.", "Your modified version must; if you modify the Program, your modified version must prominently offer all users interacting with it remotely",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", "Vim is Charityware.", "Use-based restrictions apply.", "this product includes software developed by nobody",
+        "if we meet some day, and you think this stuff is worth it, you can buy me a beer", "To 'propagate' a work means to do anything with it", "The GNU Lesser, the lesser general public license permits more lax criteria for linking other code with the library",
+    ]
+    want = ["artistic-1.0", "agpl-3.0", "zlib", "vim", "openrail", "bsd-4-clause", "beerware", "gpl-3.0", "lgpl"]
+    got = license_scan.license_scan(spark.createDataFrame(rows(texts), SCHEMA)).orderBy("doc_id").collect()
+    assert [w in {d["label"] for d in r["detections"]} for w, r in zip(want, got, strict=True)] == [True] * len(want)
+    assert len(license_scan.SENTENCES) >= 250
+
+
+def test_op1_digest(spark, tmp_path):
+    """The query's labels and score from all rules in turn; columns of other names are not read."""
+    texts = ["MIT License. Released under the Apache License, Version 2.0!", "cc by, cc-by-sa 4.0 and the MIT license", "nothing", "", None, "a work of the United States Government", "mit license " * 50]
+    df = spark.createDataFrame(rows(texts), SCHEMA).withColumn("_t", F.lit("mit license")).withColumn("_kw", F.lit(1)).withColumn("detections", F.lit("x"))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in license_scan.op1_license_scan(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+        base = [(k, label, 0.7) for p, label in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        score = {(r.label, r.score) for r in license_scan.rules()}
+        found = {x[2] for x in plain_detections(w)}
+        assert got[i]["labels"] == ",".join(sorted(found | {b[1] for b in base})) and got[i]["base_labels"] == ",".join(sorted({b[1] for b in base}))
+        assert (got[i]["n_base"], got[i]["first_word"], got[i]["last_word"]) == (len(base), min((b[0] for b in base), default=None), max((b[0] for b in base), default=None))
+        assert got[i]["score"] in ({0.0} if not w or not (found or base) else {s for label, s in score if label in found} | {0.7})
+
+
 def test_mixing(spark, docs, empty):
     def check(df):
         got = mixing.mix_sources(df, block_words=4, shard_rows=7).collect()
@@ -380,6 +410,16 @@ def test_sainte_lague(spark):
         assert got == {k: seats[k] for k, _ in votes}
 
 
+def test_mixing_of_many_sources(spark, docs, monkeypatch):
+    """Beyond what is broadcast, rows find their source by a join that keeps hot sources apart; the mix is the same."""
+    df = docs.unionByName(docs.withColumn("source", F.lit("hot"))).unionByName(docs.limit(3).withColumn("source", F.lit(None).cast("string")))
+    want = Counter(map(tuple, mixing.mix_sources(df, block_words=4, shard_rows=7).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    for hot in (1, 2, 1000):
+        monkeypatch.setattr("glosswright.llm.common.HOT", hot)
+        assert Counter(map(tuple, mixing.mix_sources(df, block_words=4, shard_rows=7).collect())) == want
+
+
 def test_mixed_documents(spark, docs):
     mix = {}
     for r in mixing.mix_sources(docs).collect():
