@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from glosswright.functions import text as T
 
@@ -94,11 +95,19 @@ def counted_pairs(rows: DataFrame, least: int, pairs_a_task: int = PAIRS) -> Dat
     return dealt.mapInArrow(counted, "e long, k long, cooccurrence long")
 
 
+def _of(pairs: DataFrame, column: str, n_max: int, from_text) -> Column:
+    """n-grams of a text, or of a column that has its tokens already, such as normalised ones."""
+    if isinstance(pairs.schema[column].dataType, ArrayType):
+        return T.ngrams(F.coalesce(F.col(column), F.array().cast("array<string>")), n_max)
+    return from_text(F.col(column))
+
+
 def candidates(pairs: DataFrame, source_col: str = "en_text", target_col: str = "ko_text", id_col: str = "id", n_max: int = 3, least: int = 5, normalise=None) -> DataFrame:
-    """en_term, ko_term, cooccurrence, dice, pmi of all pairs of n-grams that share at least `least` rows."""
+    """en_term, ko_term, cooccurrence, dice, pmi of all pairs of n-grams that share at least `least` rows. Either side is a text
+    or an array of its tokens (see morphology.normalised); null has none."""
     total = pairs.select(F.count("*").alias("n_rows"))
-    en, ef = numbered(pairs, T.source_ngrams(F.col(source_col), n_max), id_col, least)
-    ko, kf = numbered(pairs, T.target_ngrams(F.col(target_col), n_max, normalise), id_col, least)
+    en, ef = numbered(pairs, _of(pairs, source_col, n_max, lambda c: T.source_ngrams(c, n_max)), id_col, least)
+    ko, kf = numbered(pairs, _of(pairs, target_col, n_max, lambda c: T.target_ngrams(c, n_max, normalise)), id_col, least)
     rows = en.withColumnRenamed("terms", "es").join(ko.withColumnRenamed("terms", "ks"), "id")
     both = counted_pairs(rows.select("es", "ks"), least)
     both = both.join(ef.select(F.col("h").alias("e"), F.col("term").alias("en_term"), F.col("df").alias("ef")), "e")

@@ -268,6 +268,22 @@ def model_counters(spark, sf_dir):
     return evaluation.run_counters(drafting.draft(f, shouting)).select(F.coalesce("model_id", F.lit("")).alias("model_id"), "n", "succeeded", "failed")
 
 
+def refusing(prompt: str) -> str:
+    """A stand-in for a second model: the card's text as it is; it fails on texts of odd length."""
+    text = prompt.rsplit("<card-text>\n", 1)[1].split("\n</card-text>")[0]
+    if len(text) % 2:
+        raise ValueError("odd")
+    return text
+
+
+@query
+def fallback_counters(spark, sf_dir):
+    """Which model of a chain answered, when the first fails on steel and the second on texts of odd length."""
+    f = drafting.expand_fields(B.field_cards(spark, sf_dir)).selectExpr("id", "'<card-text>\n' || en_text || '\n</card-text>' AS prompt")
+    chain = drafting.with_fallback([("m1", lambda p: shouting(p)[0]), ("m2", refusing)], tries=2, wait=0.0)
+    return evaluation.run_counters(drafting.draft(f, chain)).select(F.coalesce("model_id", F.lit("")).alias("model_id"), "n", "succeeded", "failed")
+
+
 @query
 def observation_scores(spark, sf_dir):
     c = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name AS en_text", "p_type AS ko_text", "CASE WHEN p_size % 2 = 0 THEN p_brand END AS ko_flavor", "CASE WHEN p_size % 3 = 0 THEN '' ELSE p_type END AS flavor_ko")
@@ -276,7 +292,9 @@ def observation_scores(spark, sf_dir):
 
 @query
 def scoring_view(spark, sf_dir):
-    return evaluation.scoring_view(guards.flat_glossary(B.glossary(spark))).select("en", "ko", "source")
+    """Of a glossary with an entry for each part, what scoring compares."""
+    own = table(spark, sf_dir, "part").selectExpr("CASE WHEN p_partkey % 2 = 0 THEN 'official' ELSE 'extracted' END AS section", "concat(p_brand, '_', p_size) AS en", "CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE concat('카드 ', p_type) END AS ko")
+    return evaluation.scoring_view(guards.flat_glossary(B.glossary(spark).select("section", "en", "ko").unionByName(own))).select("en", "ko", "source")
 
 
 def tagger(word: str) -> list[tuple[str, str]]:
@@ -289,11 +307,20 @@ def tagger(word: str) -> list[tuple[str, str]]:
 
 @query
 def morphology_terms(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").filter("lang = 'de'").selectExpr("doc_id AS id", "coalesce(text, '') AS text")
+    t = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "coalesce(text, '') AS text")
     n = morphology.normalised(t, "text", tagger)
     return n.select("id", F.size("norm_tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("norm_tokens", " ")).alias("tokens"))
 
 
+@query
+def normalised_candidates(spark, sf_dir):
+    """Term candidates whose target side is in dictionary form."""
+    p = B.pairs(spark, sf_dir)
+    both = p.select("id", "en_text").join(morphology.normalised(p, "ko_text", tagger), "id")
+    c = terms.candidates(both, target_col="norm_tokens")
+    return c.select("en_term", "ko_term", "cooccurrence", F.round("dice", 9).alias("dice"), F.round("pmi", 9).alias("pmi"))
+
+
 @query
 def morphology_gold(spark, sf_dir):
     t = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name || ' [credit]en (ABC) 12' AS term")
@@ -343,9 +370,11 @@ def hangul_flags(spark, sf_dir):
 
 @query
 def lookup_response(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.get(T.tokens(F.col("text")), F.lit(0)).alias("en"))
+    """The service's answer for every word of every item."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "en"))
+    asked = words.select(F.struct(F.col("item_id").alias("id"), "pos").alias("id"), "en")
     body = drafting.response(drafting.lookup_terms(asked, guards.flat_glossary(B.glossary(spark))).select("id", "key", "found", "ko"))
-    return body.select("id", F.get_json_object("body", "$.key").alias("key"), F.get_json_object("body", "$.found").alias("found"), F.get_json_object("body", "$.ko").alias("ko"))
+    return body.select("id.id", F.col("id.pos").cast("long").alias("pos"), F.get_json_object("body", "$.key").alias("key"), F.get_json_object("body", "$.found").alias("found"), F.get_json_object("body", "$.ko").alias("ko"))
 
 
 @query

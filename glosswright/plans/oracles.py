@@ -348,13 +348,26 @@ ORACLES = {
         '{D.MEMORY_KO}<card-text>' || chr(10) || '목록' || chr(10) || '</card-text>', '{D.CARD}', x, '{D.ANSWER}')) AS prompt_md5 FROM w""",
     "model_counters": f"WITH {FIELDS}, x AS (SELECT contains(text, 'steel') AS failed FROM ex) SELECT CASE WHEN failed THEN '' ELSE 'm1' END AS model_id, count(*) AS n, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failed FROM x GROUP BY x.failed",
     "observation_scores": "SELECT p_partkey AS card_id, 1 + (length(p_name) + length(p_type)) % 3 AS rule_score, CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN 1 + length(p_type) % 3 END AS flavor_score FROM part",
-    "scoring_view": f"WITH {GLOSSARY} SELECT en, ko, source FROM gl WHERE regexp_matches(ko, '[가-힣]')",
-    "morphology_terms": rf"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS ko_text FROM documents WHERE lang = 'de'),
+    "scoring_view": f"""WITH g AS ({B.GLOSSARY_SQL} UNION ALL SELECT CASE WHEN p_partkey % 2 = 0 THEN 'official' ELSE 'extracted' END, p_brand || '_' || p_size, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '카드 ' || p_type END FROM part),
+      k AS (SELECT lower(trim(replace(en, '_', ' '))) AS en, ko, section AS source FROM g),
+      r AS (SELECT *, row_number() OVER (PARTITION BY en ORDER BY list_position(['official', 'subtype_extracted', 'extracted'], source), ko) AS n FROM k WHERE en <> '' AND ko <> '')
+      SELECT en, ko, source FROM r WHERE n = 1 AND regexp_matches(ko, '[가-힣]')""",
+    "morphology_terms": rf"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS ko_text FROM documents),
       w AS (SELECT id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT id, {KO_TOKENS} AS t FROM d)),
       f AS (SELECT id, i, w, list_filter(regexp_extract_all(w, '[a-zA-Z]+|[0-9]+'), lambda x: regexp_matches(x, '^[0-9]') OR length(x) <> 2) AS f FROM w),
       n AS (SELECT id, i, array_to_string(list_transform(f, lambda x: CASE WHEN regexp_matches(x, '^[a-zA-Z]*en$') THEN x || '다' ELSE x END), ' ') AS n FROM f),
       g AS (SELECT id, count(*) AS c, md5(string_agg(n, ' ' ORDER BY i)) AS m FROM n WHERE n <> '' GROUP BY id)
       SELECT d.id, coalesce(c, 0) AS n_tokens, coalesce(m, md5('')) AS tokens FROM d LEFT JOIN g ON g.id = d.id""",
+    "normalised_candidates": rf"""WITH {PAIRS}, {_grams("en", EN_TOKENS)},
+      w AS (SELECT id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT id, {KO_TOKENS} AS t FROM pairs)),
+      f AS (SELECT id, i, list_filter(regexp_extract_all(w, '[a-zA-Z]+|[0-9]+'), lambda x: regexp_matches(x, '^[0-9]') OR length(x) <> 2) AS f FROM w),
+      n AS (SELECT id, i, array_to_string(list_transform(f, lambda x: CASE WHEN regexp_matches(x, '^[a-zA-Z]*en$') THEN x || '다' ELSE x END), ' ') AS n FROM f),
+      kn AS (SELECT id, list(n ORDER BY i) AS t FROM n WHERE n <> '' GROUP BY id), {_grams("ko", "t", "kn")},
+      ef AS (SELECT term, count(*) AS ef FROM en GROUP BY term HAVING count(*) >= 5), kf AS (SELECT term, count(*) AS kf FROM ko GROUP BY term HAVING count(*) >= 5)
+      SELECT e.term AS en_term, k.term AS ko_term, count(*) AS cooccurrence, round(2.0 * count(*) / (ef + kf), 9) AS dice, round(log2((count(*)::DOUBLE / n) / ((ef::DOUBLE / n) * (kf::DOUBLE / n))), 9) AS pmi
+      FROM en e JOIN ef ON ef.term = e.term JOIN ko k ON k.id = e.id JOIN kf ON kf.term = k.term CROSS JOIN (SELECT count(*) AS n FROM pairs) GROUP BY e.term, k.term, ef, kf, n HAVING count(*) >= 5""",
+    "fallback_counters": f"""WITH {FIELDS}, x AS (SELECT CASE WHEN NOT contains(text, 'steel') THEN 'm1' WHEN length(text) % 2 = 0 THEN 'm2' ELSE '' END AS model_id FROM ex)
+      SELECT model_id, count(*) AS n, count(*) FILTER (model_id <> '') AS succeeded, count(*) FILTER (model_id = '') AS failed FROM x GROUP BY model_id""",
     "morphology_gold": r"""WITH n AS (SELECT p_partkey AS id, list_transform(list_filter(string_split(p_name, ' '), lambda x: length(x) <> 2), lambda x: CASE WHEN x LIKE '%en' THEN x || '다' ELSE x END) AS n FROM part)
       SELECT id, array_to_string(list_concat(n, ['[credit]', 'ABC', '12']), ' ') AS norm FROM n""",
     "matched_pairs": "SELECT p_partkey AS id, p_name AS prediction, p_type AS reference FROM part",
@@ -367,7 +380,7 @@ ORACLES = {
       FROM m JOIN g2 USING (id) JOIN part ON p_partkey = id LEFT JOIN c1 USING (id) GROUP BY model_id""",
     "corpus_head": "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders ORDER BY date, id LIMIT 50",
     "hangul_flags": rf"""WITH {CARDS} SELECT id, {COND} AS n_conditions, regexp_matches(ko_text, '{KO_CONDITIONS}') AS ko_condition, array_to_string(regexp_extract_all(en_text, '\[{W}[\p{{L}}\p{{N}}_-]*\]'), '|') AS symbols FROM cards WHERE id % 5 > 1""",
-    "lookup_response": f"""WITH {GLOSSARY}, a AS (SELECT item_id AS id, {_tokens('text')}[1] AS en FROM benchmark) SELECT id, trim(replace(a.en, '_', ' ')) AS key, CASE WHEN ko IS NULL THEN 'false' ELSE 'true' END AS found, ko
+    "lookup_response": f"""WITH {GLOSSARY}, a AS (SELECT id, unnest(t) AS en, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT item_id AS id, {_tokens('text')} AS t FROM benchmark)) SELECT id, pos, trim(replace(a.en, '_', ' ')) AS key, CASE WHEN ko IS NULL THEN 'false' ELSE 'true' END AS found, ko
       FROM a LEFT JOIN gl ON gl.en = trim(replace(a.en, '_', ' '))""",
     "search_tm": f"""WITH {BM25}, {CHAR}, de AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
         FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings d JOIN documents ON documents.doc_id = d.vec_id),

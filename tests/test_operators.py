@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from glosswright.functions import text as T
 from glosswright.operators import distance, drafting, evaluation, guards, judging, patterns, retrieval, terms
 from tests import scoring
 
@@ -43,6 +44,18 @@ def test_extraction_scores(spark):
     assert one(terms.extraction_scores(s().limit(0), s("d"))) == {"tp": 0, "fp": 0, "fn": 1, "precision": 0.0, "recall": 0.0, "f1": 0.0}
 
 
+def test_candidates_of_tokens(spark):
+    """Arrays of tokens count like the texts that hold them; a null array has no terms but its row counts."""
+    p = spark.createDataFrame([(i, "Gain [credit]", "얻는다 [credit].") for i in range(6)] + [(9, "lose it", "잃는다")], PAIR)
+    want = {tuple(r) for r in terms.candidates(p, least=5).collect()}
+    t = p.select("id", T.tokens(F.col("en_text")).alias("en"), T.target_tokens(F.col("ko_text")).alias("ko"))
+    assert {tuple(r) for r in terms.candidates(t, "en", "ko", least=5).collect()} == want
+    assert {tuple(r) for r in terms.candidates(p.join(t.select("id", "ko"), "id"), target_col="ko", least=5).collect()} == want
+    gone = t.withColumn("ko", F.when(F.col("id") > 0, F.col("ko")))
+    r = {(x["en_term"], x["ko_term"]): x for x in terms.candidates(gone, "en", "ko", least=5).collect()}
+    assert r["gain", "얻는다"]["cooccurrence"] == 5 and abs(r["gain", "얻는다"]["dice"] - 10 / 11) < 1e-12
+
+
 def test_patterns(spark):
     p = spark.createDataFrame([(i, f"Gain {i} [credit]. Draw.", f"{i} [credit] 얻는다. 뽑는다.") for i in (5, 3, 1, 2)] + [(8, "A. B.", "가.")], PAIR)
     got = {r["en_template"]: r for r in patterns.extract(p, least=3).collect()}
