@@ -268,19 +268,23 @@ def model_counters(spark, sf_dir):
     return evaluation.run_counters(drafting.draft(f, shouting)).select(F.coalesce("model_id", F.lit("")).alias("model_id"), "n", "succeeded", "failed")
 
 
-def refusing(prompt: str) -> str:
-    """A stand-in for a second model: the card's text as it is; it fails on texts of odd length."""
-    text = prompt.rsplit("<card-text>\n", 1)[1].split("\n</card-text>")[0]
-    if len(text) % 2:
-        raise ValueError("odd")
-    return text
+def refusing(n: int):
+    """A stand-in for a model: the card's text as it is; it fails on lengths that n divides."""
+
+    def model(prompt: str) -> str:
+        text = prompt.rsplit("<card-text>\n", 1)[1].split("\n</card-text>")[0]
+        if len(text) % n == 0:
+            raise ValueError("refused")
+        return text
+
+    return model
 
 
 @query
 def fallback_counters(spark, sf_dir):
-    """Which model of a chain answered, when the first fails on steel and the second on texts of odd length."""
+    """Which model of a chain answered, when the first fails on lengths that 2 divides and the second on those that 3 divides."""
     f = drafting.expand_fields(B.field_cards(spark, sf_dir)).selectExpr("id", "'<card-text>\n' || en_text || '\n</card-text>' AS prompt")
-    chain = drafting.with_fallback([("m1", lambda p: shouting(p)[0]), ("m2", refusing)], tries=2, wait=0.0)
+    chain = drafting.with_fallback([("m1", refusing(2)), ("m2", refusing(3))], tries=2, wait=0.0)
     return evaluation.run_counters(drafting.draft(f, chain)).select(F.coalesce("model_id", F.lit("")).alias("model_id"), "n", "succeeded", "failed")
 
 

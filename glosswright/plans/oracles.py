@@ -366,7 +366,7 @@ ORACLES = {
       ef AS (SELECT term, count(*) AS ef FROM en GROUP BY term HAVING count(*) >= 5), kf AS (SELECT term, count(*) AS kf FROM ko GROUP BY term HAVING count(*) >= 5)
       SELECT e.term AS en_term, k.term AS ko_term, count(*) AS cooccurrence, round(2.0 * count(*) / (ef + kf), 9) AS dice, round(log2((count(*)::DOUBLE / n) / ((ef::DOUBLE / n) * (kf::DOUBLE / n))), 9) AS pmi
       FROM en e JOIN ef ON ef.term = e.term JOIN ko k ON k.id = e.id JOIN kf ON kf.term = k.term CROSS JOIN (SELECT count(*) AS n FROM pairs) GROUP BY e.term, k.term, ef, kf, n HAVING count(*) >= 5""",
-    "fallback_counters": f"""WITH {FIELDS}, x AS (SELECT CASE WHEN NOT contains(text, 'steel') THEN 'm1' WHEN length(text) % 2 = 0 THEN 'm2' ELSE '' END AS model_id FROM ex)
+    "fallback_counters": f"""WITH {FIELDS}, x AS (SELECT CASE WHEN length(text) % 2 <> 0 THEN 'm1' WHEN length(text) % 3 <> 0 THEN 'm2' ELSE '' END AS model_id FROM ex)
       SELECT model_id, count(*) AS n, count(*) FILTER (model_id <> '') AS succeeded, count(*) FILTER (model_id = '') AS failed FROM x GROUP BY model_id""",
     "morphology_gold": r"""WITH n AS (SELECT p_partkey AS id, list_transform(list_filter(string_split(p_name, ' '), lambda x: length(x) <> 2), lambda x: CASE WHEN x LIKE '%en' THEN x || '다' ELSE x END) AS n FROM part)
       SELECT id, array_to_string(list_concat(n, ['[credit]', 'ABC', '12']), ' ') AS norm FROM n""",
