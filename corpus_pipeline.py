@@ -28,7 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of at least 0.8 on 5-word shingles the one with the smallest id."""
+    """Of documents linked by a Jaccard similarity of at least 0.8 on 5-word shingles the one with the smallest id: SimHash
+    gives the candidates, to which MinHash adds what 3 of 64 bits cannot tell, and all are decided exactly."""
     return simhash.keep_one(docs, similarity=0.8)
 
 

@@ -1,11 +1,12 @@
 """Near-dedup by similarity: two texts are linked if the Jaccard similarity of their word shingles is at least 0.8.
 
-Fingerprints of 64 bits cannot tell that: pairs of 0.8 or more differ in 4 to 14 of them on the 0.1 tables, and a covering
-family of radius 14 has 32,767 tables (see the README). This is what simhash.keep_one uses when it is given a similarity.
+This is what simhash.keep_one uses when it is given a similarity. Its candidates are texts linked by fingerprints, which come
+in as `found`, and besides them those of MinHash: pairs of 0.8 or more differ in 4 to 14 of 64 bits on the 0.1 tables, and a
+covering family of radius 14 has 32,767 tables (see the README).
 
-Candidates come from MinHash: ROWS minima make a key, and each text has BANDS keys. Two texts of similarity s share a
-key with probability 1 - (1 - s ** ROWS) ** BANDS: at s = 0.8 one pair in 300,000 is missed, above it fewer. Every
-candidate is then decided by the exact similarity of its whole shingle sets.
+In MinHash ROWS minima make a key, and each text has BANDS keys. Two texts of similarity s share a key with probability
+1 - (1 - s ** ROWS) ** BANDS: at s = 0.8 one pair in 300,000 is missed, above it fewer. Every candidate of either kind is
+then decided by the exact similarity of its whole shingle sets.
 
 Texts that share a key (a bucket) belong to one cluster of candidates. A cluster is cut into blocks of about
 `block_bytes`; the texts of a block meet in one task, once, and every pair of them is compared. A cluster of one block is
@@ -20,7 +21,7 @@ unless alone; an empty table gives an empty result; columns that are not named a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -140,9 +141,11 @@ def blocks_of(bytes_: Column, block_bytes: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(bytes_ / block_bytes)).cast("int")
 
 
-def links(docs: DataFrame, df: DataFrame, least: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """node, component for every node that is linked to another one; docs: node, keys; df: node, text."""
+def links(docs: DataFrame, df: DataFrame, least: float, block_bytes: int = BLOCK_BYTES, found: DataFrame | None = None) -> DataFrame:
+    """node, component for every node that is linked to another one; docs: node, keys; df: node, text; found: k, node,
+    further candidates, which share a k."""
     rows = docs.select("node", "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("k"), "node")
+    rows = rows if found is None else rows.unionByName(found)
     buckets = rows.groupBy("k").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1")
     members = cut(join_hot(rows, cut(buckets), "k", "n", rows.count()).select("k", "node", "lead"))
     of = components(members.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
@@ -152,13 +155,13 @@ def links(docs: DataFrame, df: DataFrame, least: float, block_bytes: int = BLOCK
         # dealt by (cluster, block): a large cluster's key is spread before it is joined with its texts
         sized = join_hot(texts, clusters, "cluster", "n", texts.count())
         block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-        found = linked_inside(sized.select(F.xxhash64("cluster", block).alias("t"), "node", F.col("node").alias("c"), "text"), least)
-        of = components(found)
+        inside = linked_inside(sized.select(F.xxhash64("cluster", block).alias("t"), "node", F.col("node").alias("c"), "text"), least)
+        of = components(inside)
         big = F.broadcast(clusters.filter("blocks > 1").select("cluster"))  # at most the bytes of all texts over block_bytes
         large = texts.join(big, "cluster", "left_semi")
         at = large.select("node", "size").join(of, "node", "left").select("node", "size", F.coalesce("component", "node").alias("c"))
         more = _across(members.select("k", "node"), cut(at), large, least, block_bytes)
-        return of if more.isEmpty() else components(found.unionByName(more))
+        return of if more.isEmpty() else components(inside.unionByName(more))
 
 
 def _across(members: DataFrame, at: DataFrame, texts: DataFrame, least: float, block_bytes: int) -> DataFrame:
@@ -176,21 +179,26 @@ def _across(members: DataFrame, at: DataFrame, texts: DataFrame, least: float, b
     return linked_inside(rows.join(texts.select("node", "text"), "node"), least)
 
 
-def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per input row: doc_id, node, component_id (the smallest id of all documents reachable by links)."""
+Candidates = Callable[[DataFrame], DataFrame]
+
+
+def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = SIMILARITY, block_bytes: int = BLOCK_BYTES, candidates: Candidates | None = None) -> DataFrame:
+    """One row per input row: doc_id, node, component_id (the smallest id of all documents reachable by links). `candidates`
+    makes groups (k, node) of texts (node, text), in which every pair is decided like those of MinHash."""
     named = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("node"), F.col(text_col).alias("text"))
     docs = cut(signatures(named))
     nodes = docs.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    of = nodes.join(links(docs, named, least, block_bytes), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = cut(candidates(named.select("node", "text"))) if candidates else None
+    of = nodes.join(links(docs, named, least, block_bytes, found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = cut(of)
     lows = of.groupBy("component").agg(F.min("low").alias("component_id"))
     of = cut(of.join(lows, "component").select("node", "n", "component_id"))
     return join_hot(docs.select("doc_id", "node"), of, "node", "n", docs.count()).select("doc_id", "node", "component_id")
 
 
-def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
+def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = SIMILARITY, candidates: Candidates | None = None) -> DataFrame:
     """The rows of df whose id is the smallest of its component, with all their columns."""
-    gone = cut(near_dedup(df, text_col, id_col, least).filter("not (doc_id <=> component_id)").select("doc_id", "node").distinct())
+    gone = cut(near_dedup(df, text_col, id_col, least, candidates=candidates).filter("not (doc_id <=> component_id)").select("doc_id", "node").distinct())
     few = gone.count() <= BROADCAST_NODES
     gone = F.broadcast(gone) if few else gone.hint("merge")
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("hash"))

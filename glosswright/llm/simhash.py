@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import cut, documents, join_hot, lean
+from .common import WORD, cut, documents, join_hot, lean
 from .components import components
 
 SEED = 42
@@ -160,13 +160,21 @@ def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", ra
     return join_hot(docs, of, "fp", "n", docs.count()).select("doc_id", "fp", "component_id")
 
 
+def candidates(texts: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """texts: node, text. Rows (k, node), once each: nodes with one k are connected by fingerprints within the radius. Texts
+    without a word have no shingles to compare and are left out."""
+    found = near_dedup(texts.filter(F.col("text").rlike(WORD)), "text", "node", radius, width)
+    return found.select(F.xxhash64("component_id", F.lit("fp")).alias("k"), F.col("doc_id").alias("node")).distinct()
+
+
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = 3, width: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of df whose id is the smallest of its component, with all their columns.
 
-    Components are those of fingerprints within the radius or, if a similarity is given, of texts whose 5-word shingles
-    have that Jaccard similarity, which no radius with a feasible covering family finds (see near_copies)."""
+    Components are those of fingerprints within the radius. If a similarity is given, these are candidates: all texts of a
+    component are compared, and linked if their 5-word shingles have that Jaccard similarity. As no radius with a feasible
+    covering family finds all pairs that have it, candidates that fingerprints miss are added (see near_copies)."""
     if similarity is not None:
-        return near_copies.keep_one(df, text_col, id_col, similarity)
+        return near_copies.keep_one(df, text_col, id_col, similarity, lambda texts: candidates(texts, radius, width))
     found = near_dedup(df, text_col, id_col, radius, width).filter("doc_id <=> component_id")
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
     return rows.join(found.select("doc_id").distinct(), F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")

@@ -185,6 +185,37 @@ def test_near_copies_stage(spark, empty):
     assert pipeline.drop_near_copies(spark, empty, "").count() == 0
 
 
+def test_near_copies_stage_goes_by_fingerprints(spark, monkeypatch):
+    """Without any key of MinHash the stage still links what fingerprints within 3 bits and the similarity tell."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    bits = lambda a, b: (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count()
+    share = lambda a, b: len(plain_shingles(a) & plain_shingles(b)) / len(plain_shingles(a) | plain_shingles(b))
+
+    def pair(edits, wanted):
+        while True:
+            base = [f"w{rng.randrange(500)}" for _ in range(120)]
+            own = list(base)
+            for i in range(edits):
+                own[i * 120 // edits] = f"e{rng.randrange(9999)}"
+            a, b = " ".join(base), " ".join(own)
+            if wanted(bits(a, b), share(a, b)):
+                return [a, b]
+
+    near = pair(1, lambda d, s: 0 < d <= 3 and s >= 0.8)
+    unlike = pair(5, lambda d, s: d <= 3 and s < 0.8)
+    far = pair(2, lambda d, s: d > 3 and s >= 0.8)
+    data = rows([*near, *unlike, *far, *near, " ", ""])
+    df = spark.createDataFrame(data, SCHEMA)
+    kept = lambda: sorted(r["doc_id"] for r in pipeline.drop_near_copies(spark, df, "").collect())
+    ids = [r[0] for r in data]
+    both = [ids[i] for i in (0, 2, 3, 4, 8, 9)]
+    assert kept() == sorted(both)
+    none = F.array().cast("array<long>").alias("keys")
+    monkeypatch.setattr(near_copies, "signatures", lambda d: d.select("doc_id", "node", none))
+    assert kept() == sorted([*both, ids[5]])
+
+
 def test_bpe(docs, empty):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = bpe.default_vocabulary()
